@@ -6,6 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lamina.llm.bpe import op7_byte_bpe
+from lamina.llm.language import op10_language_id
+from lamina.llm.lines import op5_line_dedup
+from lamina.llm.pii import op9_personal_data
+from lamina.llm.quality import op2_quality_classifier
+from lamina.llm.secrets import op3_secret_scan
 from lamina.llm.simhash import op4_simhash_near_dedup
 from lamina.llm.vectors import op1_embedding_near_dedup
 
@@ -13,7 +19,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_embedding_near_dedup,
+        op2_quality_classifier,
+        op3_secret_scan,
         op4_simhash_near_dedup,
+        op5_line_dedup,
+        op7_byte_bpe,
+        op9_personal_data,
+        op10_language_id,
     )
 }
 
