@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lamina.llm.bpe import op7_byte_bpe
+from lamina.llm.contamination import op6_benchmark_decontamination
 from lamina.llm.language import op10_language_id
 from lamina.llm.lines import op5_line_dedup
 from lamina.llm.pii import op9_personal_data
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_secret_scan,
         op4_simhash_near_dedup,
         op5_line_dedup,
+        op6_benchmark_decontamination,
         op7_byte_bpe,
         op9_personal_data,
         op10_language_id,
