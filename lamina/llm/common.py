@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -120,6 +121,19 @@ def grid(df: DataFrame, keys: list[str], id_col: str, block: int) -> DataFrame:
     return dealt.withColumn("__p", F.explode(pairs)).select(*df.columns, "__c", F.col("__p.i").alias("__i"), F.col("__p.j").alias("__j"))
 
 
+#: The base of polynomial hashes modulo 2**64.
+ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+@lru_cache(4)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd number modulo 2**64, and of its inverse."""
+    inverse = pow(int(ODD), -1, 1 << 64)
+    up, down = np.full(n, ODD, dtype=np.uint64), np.full(n, inverse, dtype=np.uint64)
+    up[:1] = down[:1] = 1
+    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+
+
 class Forest:
     """Union-find over positions 0..n-1, fed with arrays of pairs; the smallest position of a tree is its root."""
 

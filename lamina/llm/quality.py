@@ -10,14 +10,13 @@ Documents are then sampled without replacement by Gumbel top-k: the k largest of
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm.common import as_bytes, cut, rows_of, table
+from lamina.llm.common import ODD, as_bytes, cut, powers, rows_of, table
 from lamina.llm.simhash import SPACE
 
 #: Documented bound of the labelled sample that models and thresholds are fitted on, in documents.
@@ -30,23 +29,14 @@ STRONG, PSEUDO, SHRINK = -1.5, 3.0, 10.0
 SHARP = 24.0
 LOWEST = -1e9
 
-_M, _K = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-
-
-@lru_cache(4)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of an odd number modulo 2**64, and of its inverse."""
-    inverse = pow(int(_M), -1, 1 << 64)
-    up, down = np.full(n, _M, dtype=np.uint64), np.full(n, inverse, dtype=np.uint64)
-    up[:1] = down[:1] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+_K = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the texts' words (A-Z lower-cased), the text of each, and hashes of pairs: pair i is of words i and i + 1, 0 across texts."""
     joined = b"\n".join(t.lower() for t in texts) + b"\n"
     raw = np.frombuffer(joined, dtype=np.uint8)
-    up, down = _powers(1 << int(len(raw)).bit_length())
+    up, down = powers(1 << len(raw).bit_length())
     sums = np.zeros(len(raw) + 1, dtype=np.uint64)
     np.cumsum(raw * up[: len(raw)], out=sums[1:])
     edge = np.diff(np.concatenate(([1], SPACE[raw].view(np.int8))))
@@ -57,7 +47,7 @@ def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     of = np.searchsorted(first, begin, "right") - 1
     pair = np.zeros_like(h)
     if len(h) > 1:
-        x = (h[:-1] * _M + h[1:]) * _K
+        x = (h[:-1] * ODD + h[1:]) * _K
         pair[:-1] = np.where(of[1:] == of[:-1], x | np.uint64(1), 0)
     return h, of, pair
 

@@ -12,6 +12,7 @@ from lamina.llm.language import op10_language_id
 from lamina.llm.lines import op5_line_dedup
 from lamina.llm.pii import op9_personal_data
 from lamina.llm.quality import op2_quality_classifier
+from lamina.llm.repeats import op8_suffix_dedup
 from lamina.llm.secrets import op3_secret_scan
 from lamina.llm.simhash import op4_simhash_near_dedup
 from lamina.llm.vectors import op1_embedding_near_dedup
@@ -26,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_line_dedup,
         op6_benchmark_decontamination,
         op7_byte_bpe,
+        op8_suffix_dedup,
         op9_personal_data,
         op10_language_id,
     )
