@@ -22,14 +22,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the folder all executors share, so that a lost executor costs no earlier work.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where none is set (as in tests) one is made.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The checkpoint folder, which the session's ``spark.checkpoint.dir`` names; only where none is set (as in tests) one is made."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lamina-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lamina-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed in the folder that all executors share, so that a lost executor costs no earlier work."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -106,5 +106,11 @@ def mark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     )
 
 
+def without_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` without the contaminated documents. Rows with a null id stay."""
+    found = mark(docs, benchmark, id_col, text_col, **options).where("contaminated").select(F.col(id_col).alias("__gone")).distinct()
+    return docs.join(found, docs[id_col] == F.col("__gone"), "left_anti")
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

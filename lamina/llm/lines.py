@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,17 +85,24 @@ def _halves(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return (x[:, 1] % np.uint64(SHARDS)).astype(np.int64), x[:, 0]
 
 
+def _keyed(ids: list, texts: list[bytes], least: int) -> tuple[list[bytes], list]:
+    """The different keys of each text, and the id of each key's text."""
+    keys: list[bytes] = []
+    of: list = []
+    for i, t in zip(ids, texts, strict=True):
+        got = {k for x in t.split(b"\n") if len(x) >= least and (k := key_of(x, least))}
+        keys += got
+        of += [i] * len(got)
+    return keys, of
+
+
 def references(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 20) -> DataFrame:
     """(key, doc): a row for each key of ``least`` code points or more and each row of ``docs`` with a non-null id that holds it."""
 
     def run(batches):
         for batch in batches:
             for ids, texts in rows_of(batch):
-                keys, of = [], []
-                for i, t in zip(ids, texts, strict=True):
-                    got = {k for x in t.split(b"\n") if len(x) >= least and (k := key_of(x, least))}
-                    keys += got
-                    of += [i] * len(got)
+                keys, of = _keyed(ids, texts, least)
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(of, pa.int64())], names=["key", "doc"])
 
     return as_bytes(docs.where(F.col(id_col).isNotNull()), id_col, text_col).mapInArrow(run, "key binary, doc long")
@@ -143,12 +151,8 @@ def filters(keys: DataFrame) -> DataFrame:
     return dealt.mapInArrow(build, "shard int, filter binary")
 
 
-def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 20, documents: int = 3) -> DataFrame:
-    """Per row of ``docs``: the id, ``n_lines``, ``n_dropped`` and ``kept`` (binary: the lines that stay, joined by newlines).
-
-    A null or empty text is one empty line. Keys under ``least`` code points are never dropped. Rows of one id are one document:
-    if it is the largest holder, all its rows keep the line. Rows with a null id are not counted and keep all lines.
-    """
+def drops(docs: DataFrame, id_col: str, text_col: str, least: int, documents: int) -> DataFrame:
+    """(__doc, __keys): the keys whose lines each document loses. Documents that lose none are missing."""
     spark = docs.sparkSession
     index = cut(LineIndex.of(docs, id_col, text_col, least, documents).repeated().select("key", "last"))
     n = index.count()
@@ -160,11 +164,7 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         held = sent and {s: Cuckoo(table=np.frombuffer(x, dtype=np.uint16).reshape(-1, 4)) for s, x in sent.value.items()}
         for batch in batches:
             for ids, texts in rows_of(batch):
-                keys, of = [], []
-                for i, t in zip(ids, texts, strict=True):
-                    got = {k for x in t.split(b"\n") if len(x) >= least and (k := key_of(x, least))}
-                    keys += got
-                    of += [i] * len(got)
+                keys, of = _keyed(ids, texts, least)
                 if held is not None and keys:
                     shard, h = _halves(keys)
                     hit = np.zeros(len(keys), dtype=bool)
@@ -176,27 +176,53 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     base = as_bytes(docs, id_col, text_col)
     hits = base.where("__id is not null").mapInArrow(probe, "key binary, doc long").join(index, "key").where("doc <> last")
-    drops = cut(hits.groupBy("doc").agg(F.collect_set("key").alias("keys")))
+    return cut(hits.groupBy("doc").agg(F.collect_set("key").alias("__keys")).withColumnRenamed("doc", "__doc"))
+
+
+def stay(text: bytes, keys: list[bytes] | None, least: int) -> tuple[bytes, int, int]:
+    """The text without the lines of ``keys``, its lines, and those dropped."""
+    lines = text.split(b"\n")
+    if not keys:
+        return text, len(lines), 0
+    gone = set(keys)
+    left = [x for x in lines if len(x) < least or key_of(x, least) not in gone]
+    return b"\n".join(left), len(lines), len(lines) - len(left)
+
+
+def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 20, documents: int = 3) -> DataFrame:
+    """Per row of ``docs``: the id, ``n_lines``, ``n_dropped`` and ``kept`` (binary: the lines that stay, joined by newlines).
+
+    A null or empty text is one empty line. Keys under ``least`` code points are never dropped. Rows of one id are one document:
+    if it is the largest holder, all its rows keep the line. Rows with a null id are not counted and keep all lines.
+    """
+    gone = drops(docs, id_col, text_col, least, documents)
 
     def work(batches):
         for batch in batches:
-            drop = batch.column(2).to_pylist()
-            sizes = {"__id": batch.column(0), "n_lines": [], "n_dropped": [], "kept": []}
-            for t, keys in zip(batch.column(1).to_pylist(), drop, strict=True):
-                lines = t.split(b"\n")
-                stay = lines
-                if keys:
-                    gone = set(keys)
-                    stay = [x for x in lines if len(x) < least or key_of(x, least) not in gone]
-                sizes["n_lines"].append(len(lines))
-                sizes["n_dropped"].append(len(lines) - len(stay))
-                sizes["kept"].append(b"\n".join(stay))
-            yield pa.RecordBatch.from_arrays([sizes["__id"], pa.array(sizes["n_lines"], pa.int64()), pa.array(sizes["n_dropped"], pa.int64()), pa.array(sizes["kept"], pa.binary())], names=["__id", "n_lines", "n_dropped", "kept"])
-
-    joined = base.join(drops, F.col("__id") == F.col("doc"), "left").select("__id", "__text", "keys")
+            kept, lines, dropped = zip(*(stay(t, k, least) for t, k in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)), strict=True) if batch.num_rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.binary())], names=["__id", "n_lines", "n_dropped", "kept"])
+
+    joined = as_bytes(docs, id_col, text_col).join(gone, F.col("__id") == F.col("__doc"), "left").select("__id", "__text", "__keys")
     return joined.mapInArrow(work, "__id long, n_lines long, n_dropped long, kept binary").withColumnRenamed("__id", id_col)
 
 
+def without_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars", least: int = 20, documents: int = 3) -> DataFrame:
+    """``docs`` with the dropped lines gone from their texts, and ``size_col``, if there is one, set to what is left of texts that lost some."""
+    gone = drops(docs, id_col, text_col, least, documents)
+
+    @F.pandas_udf("string")
+    def rewrite(texts: pd.Series, keys: pd.Series) -> pd.Series:
+        return pd.Series([stay(bytes(t), list(map(bytes, k)), least)[0].decode("utf-8", "replace") for t, k in zip(texts, keys, strict=True)], dtype="object")
+
+    # only texts that lose lines go through Python
+    joined = docs.join(gone, docs[id_col].cast("long") == F.col("__doc"), "left")
+    untouched = joined.where("__keys is null").select(*docs.columns)
+    changed = joined.where("__keys is not null").withColumn(text_col, rewrite(F.col(text_col).cast("string").cast("binary"), F.col("__keys")))
+    if size_col in docs.columns:
+        changed = changed.withColumn(size_col, F.length(text_col).cast(docs.schema[size_col].dataType))
+    return untouched.union(changed.select(*docs.columns))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = drop_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))

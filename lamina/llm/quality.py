@@ -12,6 +12,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -209,20 +210,47 @@ def kth_largest(values: DataFrame, col: str, k: int) -> float:
     return low
 
 
+def _gumbel(weight, id_col: str, seed: int):
+    """The weight plus noise that is a function of id and seed."""
+    u = (F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    return weight - F.log(-F.log(u))
+
+
+def _bar(keyed: DataFrame, k: int | None) -> float:
+    """What the Gumbel keys of the ``k`` kept reach at least; by default as many as have a weight of 0 or more."""
+    n, positive = keyed.agg(F.count(F.lit(1)), F.count_if(F.col("log_weight") >= 0)).first()
+    k = positive if k is None else k
+    return float("inf") if k <= 0 else float("-inf") if k >= n else kth_largest(keyed, "gumbel", k)
+
+
 def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int | None = None, seed: int = 42, **columns) -> DataFrame:
     """Per row of ``docs``: the id, ``log_weight``, ``gumbel`` (weight plus noise) and ``kept``: whether it is among the ``k`` largest.
 
-    ``k`` is by default the number of documents with a positive weight (if no model could be fitted: all). The noise is
-    a function of id and seed, so results repeat; rows tied with the k-th are kept. A text without words is never kept by default.
+    ``k`` is by default the number of documents with a weight of 0 or more (if no model could be fitted: all). The noise is
+    a function of id and seed, so results repeat; rows tied with the k-th are kept. A text without words has the lowest weight.
     """
     weighed = weigh(docs, fit(docs, labels, id_col, text_col, **columns), id_col, text_col)
-    u = (F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    keyed = cut(weighed.withColumn("gumbel", F.col("log_weight") - F.log(-F.log(u))))
-    if k is None:
-        k = keyed.where("log_weight >= 0").count()
-    n = keyed.count()
-    bar = float("inf") if k <= 0 else float("-inf") if k >= n else kth_largest(keyed, "gumbel", k)
-    return keyed.withColumn("kept", F.col("gumbel") >= F.lit(bar))
+    keyed = cut(weighed.withColumn("gumbel", _gumbel(F.col("log_weight"), id_col, seed)))
+    return keyed.withColumn("kept", F.col("gumbel") >= F.lit(_bar(keyed, k)))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int | None = None, seed: int = 42, **columns) -> DataFrame:
+    """The rows of ``docs`` that :func:`resample` keeps, weighed where they are read, so that no text is shuffled."""
+    model = fit(docs, labels, id_col, text_col, **columns)
+    keyed = cut(weigh(docs, model, id_col, text_col).withColumn("gumbel", _gumbel(F.col("log_weight"), id_col, seed)))
+    bar = _bar(keyed, k)
+
+    @F.pandas_udf("double")
+    def weight(texts: pd.Series) -> pd.Series:
+        out = np.zeros(len(texts))
+        if model is not None:
+            raw = [bytes(t) for t in texts]
+            for s in range(0, len(raw), 256):
+                out[s : s + 256] = model.weights(raw[s : s + 256])
+        return pd.Series(out)
+
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
+    return docs.where(_gumbel(weight(text), id_col, seed) >= F.lit(bar))
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
