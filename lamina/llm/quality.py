@@ -64,19 +64,26 @@ def _counts(h: np.ndarray, pair: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Log ratios by bucket; the target's mean, the threshold, and what parts the two, of both measures."""
+    """Log ratios by bucket (of rejected text: the buckets with strong evidence, and theirs); the target's mean, the threshold, and what parts the two, of both measures."""
 
     ratio: np.ndarray
-    reject: np.ndarray
+    buckets: np.ndarray
+    evidence: np.ndarray
     mean: tuple[float, float] = (0.0, 0.0)
     bar: tuple[float, float] = (0.0, 0.0)
     spread: tuple[float, float] = (1.0, 1.0)
 
+    def _against(self, bucket: np.ndarray) -> np.ndarray:
+        if not len(self.buckets):
+            return np.zeros(len(bucket))
+        at = np.minimum(np.searchsorted(self.buckets, bucket), len(self.buckets) - 1)
+        return np.where(self.buckets[at] == bucket, self.evidence[at], 0)
+
     def measures(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Words of each text, and its two measures."""
         h, of, pair = words(texts)
         one = self.ratio[_bucket(h, WORDS)] + np.where(pair > 0, self.ratio[WORDS + _bucket(pair, PAIRS)], 0)
-        two = self.reject[_bucket(h, REJECTS)]
+        two = self._against(_bucket(h, REJECTS))
         n = np.bincount(of, minlength=len(texts))
         means = [(np.bincount(of, weights=x, minlength=len(texts)) + SHRINK * m) / (n + SHRINK) for x, m in zip((one, two), self.mean, strict=True)]
         return n, means[0], means[1]
@@ -87,8 +94,21 @@ class Model:
         return np.where(n > 0, np.clip(SHARP * w, -1e6, 1e6), LOWEST)
 
 
+def _sums(counts: DataFrame, *columns: str) -> DataFrame:
+    """Sums by ``k``; partial sums of each task meet in a shuffle. In pieces so small that the driver gets each directly."""
+    return counts.groupBy("k").agg(*[F.sum(c).alias(c) for c in columns]).repartition(32, "k")
+
+
+def _dense(counts: DataFrame, column: str, n: int) -> np.ndarray:
+    """A column of counts by ``k``, of at most ``n`` rows whatever the input, as an array."""
+    got = counts.select("k", column).toPandas()
+    out = np.zeros(n)
+    out[got["k"].to_numpy(dtype=np.int64)] = got[column]
+    return out
+
+
 def raw_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
-    """Bucket counts of all documents; partial counts of each task are summed in a shuffle, and the driver gets one row per bucket."""
+    """Bucket counts of all documents."""
 
     def run(batches):
         total = np.zeros(WORDS + PAIRS, dtype=np.int64)
@@ -99,10 +119,7 @@ def raw_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         k = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(total[k], pa.int64())], names=["k", "n"])
 
-    got = as_bytes(docs, id_col, text_col).mapInArrow(run, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(WORDS + PAIRS)
-    out[got["k"].to_numpy(dtype=np.int64)] = got["n"]
-    return out
+    return _dense(_sums(as_bytes(docs, id_col, text_col).mapInArrow(run, "k int, n long"), "n"), "n", WORDS + PAIRS)
 
 
 def _threshold(good: np.ndarray, bad: np.ndarray) -> float:
@@ -130,35 +147,33 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     kind = F.when(F.col("x") > 0, 2).when(F.col("q") > 0, 0).otherwise(1).alias("kind")  # target, other, toxic
     rows = as_bytes(docs, id_col, text_col).join(F.broadcast(drawn), F.col("__id") == F.col("__i")).select(kind, "__text", half)  # bounded by ``sample``
 
+    grams = WORDS + PAIRS
+
     def count(batches):
-        total = {k: (np.zeros(WORDS + PAIRS, np.int64), np.zeros(REJECTS, np.int64)) for k in (0, 2)}
+        good, toxic = np.zeros(grams + REJECTS, dtype=np.int64), np.zeros(grams + REJECTS, dtype=np.int64)
         for batch in batches:
             for kinds, texts in rows_of(batch, 2 << 20):
                 h, of, pair = words(texts)
                 of = np.array(kinds)[of]
-                for k, (a, b) in total.items():
-                    a += _counts(h[of == k], pair[of == k])
-                    b += np.bincount(_bucket(h[of == k], REJECTS), minlength=REJECTS)
-        for k, parts in total.items():
-            x = np.concatenate(parts)
-            at = np.flatnonzero(x)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k), pa.int32()), pa.array(at, pa.int32()), pa.array(x[at], pa.int64())], names=["kind", "k", "n"])
-
-    got = rows.where("half = 0 and kind <> 1").mapInArrow(count, "kind int, k int, n long").groupBy("kind", "k").agg(F.sum("n").alias("n")).toPandas()
-    grams = {k: np.zeros(WORDS + PAIRS + REJECTS) for k in (0, 2)}
-    for k, x in grams.items():
-        mine = got[got["kind"] == k]
-        x[mine["k"].to_numpy(dtype=np.int64)] = mine["n"]
-    target, toxic = grams[0], grams[2]
+                good[:grams] += _counts(h[of == 0], pair[of == 0])
+                for k, x in ((0, good), (2, toxic)):
+                    x[grams:] += np.bincount(_bucket(h[of == k], REJECTS), minlength=REJECTS)
+        at = np.flatnonzero(good + toxic)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(good[at], pa.int64()), pa.array(toxic[at], pa.int64())], names=["k", "good", "toxic"])
+
+    counts = cut(_sums(rows.where("half = 0 and kind <> 1").mapInArrow(count, "k int, good long, toxic long"), "good", "toxic"))
+    target = _dense(counts.where(F.col("k") < grams), "good", grams)
     if not target.any():
         return None
     raw = raw_counts(docs, id_col, text_col)
     share = lambda x: (x + 1) / (x + 1).sum()
-    ratio = np.concatenate([np.log(share(target[a:b]) / share(raw[a:b])) for a, b in ((0, WORDS), (WORDS, WORDS + PAIRS))]).astype(np.float32)
-    a, b = target[WORDS + PAIRS :], toxic[WORDS + PAIRS :]
-    scale = a.sum() / max(1.0, b.sum())  # counts on the scale of the smaller side, for a pseudo-count to weigh as much on both
-    reject = np.log((a / max(scale, 1) + PSEUDO) / (b * min(scale, 1) + PSEUDO)).astype(np.float32)
-    model = Model(ratio, np.where(reject < STRONG, reject, 0).astype(np.float32))
+    ratio = np.concatenate([np.log(share(target[a:b]) / share(raw[a:b])) for a, b in ((0, WORDS), (WORDS, grams))]).astype(np.float32)
+    each = counts.where(F.col("k") >= grams)
+    a, b = (float(x or 0) for x in each.agg(F.sum("good"), F.sum("toxic")).first())
+    scale = a / max(1.0, b)  # counts on the scale of the smaller side, for a pseudo-count to weigh as much on both
+    against = F.log((F.col("good") / max(scale, 1.0) + PSEUDO) / (F.col("toxic") * min(scale, 1.0) + PSEUDO))
+    strong = each.select((F.col("k") - grams).alias("k"), against.alias("x")).where(F.col("x") < STRONG).toPandas().sort_values("k")
+    model = Model(ratio, strong["k"].to_numpy(dtype=np.int64), strong["x"].to_numpy(dtype=np.float64))
 
     def measure(batches):
         for batch in batches:
