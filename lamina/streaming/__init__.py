@@ -1,0 +1 @@
+"""There are no streaming operators: tables are finite. The operators that neither sort nor page also take streaming DataFrames."""
