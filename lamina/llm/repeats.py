@@ -1,14 +1,15 @@
 """Suffix dedup of bytes by column-wise multi-document construction.
 
-Every 100-byte string holds, among its 32-byte grams, one of least hash; the positions of such grams are anchors, chosen
-by the string's content alone, so equal strings have their anchors at equal offsets. Around each anchor that
-occurs more than once, the bytes that a 100-byte string with this anchor can cover make a piece, and pieces of one anchor are a
-collection of short documents aligned by columns. Their suffixes are sorted as multi-string Burrows-Wheeler construction does:
+Every 100-byte string holds, among its 32-byte grams, a first one of least hash, its anchor, which the string's content
+alone chooses: equal strings have it at equal offsets. Strings with the same anchor in a text follow each other; if the
+anchor's gram occurs more than once in the corpus, the bytes they cover to either side of it make a piece (the gram itself goes
+as 128 bits of hash), and the pieces of one gram are a collection of short documents aligned by columns. Their suffixes are sorted as multi-string Burrows-Wheeler construction does:
 column by column from the right, each round inserts one symbol of every piece. The symbols in the order of the round before are that column's
 segment of the transform; a stable sort by symbol gives the new order, and the common prefix of two neighbours is one more
-than the least one between their places in the old order. Neighbours with common prefixes of 100 or more are one string.
+than the least one between their places in the old order. Neighbours with common prefixes of 68 or more, the gram left out, are
+one string.
 
-Rounds run over at most 168 columns, not the longest document's bytes, and a column's segment takes the place of the one before,
+Rounds run over 136 columns, not the longest document's bytes, and a column's segment takes the place of the one before,
 since equal strings always meet in the same column; so the passes over external files that whole documents would need are
 passes over arrays of one task, whose pieces are dealt by anchor.
 """
@@ -19,19 +20,22 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm.common import ODD, cut, groups_of, powers, rows_of, slots, table
+from lamina.llm.common import bounds, cut, groups_of, powers, release, rows_of, slots, table
 
 #: Length of the strings, of the grams, and the grams in a string.
 LENGTH, GRAM = 100, 32
 REACH = LENGTH - GRAM  # bytes to either side of an anchor that a string with it can cover
-COLUMNS = 2 * REACH + GRAM
-#: The filter of repeated anchors: 256 slices of this many bits, 8 MB in all whatever the input. False hits cost time alone.
+COLUMNS = 2 * REACH
+#: The filters of repeated and of hot grams: 256 slices of this many bits, 8 MB each whatever the input. False hits cost time alone.
 SLICE_BITS = 1 << 18
-#: Different pieces of one anchor beyond which its strings are compared by hash in a shuffle rather than in one task.
-HOT = 200_000
+#: Occurrences of a gram beyond which its pieces don't meet in one task as they are.
+HOT = 5_000
+#: Kinds of spans: to remove; a hot piece, to remove unless it is the first of its like; such a first.
+GONE, HELD, FIRST = 0, 1, 2
 _K = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -44,29 +48,34 @@ def sliding(op: np.ufunc, x: np.ndarray, w: int) -> np.ndarray:
     return op(down[:n], up[w - 1 : w - 1 + n])
 
 
-def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
-    """Hashes and positions of the anchors in the joined texts, where each text begins (and the end), and the joined texts."""
+def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
+    """Of the joined texts' anchors: gram hash, place, and where the first and last string with it begin; where each text
+    begins (and the end); the joined texts."""
     joined = b"".join(texts)
     first = np.cumsum([0] + [len(t) for t in texts])
     raw = np.frombuffer(joined, dtype=np.uint8)
     n = len(raw)
     if n < LENGTH:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), first, joined
+        none = np.zeros(0, np.int64)
+        return none.view(np.uint64), none, none, none, first, joined
     up, down = powers(1 << n.bit_length())
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(raw * up[:n], out=sums[1:])
     h = (sums[GRAM:] - sums[:-GRAM]) * down[: n - GRAM + 1]
     h = (h ^ (h >> np.uint64(32))) * _K
-    h = (h ^ (h >> np.uint64(29))) | np.uint64(1)
-    least = sliding(np.minimum, h, REACH + 1)  # of the string that begins at each place
+    h ^= h >> np.uint64(29)
+    # the 33 highest bits of the hash, then the place: the least is the first of least hash
+    low = np.uint64((1 << 31) - 1)
+    least = sliding(np.minimum, (h & ~low) | np.arange(len(h), dtype=np.uint64), REACH + 1) & low
     ends = np.repeat(first[1:], np.diff(first))
-    least[np.arange(len(least)) + LENGTH > ends[: len(least)]] = 0  # strings don't cross documents
-    most = sliding(np.maximum, np.concatenate((np.zeros(REACH, np.uint64), least, np.zeros(REACH, np.uint64))), REACH + 1)
-    at = np.flatnonzero(most[: len(h)] == h)
-    return h[at], at, first, joined
+    begin = np.flatnonzero(np.arange(len(least)) + LENGTH <= ends[: len(least)])  # strings don't cross documents
+    at = least[begin].astype(np.int64)
+    new = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))) if len(at) else begin
+    last = np.append(new[1:], len(at)) - 1 if len(at) else begin
+    return h[at[new]], at[new], begin[new], begin[last], first, joined
 
 
-def columnwise(pieces: np.ndarray, group: np.ndarray, rank: np.ndarray, length: int = LENGTH) -> np.ndarray:
+def columnwise(pieces: np.ndarray, group: np.ndarray, rank: np.ndarray, length: int = REACH) -> np.ndarray:
     """For each piece (a row of symbols, 0 where it has none) and each column, whether the string of ``length`` symbols
     from there also stands, in the same column, in a piece of its group with a smaller ``rank``.
 
@@ -109,149 +118,180 @@ def intervals(repeated: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, n
     return row, begin, end + length - 1
 
 
-def _merge(spans: np.ndarray) -> np.ndarray:
-    """Sorted, disjoint and not touching spans that cover what the rows (begin, end) do."""
-    spans = spans[np.argsort(spans[:, 0], kind="stable")]
-    reach = np.maximum.accumulate(spans[:, 1])
-    new = np.concatenate(([True], spans[1:, 0] > reach[:-1]))
-    return np.stack((spans[new, 0], reach[np.append(np.flatnonzero(new)[1:] - 1, len(spans) - 1)]), axis=1)
+def _merge(spans: list[dict]) -> list[list[int]]:
+    """Sorted, disjoint and not touching (begin, end) of what goes of a document."""
+    firsts = {x["begin"] for x in spans if x["kind"] == FIRST}  # a document's pieces differ in where they begin
+    gone = np.array([(x["begin"], x["end"]) for x in spans if x["kind"] == GONE or x["kind"] == HELD and x["begin"] not in firsts], dtype=np.int64)
+    if not len(gone):
+        return []
+    gone = gone[np.argsort(gone[:, 0], kind="stable")]
+    reach = np.maximum.accumulate(gone[:, 1])
+    new = np.concatenate(([True], gone[1:, 0] > reach[:-1]))
+    return np.stack((gone[new, 0], reach[np.append(np.flatnonzero(new)[1:] - 1, len(gone) - 1)]), axis=1).tolist()
+
+
+def _name(h: int, x: int, piece: bytes, left: int) -> bytes:
+    return hashlib.blake2b(b"%d,%d,%d," % (h, x, left) + piece, digest_size=16).digest()
+
+
+def _sizes(rows: pa.Table) -> np.ndarray:
+    """For each row the rows of its gram."""
+    size = np.diff(bounds(rows, 2))
+    return np.repeat(size, size)
+
+
+def _compare(rows: pa.Table) -> pa.RecordBatch:
+    """Spans to remove of whole groups of pieces (h, x, piece, left, doc, v, pos), sorted by h and x.
+
+    Of equal pieces the first stands for all; the others go as a whole. Different ones are compared column by column.
+    """
+    rows = rows.filter(pa.array(_sizes(rows) > 1))
+    h, x, left, doc, v, pos = (rows.column(c).to_numpy() for c in ("h", "x", "left", "doc", "v", "pos"))
+    text = rows.column("piece").to_pylist()
+    length = np.array([len(t) for t in text], dtype=np.int64)
+    order = np.lexsort((pos, v, doc))
+    rank = np.empty(len(text), dtype=np.int64)
+    d, w, q = doc[order], v[order], pos[order]
+    rank[order] = np.cumsum(np.concatenate(([0], (d[1:] != d[:-1]) | (w[1:] != w[:-1]) | (q[1:] != q[:-1]))))[: len(text)]
+    names = list(zip(h.tolist(), x.tolist(), left.tolist(), text, strict=True))
+    one: dict[tuple[int, int, int, bytes], int] = {}
+    for k in order.tolist():
+        one.setdefault(names[k], k)
+    kept = np.zeros(len(text), dtype=bool)
+    kept[np.fromiter(one.values(), dtype=np.int64, count=len(one))] = True
+    # an equal place is the same row given twice, and not an earlier one
+    copy = np.flatnonzero(rank > np.array([rank[one[y]] for y in names], dtype=np.int64))
+    out = [(doc[copy], v[copy], (pos - left)[copy], (pos - left + length + GRAM)[copy])]
+    size = _sizes(rows.filter(pa.array(kept)))
+    two = np.flatnonzero(kept)[size > 1]
+    if len(two):
+        symbols = np.zeros((len(two), COLUMNS), dtype=np.uint16)
+        for row, k in enumerate(two.tolist()):
+            a = REACH - left[k]
+            symbols[row, a : a + length[k]] = np.frombuffer(text[k], dtype=np.uint8)
+            symbols[row, a : a + length[k]] += 1
+        new = np.concatenate(([True], (h[two][1:] != h[two][:-1]) | (x[two][1:] != x[two][:-1])))
+        row, a, b = intervals(columnwise(symbols, np.cumsum(new), rank[two]))
+        start = (pos[two] - REACH)[row]
+        out.append((doc[two][row], v[two][row], start + a, start + b))
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out, strict=True)], names=["doc", "v", "begin", "end"])
 
 
 def repeated_spans(base: DataFrame) -> DataFrame:
-    """(doc, v, begin, end): byte spans to remove, of rows (doc, text, v); ``v`` orders rows of one ``doc``. Spans may overlap."""
+    """(doc, v, begin, end, kind): byte spans of rows (doc, text, v); ``v`` orders rows of one ``doc``. Spans may overlap.
+
+    Pieces of a gram meet in one task, unless it occurs over HOT times: then equal pieces are reduced to their first before the
+    shuffle, each document is told which of its pieces are such firsts, and its other hot pieces go. If over HOT different
+    pieces of a gram are left, their strings are compared by hash, again reduced before the shuffle.
+    """
     spark = base.sparkSession
     n = slots(spark)
 
     def count(batches):
         for batch in batches:
-            for _, texts in rows_of(batch, 2 << 20):
-                h, _, _, _ = anchors(texts)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
+            for _, texts in rows_of(batch):
+                yield pa.RecordBatch.from_arrays([pa.array(anchors(texts)[0].view(np.int64))], names=["h"])
 
     again = base.select("doc", "text").mapInArrow(count, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
+    def bits_of(h: np.ndarray) -> np.ndarray:
+        return np.concatenate([(h >> np.uint64(shift)) & np.uint64(SLICE_BITS - 1) for shift in (8, 26, 38)])  # an anchor's highest bits are small
+
     def slice_bits(batches):
         for whole in groups_of(batches, 1):
-            slices, h = whole.column(0).to_numpy(), whole.column(1).to_numpy().view(np.uint64)
+            slices, h, times = whole.column(0).to_numpy(), whole.column(1).to_numpy().view(np.uint64), whole.column(2).to_numpy()
             for s in np.unique(slices):
-                bits = np.zeros(SLICE_BITS, dtype=bool)
-                for shift in (0, 18, 36):
-                    bits[(h[slices == s] >> np.uint64(shift)) & np.uint64(SLICE_BITS - 1)] = True
-                yield pa.RecordBatch.from_arrays([pa.array([int(s)], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["s", "bits"])
-
-    sliced = again.select(F.shiftrightunsigned("h", 56).cast("int").alias("s"), "h").repartition(min(256, n), "s").sortWithinPartitions("s").mapInArrow(slice_bits, "s int, bits binary")
-    table = np.zeros((256, SLICE_BITS // 8), dtype=np.uint8)
-    for r in sliced.collect():  # 256 rows of 32 kB at most
-        table[r.s] = np.frombuffer(r.bits, dtype=np.uint8)
-    sent = spark.sparkContext.broadcast(table)
-
-    def seen(h: np.ndarray) -> np.ndarray:
-        """Whether the filter holds each hash."""
-        out, s = np.ones(len(h), dtype=bool), (h >> np.uint64(56)).astype(np.int64)
-        for shift in (0, 18, 36):
-            bit = ((h >> np.uint64(shift)) & np.uint64(SLICE_BITS - 1)).astype(np.int64)
-            out &= (sent.value[s, bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 > 0
-        return out
-
-    def occurrences(texts: list[bytes]):
-        """Per anchor that the filter holds: its text's place in the list, hash, piece, bytes left of the anchor, and the anchor's place in the text."""
-        h, at, first, joined = anchors(texts)
-        hit = seen(h)
-        h, at = h[hit].view(np.int64), at[hit]
+                bits = np.zeros((2, SLICE_BITS), dtype=bool)
+                bits[0, bits_of(h[slices == s])] = True
+                bits[1, bits_of(h[(slices == s) & (times > HOT)])] = True
+                packed = [np.packbits(x, bitorder="little").tobytes() if x.any() else None for x in bits]
+                yield pa.RecordBatch.from_arrays([pa.array([int(s)], pa.int32()), *(pa.array([x], pa.binary()) for x in packed)], names=["s", "bits", "hot"])
+
+    dealt = again.select(F.col("h").bitwiseAND(F.lit(255)).cast("int").alias("s"), "h", "n").repartition(min(256, n), "s").sortWithinPartitions("s")
+    tables = np.zeros((2, 256, SLICE_BITS // 8), dtype=np.uint8)
+    for r in dealt.mapInArrow(slice_bits, "s int, bits binary, hot binary").toLocalIterator():  # 256 rows of 64 kB at most
+        for k, x in enumerate((r.bits, r.hot)):
+            if x is not None:
+                tables[k, r.s] = np.frombuffer(x, dtype=np.uint8)
+    any_hot = bool(tables[1].any())
+    del again, dealt
+    release(spark)  # the grams' shuffle is as large as a third of the input
+    sent = spark.sparkContext.broadcast(tables if any_hot else tables[:1])
+
+    def held(h: np.ndarray, k: int) -> np.ndarray:
+        """Whether the filter of repeated grams (k = 0) or hot ones (1) holds each hash."""
+        if k and not any_hot:
+            return np.zeros(len(h), dtype=bool)
+        s = np.tile((h & np.uint64(255)).astype(np.int64), 3)
+        bit = bits_of(h).astype(np.int64)
+        return ((sent.value[k, s, bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).reshape(3, -1).all(axis=0)
+
+    def occurrences(texts: list[bytes], hot: bool):
+        """Per repeated anchor, of hot grams or the others: its text's place in the list, two hashes of its gram, piece, bytes left of the gram, and place in the text."""
+        h, at, begin, last, first, joined = anchors(texts)
+        hit = held(h, 0)
+        hit &= held(h, 1) == hot
+        h, at, begin, end = h[hit].view(np.int64), at[hit], begin[hit], last[hit] + LENGTH
         of = np.searchsorted(first, at, "right") - 1
-        left = np.minimum(REACH, at - first[of])
-        end = np.minimum(at + LENGTH, first[of + 1])
-        return of, h, [joined[a:b] for a, b in zip((at - left).tolist(), end.tolist(), strict=True)], left, at - first[of]
+        places = list(zip(begin.tolist(), at.tolist(), (at + GRAM).tolist(), end.tolist(), strict=True))
+        x = np.array([xxhash.xxh64_intdigest(joined[p:q]) for _, p, q, _ in places], dtype=np.uint64).view(np.int64)
+        return of, h, x, [joined[a:p] + joined[q:b] for a, p, q, b in places], at - begin, at - first[of]
 
-    def pieces(batches):
-        for batch in batches:
-            v = dict(enumerate(batch.column(2).to_pylist()))
-            at = 0
-            for ids, texts in rows_of(batch, 2 << 20):
-                of, h, piece, left, pos = occurrences(texts)
-                one: dict[tuple[int, bytes, int], int] = {}  # the first of equal pieces of a batch stands for them: ids need not be in order
-                order = sorted(range(len(piece)), key=lambda k: (ids[of[k]], v[at + of[k]], pos[k]))
-                for k in order:
-                    one.setdefault((int(h[k]), piece[k], int(left[k])), k)
-                keep = np.fromiter(one.values(), dtype=np.int64, count=len(one))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[keep]), pa.array([piece[k] for k in keep], pa.binary()), pa.array(left[keep].astype(np.int32)), pa.array([ids[k] for k in of[keep]], pa.int64()), pa.array([v[at + k] for k in of[keep]], pa.int64()), pa.array(pos[keep])],
-                    names=["h", "piece", "left", "doc", "v", "pos"],
-                )
-                at += len(ids)
+    def pieces(hot: bool):
+        def run(batches):
+            for batch in batches:
+                v, at = np.array(batch.column(2).to_pylist(), dtype=np.int64), 0
+                for ids, texts in rows_of(batch):
+                    of, h, x, piece, left, pos = occurrences(texts, hot)
+                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(x), pa.array(piece, pa.binary()), pa.array(left.astype(np.int32)), pa.array(np.array(ids, dtype=np.int64)[of]), pa.array(v[at + of]), pa.array(pos)], names=["h", "x", "piece", "left", "doc", "v", "pos"])
+                    at += len(ids)
+
+        return run
+
+    shape, spans = "h long, x long, piece binary, left int, doc long, v long, pos long", "doc long, v long, begin long, end long"
 
-    # different pieces with their first occurrence; equal pieces are reduced before the shuffle
-    distinct = base.mapInArrow(pieces, "h long, piece binary, left int, doc long, v long, pos long").groupBy("h", "piece", "left").agg(F.min(F.struct("doc", "v", "pos")).alias("first"))
-    distinct = cut(distinct.select("h", "left", "piece", "first.doc", "first.v", "first.pos"))
-    counts = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    def compare(batches):
+        for whole in groups_of(batches, 2, 50_000):
+            yield _compare(whole)
+
+    found = base.mapInArrow(pieces(False), shape).repartition(n, "h", "x").sortWithinPartitions("h", "x").mapInArrow(compare, spans).withColumn("kind", F.lit(GONE))
+    if not any_hot:
+        return found
+
+    # hot grams: different pieces with their first occurrence
+    distinct = base.mapInArrow(pieces(True), shape).groupBy("h", "x", "piece", "left").agg(F.min(F.struct("doc", "v", "pos")).alias("first"))
+    distinct = cut(distinct.select("h", "x", "piece", "left", "first.doc", "first.v", "first.pos"))
+    counts = distinct.groupBy("h", "x").agg(F.count(F.lit(1)).alias("n"))
 
-    # 1. all that an occurrence of a piece covers, if it is not the first of that piece and the piece holds a string
     def places(batches):
         for batch in batches:
-            v = batch.column(2).to_pylist()
-            at = 0
-            for ids, texts in rows_of(batch, 2 << 20):
-                of, h, piece, left, pos = occurrences(texts)
-                names = [hashlib.blake2b(p, digest_size=16, salt=int(a).to_bytes(2, "little")).digest() for p, a in zip(piece, left, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(names, pa.binary()), pa.array([ids[k] for k in of], pa.int64()), pa.array([v[at + k] for k in of], pa.int64()), pa.array(pos), pa.array(pos - left), pa.array(pos - left + np.array([len(p) for p in piece], dtype=np.int64))],
-                    names=["name", "doc", "v", "pos", "begin", "end"],
-                )
+            v, at = np.array(batch.column(2).to_pylist(), dtype=np.int64), 0
+            for ids, texts in rows_of(batch):
+                h, place, begin, last, first, _ = anchors(texts)
+                hit = held(h, 0) & held(h, 1)
+                of = np.searchsorted(first, place[hit], "right") - 1
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, dtype=np.int64)[of]), pa.array(v[at + of]), pa.array(begin[hit] - first[of]), pa.array(last[hit] - first[of] + LENGTH), pa.array(np.full(len(of), HELD, np.int32))], names=["doc", "v", "begin", "end", "kind"])
                 at += len(ids)
 
-    def named(batches):
-        for batch in batches:
-            left, piece = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            names = [hashlib.blake2b(p, digest_size=16, salt=int(a).to_bytes(2, "little")).digest() for p, a in zip(piece, left, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), *batch.columns[2:]], names=["name", "doc1", "v1", "pos1"])
-
-    firsts = distinct.select("left", "piece", "doc", "v", "pos").mapInArrow(named, "name binary, doc1 long, v1 long, pos1 long")
-    spans = base.mapInArrow(places, "name binary, doc long, v long, pos long, begin long, end long")
-    copies = spans.join(firsts, "name").where(F.struct("doc", "v", "pos") > F.struct("doc1", "v1", "pos1")).where(f"end - begin >= {LENGTH}").select("doc", "v", "begin", "end")
-
-    # 2. what two different pieces of an anchor share, column by column
-    def construct(batches):
-        for whole in groups_of(batches, 1, 50_000):
-            group = whole.column("h").to_numpy()
-            size = np.diff(np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1], [True]))))
-            part = whole.filter(pa.array(np.repeat(size, size) > 1))
-            if not part.num_rows:
-                continue
-            text, left = part.column("piece").to_pylist(), part.column("left").to_numpy()
-            symbols = np.zeros((len(text), COLUMNS), dtype=np.uint16)
-            for k, (t, a) in enumerate(zip(text, left.tolist(), strict=True)):
-                symbols[k, REACH - a : REACH - a + len(t)] = np.frombuffer(t, dtype=np.uint8)
-            begin, stop = REACH - left, REACH - left + np.array([len(t) for t in text])
-            column = np.arange(COLUMNS)
-            symbols += ((column >= begin[:, None]) & (column < stop[:, None])).astype(np.uint16)
-            doc, v, pos = (part.column(c).to_numpy() for c in ("doc", "v", "pos"))
-            rank = np.empty(len(text), dtype=np.int64)
-            order = np.lexsort((pos, v, doc))
-            rank[order] = np.cumsum(np.concatenate(([0], (doc[order][1:] != doc[order][:-1]) | (v[order][1:] != v[order][:-1]) | (pos[order][1:] != pos[order][:-1]))))
-            row, a, b = intervals(columnwise(symbols, part.column("h").to_numpy(), rank))
-            start = (pos - REACH)[row]
-            yield pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array(v[row]), pa.array(start + a), pa.array(start + b)], names=["doc", "v", "begin", "end"])
-
-    small = distinct.join(counts.where(F.col("n").between(2, HOT)), "h", "left_semi").select("h", "left", "piece", "doc", "v", "pos")
-    shared = small.repartition(n, "h").sortWithinPartitions("h").mapInArrow(construct, "doc long, v long, begin long, end long")
-
-    # 3. anchors with very many different pieces: each string by its hash, reduced before the shuffle
-    hot = counts.where(F.col("n") > HOT)
-    if hot.limit(1).count():
+    start = F.col("pos") - F.col("left")
+    firsts = distinct.select("doc", "v", start.alias("begin"), (start + F.length("piece") + GRAM).alias("end"), F.lit(FIRST).alias("kind"))
+    found = found.union(base.mapInArrow(places, f"{spans}, kind int")).union(firsts)
+    few = distinct.join(counts.where(F.col("n").between(2, HOT)), ["h", "x"], "left_semi")
+    found = found.union(few.select("h", "x", "piece", "left", "doc", "v", "pos").repartition(n, "h", "x").sortWithinPartitions("h", "x").mapInArrow(compare, spans).withColumn("kind", F.lit(GONE)))
+
+    many = counts.where(F.col("n") > HOT)
+    if many.limit(1).count():
 
         def strings(batches):
-            for batch in batches:
-                rows = batch.to_pydict()
-                for text, a, doc, v, pos in zip(rows["piece"], rows["left"], rows["doc"], rows["v"], rows["pos"], strict=True):
-                    k = range(max(0, len(text) - LENGTH + 1))
-                    names = [hashlib.blake2b(text[x : x + LENGTH], digest_size=16).digest() for x in k]
-                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([doc] * len(k), pa.int64()), pa.array([v] * len(k), pa.int64()), pa.array([pos - a + x for x in k], pa.int64())], names=["name", "doc", "v", "begin"])
+            for b in batches:
+                for h, x, text, a, doc, v, pos in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    k = range(len(text) - REACH + 1)
+                    yield pa.RecordBatch.from_arrays([pa.array([_name(h, x, text[y : y + REACH], a - y) for y in k], pa.binary()), pa.array([doc] * len(k), pa.int64()), pa.array([v] * len(k), pa.int64()), pa.array([pos - a + y for y in k], pa.int64())], names=["name", "doc", "v", "begin"])
 
-        each = distinct.join(hot, "h", "left_semi").select("piece", "left", "doc", "v", "pos").mapInArrow(strings, "name binary, doc long, v long, begin long")
+        each = distinct.join(many, ["h", "x"], "left_semi").select("h", "x", "piece", "left", "doc", "v", "pos").mapInArrow(strings, "name binary, doc long, v long, begin long")
         least = each.groupBy("name").agg(F.min(F.struct("doc", "v", "begin")).alias("first"))
-        more = each.join(least, "name").where(F.struct("doc", "v", "begin") > F.col("first")).select("doc", "v", "begin", (F.col("begin") + LENGTH).alias("end"))
-        shared = shared.union(more)
-    return copies.union(shared)
+        found = found.union(each.join(least, "name").where(F.struct("doc", "v", "begin") > F.col("first")).select("doc", "v", "begin", (F.col("begin") + LENGTH).alias("end"), F.lit(GONE).alias("kind")))
+    return found
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -264,7 +304,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     every = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("doc"), text.cast("binary").alias("text"), F.xxhash64(text).alias("v"))
     long = every.select("doc", "text", "v").where(F.length("text") >= LENGTH)
-    spans = repeated_spans(long).groupBy("doc", "v").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
+    spans = repeated_spans(long).groupBy("doc", "v").agg(F.collect_set(F.struct("begin", "end", "kind")).alias("spans"))
 
     def work(batches):
         for batch in batches:
@@ -273,7 +313,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for t, s in zip(texts, batch.column(2).to_pylist(), strict=True):
                 keep, gone = [], 0
                 at = 0
-                merged = _merge(np.array([(x["begin"], x["end"]) for x in s], dtype=np.int64)).tolist() if s else []
+                merged = _merge(s) if s else []
                 for a, b in merged:
                     keep.append(t[at:a])
                     gone += b - a
