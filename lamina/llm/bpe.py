@@ -170,11 +170,11 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **o
 
     def work(batches):
         for b in batches:
-            ids = [np.array(x, dtype="<u4").tobytes() for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([hashlib.sha256(x).hexdigest() for x in b.column(2).to_pylist()])],
-                names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            every, raw = b.column(1), b.column(2)
+            at = every.offsets.to_numpy()  # ids are hashed where they lie, not made Python numbers
+            values = np.ascontiguousarray(every.values.to_numpy(zero_copy_only=False), dtype="<u4")
+            ids = [hashlib.sha256(values[x:y]).hexdigest() for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(at).astype(np.int64)), pa.array(ids), pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in raw])], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return encode(docs, id_col, text_col, **options).mapInArrow(work, f"`{id_col}` long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -7,12 +7,14 @@ an empty result with the same schema; repeated rows give repeated rows.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +38,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished steps that nothing refers to any more; it does so when garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def slots(spark: SparkSession) -> int:
     """Partitions to deal Python work into: those of a shuffle."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -46,18 +54,18 @@ def as_bytes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("__text"))
 
 
-def rows_of(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[tuple[list, list[bytes]]]:
+def rows_of(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[tuple[list, list[bytes]]]:
     """Ids and texts of a batch in pieces of about ``most`` bytes, so that work arrays stay small whatever the texts' lengths."""
-    ids, texts = batch.column(0).to_pylist(), batch.column(1)
-    sizes = np.cumsum([0] + [len(x) for x in texts.to_pylist()]) if batch.num_rows else np.zeros(1)
+    ids, texts = batch.column(0), batch.column(1)
+    sizes = np.concatenate(([0], np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)))
     begin = 0
     while begin < batch.num_rows:
         end = max(begin + 1, int(np.searchsorted(sizes, sizes[begin] + most, "right")) - 1)
-        yield ids[begin:end], texts.slice(begin, end - begin).to_pylist()
+        yield ids.slice(begin, end - begin).to_pylist(), texts.slice(begin, end - begin).to_pylist()
         begin = end
 
 
-def map_texts(df: DataFrame, work: Callable[[list, list[bytes]], dict[str, object]], schema: str) -> DataFrame:
+def map_texts(df: DataFrame, work: Callable[[list, list[bytes]], dict[str, object]], schema: str, most: int = 1 << 20) -> DataFrame:
     """``work(ids, texts)`` over pieces of ``df`` (the columns of :func:`as_bytes`); it returns the columns of ``schema``."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -66,7 +74,7 @@ def map_texts(df: DataFrame, work: Callable[[list, list[bytes]], dict[str, objec
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, texts in rows_of(batch):
+            for ids, texts in rows_of(batch, most):
                 out = work(ids, texts)
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in kind], schema=kind)
 
@@ -128,7 +136,7 @@ def grid(df: DataFrame, keys: list[str], id_col: str, block: int) -> DataFrame:
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-@lru_cache(4)
+@lru_cache(2)
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of an odd number modulo 2**64, and of its inverse."""
     inverse = pow(int(ODD), -1, 1 << 64)

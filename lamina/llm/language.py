@@ -175,7 +175,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             out["spans"][d] = ",".join(spans[d])
         return out
 
-    return map_texts(as_bytes(docs, id_col, text_col), work, "id long, lang_pred string, score double, spans string").withColumnRenamed("id", id_col)
+    return map_texts(as_bytes(docs, id_col, text_col), work, "id long, lang_pred string, score double, spans string", 2 << 20).withColumnRenamed("id", id_col)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

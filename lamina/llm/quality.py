@@ -113,7 +113,7 @@ def raw_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def run(batches):
         total = np.zeros(WORDS + PAIRS, dtype=np.int64)
         for batch in batches:
-            for _, texts in rows_of(batch, 2 << 20):
+            for _, texts in rows_of(batch):
                 h, _, pair = words(texts)
                 total += _counts(h, pair)
         k = np.flatnonzero(total)
@@ -152,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def count(batches):
         good, toxic = np.zeros(grams + REJECTS, dtype=np.int64), np.zeros(grams + REJECTS, dtype=np.int64)
         for batch in batches:
-            for kinds, texts in rows_of(batch, 2 << 20):
+            for kinds, texts in rows_of(batch):
                 h, of, pair = words(texts)
                 of = np.array(kinds)[of]
                 good[:grams] += _counts(h[of == 0], pair[of == 0])
@@ -177,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def measure(batches):
         for batch in batches:
-            for kinds, texts in rows_of(batch, 2 << 20):
+            for kinds, texts in rows_of(batch):
                 n, one, two = model.measures(texts)
                 yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(n, pa.int64()), pa.array(one), pa.array(two)], names=["kind", "n", "one", "two"])
 
@@ -199,7 +199,7 @@ def weigh(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
 
     def run(batches):
         for batch in batches:
-            for ids, texts in rows_of(batch, 2 << 20):
+            for ids, texts in rows_of(batch):
                 w = np.zeros(len(ids)) if model is None else model.weights(texts)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(w, pa.float64())], names=["__id", "log_weight"])
 
