@@ -29,7 +29,7 @@ def write_table(rows: DataFrame, path: str, cluster: list[str] | None = None, mo
 
 def export_csv(rows: DataFrame, path: str, header: bool = True) -> None:
     """CSV that :func:`lamina.sources.delimited.read_csv` reads back: quotes where needed, doubled within."""
-    rows.write.csv(path, header=header, quote='"', escape='"', emptyValue="", dateFormat="yyyy-MM-dd", timestampNTZFormat="yyyy-MM-dd HH:mm:ss", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    rows.write.option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(path, header=header, quote='"', escape='"', emptyValue="", dateFormat="yyyy-MM-dd", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def describe(rows: DataFrame) -> list[tuple[str, str]]:
