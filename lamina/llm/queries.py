@@ -33,4 +33,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-SQL: dict[str, str] = {}
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+SQL: dict[str, str] = {
+    "op5_line_dedup": f"""
+WITH parts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents),
+lines AS (SELECT doc_id, unnest(p) AS line, unnest(range(len(p))) AS k FROM parts),
+keyed AS (SELECT doc_id, k, line, translate(trim(line, {BLANK}), '{UPPER}', '{LOWER}') AS key FROM lines),
+shared AS (SELECT key, max(doc_id) AS last FROM keyed WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+marked AS (SELECT d.doc_id, d.k, d.line, s.key IS NOT NULL AND s.last <> d.doc_id AS gone FROM keyed d LEFT JOIN shared s ON d.key = s.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id""",
+}
