@@ -45,8 +45,20 @@ class Cuckoo:
         one = (h >> np.uint64(20)) & mask
         return fp.astype(np.uint16), one.astype(np.int64), ((one ^ (fp * np.uint64(0x5BD1E995))) & mask).astype(np.int64)
 
+    @classmethod
+    def of(cls, h: np.ndarray) -> Cuckoo:
+        """A filter that holds the hashes: of the size for their number or, where they find no places in that, of twice it, and so on."""
+        for turn in range(16):
+            made = cls(len(h) << turn)
+            try:
+                made.insert(h)
+            except OverflowError:
+                continue
+            return made
+        raise OverflowError("more equal hashes than two buckets hold")
+
     def insert(self, h: np.ndarray) -> None:
-        """Adds hashes (uint64); grows never: a filter is sized for its shard, and a failed insert raises."""
+        """Adds hashes (uint64); a filter never grows in place, and one that is too full raises, its content then undefined."""
         fp, one, two = self._places(h)
         for f, a, b in zip(fp.tolist(), one.tolist(), two.tolist(), strict=True):
             at = a
@@ -143,9 +155,7 @@ def filters(keys: DataFrame) -> DataFrame:
             shards, values = whole.column(0).to_numpy(), whole.column(1).to_pylist()
             for s in np.unique(shards):
                 _, h = _halves([k for k, x in zip(values, shards, strict=True) if x == s])
-                f = Cuckoo(len(h))
-                f.insert(h)
-                yield pa.RecordBatch.from_arrays([pa.array([int(s)], pa.int32()), pa.array([f.table.tobytes()], pa.binary())], names=["shard", "filter"])
+                yield pa.RecordBatch.from_arrays([pa.array([int(s)], pa.int32()), pa.array([Cuckoo.of(h).table.tobytes()], pa.binary())], names=["shard", "filter"])
 
     dealt = keys.select(shard.alias("shard"), "key").repartition(min(SHARDS, slots(keys.sparkSession)), "shard").sortWithinPartitions("shard")
     return dealt.mapInArrow(build, "shard int, filter binary")
@@ -157,8 +167,10 @@ def drops(docs: DataFrame, id_col: str, text_col: str, least: int, documents: in
     index = cut(LineIndex.of(docs, id_col, text_col, least, documents).repeated().select("key", "last"))
     n = index.count()
     sent = None
-    if n * 5 <= FILTER_BYTES:  # 16 bits a key at a load of 0.4 to 0.8
-        sent = spark.sparkContext.broadcast({r.shard: bytes(r.filter) for r in filters(index).collect()})
+    if n * 5 <= FILTER_BYTES:  # 16 bits a key at a load of 0.4 to 0.8; some filters may have had to grow
+        built = cut(filters(index))
+        if (built.agg(F.sum(F.length("filter"))).first()[0] or 0) <= FILTER_BYTES:
+            sent = spark.sparkContext.broadcast({r.shard: bytes(r.filter) for r in built.collect()})
 
     def probe(batches):
         held = sent and {s: Cuckoo(table=np.frombuffer(x, dtype=np.uint16).reshape(-1, 4)) for s, x in sent.value.items()}

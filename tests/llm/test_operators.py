@@ -123,6 +123,15 @@ def test_cuckoo():
     assert f.has(h[2500:]).all() and f.has(h[:2500]).mean() < 0.05
 
 
+def test_cuckoo_grows():
+    for n in (12, 25, 51):
+        for seed in range(400):
+            h = np.random.default_rng(seed).integers(0, 1 << 64, n, dtype=np.uint64)
+            assert lines.Cuckoo.of(h).has(h).all()
+    with pytest.raises(OverflowError):
+        lines.Cuckoo.of(np.full(9, 77, dtype=np.uint64))
+
+
 def test_contamination(docs, none, spark):
     bench = spark.createDataFrame([(1, PASSAGE), (10, "one"), (3, ""), (4, None), (None, "x")], "item_id long, text string")
     got = by_id(contamination.mark(docs, bench))
