@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
+from itertools import accumulate
 
 #: (start, rank of the kind, kind, end), so that sorting gives the order of a report.
 Span = tuple[int, int, str, int]
@@ -17,12 +19,9 @@ def digest(spans: list[Span]) -> str:
 
 
 def beside(new: list[Span], base: list[Span]) -> list[Span]:
-    """Those of ``new`` that overlap none of ``base``."""
+    """Those of ``new`` that overlap none of ``base``. Spans are not empty."""
     if not base:
         return new
-    taken = sorted((s, e) for s, _, _, e in base)
-    out = []
-    for x in new:
-        if not any(s < x[3] and x[0] < e for s, e in taken):
-            out.append(x)
-    return out
+    starts, reach = zip(*sorted((s, e) for s, _, _, e in base), strict=True)
+    reach = list(accumulate(reach, max))  # how far any span up to this one goes
+    return [x for x in new if not (k := bisect_left(starts, x[3])) or reach[k - 1] <= x[0]]
