@@ -66,7 +66,7 @@ class Model:
         self.logp = np.log((grams + 0.1) / (grams + 0.1).sum(axis=0)).astype(np.float32)
         share = scripts / np.maximum(scripts.sum(axis=0), 1)
         bars = np.where(share >= SCRIPT_SHARE, 0.0, -1e6)
-        bars[bars.max(axis=1) < 0] = 0  # a script of no language bars none
+        bars[~(bars == 0).any(axis=1)] = 0  # a script of no language bars none
         self.bars = bars.astype(np.float32)
 
     def scores(self, grams: np.ndarray, at: np.ndarray, kind: np.ndarray) -> np.ndarray:
