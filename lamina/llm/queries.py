@@ -37,6 +37,19 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 SQL: dict[str, str] = {
+    "op1_embedding_near_dedup": """
+WITH RECURSIVE good AS MATERIALIZED (
+  SELECT DISTINCT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+reach AS (SELECT a AS x, b AS r FROM links UNION SELECT x, b FROM reach JOIN links ON r = a),
+found AS (SELECT x, least(x, min(r)) AS c FROM reach GROUP BY x),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(c, vec_id) AS component_id, coalesce(vec_id = coalesce(c, vec_id), true) AS kept
+FROM embeddings LEFT JOIN counts ON vec_id = a LEFT JOIN found ON vec_id = x""",
     "op5_line_dedup": f"""
 WITH parts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents),
 lines AS (SELECT doc_id, unnest(p) AS line, unnest(range(len(p))) AS k FROM parts),
@@ -46,4 +59,20 @@ marked AS (SELECT d.doc_id, d.k, d.line, s.key IS NOT NULL AND s.last <> d.doc_i
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id""",
+    # strings are cut from pieces of 299 bytes, as substr takes time in proportion to what it cuts from
+    "op8_suffix_dedup": """
+WITH texts AS MATERIALIZED (SELECT doc_id, strlen(coalesce(text, '')) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
+blocks AS (SELECT doc_id, h, n, unnest(range((n + 100) // 200)) AS j FROM texts WHERE n >= 100),
+pieces AS MATERIALIZED (SELECT doc_id, n, j, substr(h, 400 * j + 1, 598) AS piece FROM blocks),
+starts AS (SELECT doc_id, j, piece, unnest(range(least(200, n - 99 - 200 * j))) AS o FROM pieces),
+strings AS (SELECT doc_id, 200 * j + o AS k, row_number() OVER (PARTITION BY md5_number(substr(piece, 2 * o + 1, 200)) ORDER BY doc_id, j, o) > 1 AS again FROM starts),
+repeated AS (SELECT doc_id, k, lag(k) OVER (PARTITION BY doc_id ORDER BY k) AS prior FROM strings WHERE again),
+runs AS (SELECT doc_id, k, sum(CASE WHEN prior IS NULL OR k > prior + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM repeated),
+spans AS (SELECT doc_id, run, min(k) AS a, max(k) + 100 AS b FROM runs GROUP BY doc_id, run),
+gaps AS (SELECT doc_id, b, coalesce(lead(a) OVER (PARTITION BY doc_id ORDER BY a), 1000000000) AS next FROM spans),
+rest AS (SELECT doc_id, b, next FROM gaps UNION ALL SELECT doc_id, 0, min(a) FROM spans GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * b + 1, 2 * (next - b)), '' ORDER BY b) AS h FROM rest JOIN texts USING (doc_id) GROUP BY doc_id),
+sums AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+SELECT t.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k.h, t.h))) AS kept_sha256
+FROM texts t LEFT JOIN sums USING (doc_id) LEFT JOIN kept k USING (doc_id)""",
 }
