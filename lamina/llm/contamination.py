@@ -94,7 +94,9 @@ def mark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
             F.exists(e["starts"], lambda s: score(e, s) >= F.least(e["size"], F.lit(near))).alias("near"),
         ),
     )
-    h = both.withColumn("e", equal).withColumn("s", summed).withColumn("h", hits)
+    # most alignments are chance meetings: what has fewer words in place than a near window needs is left before its windows are summed
+    enough = F.filter("e", lambda e: F.size(F.filter(e["same"], lambda x: x == 1)) >= F.least(e["size"], F.lit(near)))
+    h = both.withColumn("e", equal).withColumn("e", enough).withColumn("s", summed).withColumn("h", hits)
     # only words of whole windows are hit
     covered = F.array_distinct(F.flatten(F.flatten(F.transform("h", lambda x: F.transform(x["whole"], lambda s: F.sequence(x["at"] + s, x["at"] + s + x["size"] - 1))))))
     items = F.array_sort(F.array_distinct(F.transform(F.filter("h", lambda x: F.size(x["whole"]) > 0), lambda x: x["item"])))
