@@ -259,9 +259,11 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     def weight(texts: pd.Series) -> pd.Series:
         out = np.zeros(len(texts))
         if model is not None:
-            raw = [bytes(t) for t in texts]
-            for s in range(0, len(raw), 256):
-                out[s : s + 256] = model.weights(raw[s : s + 256])
+            ends, at = np.cumsum([len(t) for t in texts]), 0
+            while at < len(out):  # pieces of a quarter MB, or one longer text
+                end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 18), "right")))
+                out[at:end] = model.weights([bytes(t) for t in texts.iloc[at:end]])
+                at = end
         return pd.Series(out)
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
