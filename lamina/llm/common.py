@@ -54,17 +54,23 @@ def as_bytes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("__text"))
 
 
-def rows_of(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[tuple[list, list[bytes]]]:
-    """Ids and texts of a batch in pieces of about ``most`` bytes, so that work arrays stay small whatever the texts' lengths."""
-    ids, texts = batch.column(0), batch.column(1)
+def pieces(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Where consecutive pieces of about ``most`` bytes of a binary array begin and end; a longer text is a piece of its own."""
     sizes = np.concatenate(([0], np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)))
     begin = 0
-    while begin < batch.num_rows:
+    while begin < len(texts):
         end = max(begin + 1, int(np.searchsorted(sizes, sizes[begin] + most, "right")) - 1)
-        yield ids.slice(begin, end - begin).to_pylist(), texts.slice(begin, end - begin).to_pylist()
+        yield begin, end
         begin = end
 
 
+def rows_of(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[tuple[list, list[bytes]]]:
+    """Ids and texts of a batch in pieces of about ``most`` bytes, so that work arrays stay small whatever the texts' lengths."""
+    ids, texts = batch.column(0), batch.column(1)
+    for begin, end in pieces(texts, most):
+        yield ids.slice(begin, end - begin).to_pylist(), texts.slice(begin, end - begin).to_pylist()
+
+
 def map_texts(df: DataFrame, work: Callable[[list, list[bytes]], dict[str, object]], schema: str, most: int = 1 << 20) -> DataFrame:
     """``work(ids, texts)`` over pieces of ``df`` (the columns of :func:`as_bytes`); it returns the columns of ``schema``."""
     from pyspark.sql.pandas.types import to_arrow_schema

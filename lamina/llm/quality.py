@@ -12,12 +12,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm.common import ODD, as_bytes, cut, powers, rows_of, table
+from lamina.llm.common import ODD, as_bytes, cut, pieces, powers, rows_of, table
 from lamina.llm.simhash import SPACE
 
 #: Documented bound of the labelled sample that models and thresholds are fitted on, in documents.
@@ -255,16 +254,13 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     keyed = cut(weigh(docs, model, id_col, text_col).withColumn("gumbel", _gumbel(F.col("log_weight"), id_col, seed)))
     bar = _bar(keyed, k)
 
-    @F.pandas_udf("double")
-    def weight(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")  # texts stay in the Arrow batch: as Python objects there is one piece at a time
+    def weight(texts: pa.Array) -> pa.Array:
         out = np.zeros(len(texts))
         if model is not None:
-            ends, at = np.cumsum([len(t) for t in texts]), 0
-            while at < len(out):  # pieces of a quarter MB, or one longer text
-                end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 18), "right")))
-                out[at:end] = model.weights([bytes(t) for t in texts.iloc[at:end]])
-                at = end
-        return pd.Series(out)
+            for begin, end in pieces(texts, 1 << 18):
+                out[begin:end] = model.weights(texts.slice(begin, end - begin).to_pylist())
+        return pa.array(out)
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     return docs.where(_gumbel(weight(text), id_col, seed) >= F.lit(bar))
