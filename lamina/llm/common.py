@@ -49,8 +49,20 @@ def slots(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def bound_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Lowers the session's limit of an Arrow batch to ``most`` bytes; a lower one stays.
+
+    Spark takes the limit from the session alone. Its default of 64 MB is held by the JVM, once more while it grows, and by Python.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key)
+    if now.startswith("-") or spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(now) > most:
+        spark.conf.set(key, f"{most}b")
+
+
 def as_bytes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``__id`` and ``__text``, the text as UTF-8 bytes (null: empty), so that Python need not decode it."""
+    """``__id`` and ``__text``, the text as UTF-8 bytes (null: empty), so that Python need not decode it, to be sent in small batches."""
+    bound_batches(df.sparkSession)
     return df.select(F.col(id_col).cast("long").alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("__text"))
 
 
