@@ -5,6 +5,7 @@ from pathlib import Path
 
 import base64
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
@@ -247,3 +248,22 @@ def test_quality(spark, docs, none):
 def test_pipeline(spark):
     out = corpus_pipeline.run(spark, SF).collect()
     assert 0 < len(out) < 200 and all(r.n_tokens >= 0 for r in out)
+
+
+def test_arrow_batches_are_bounded_and_a_lower_limit_stays(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for now, then in (("64m", 4 << 20), ("4194305", 4 << 20), ("1m", 1 << 20), ("300k", 300 << 10)):
+            spark.conf.set(key, now)
+            common.bound_batches(spark)
+            assert spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) == then
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_pieces_cover_a_binary_array_once():
+    texts = pa.array([b"", b"abc", b"x" * 50, b"", b"de", b"f" * 9], pa.binary())
+    assert list(common.pieces(texts, 10)) == [(0, 2), (2, 3), (3, 5), (5, 6)]
+    assert list(common.pieces(texts.slice(1, 2), 10)) == [(0, 1), (1, 2)]
+    assert list(common.pieces(pa.array([], pa.binary()), 10)) == []
