@@ -1,15 +1,16 @@
 """Benchmark decontamination by a positional inverted index, in DataFrame operations alone.
 
-The index stores postings of training tokens: term, document, position, and the words to either side. Each 13-word window of
-a benchmark item is looked up by its rarest term in the training text, and that list is intersected with the offset-adjusted
-lists of the term's neighbours, which the posting carries, so no two lists need a shuffle to meet. What is left are
-alignments of an item with a document; each is then compared word by word with the document's own text, which gives
-exact phrases (all words of a window) and near ones (``near`` or more of its words in place).
+The index stores postings of training text: a gram of three words, document, position. A near window has at most ``window - near``
+words out of place, so cut into one cell more than that, one cell is whole (with 13 and 10: four cells of three or four
+words). Each window is looked up by the rarest gram of every cell, so that no near or exact window is missed; the postings carry all
+of a gram's words, so no two lists need a shuffle to meet. What is left are alignments of an item with a document; each is then
+compared word by word with the document's own text, which gives exact phrases (all words of a window) and near ones (``near`` or
+more of its words in place).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.llm.common import cut, table
@@ -31,26 +32,45 @@ def sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def terms(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(item, n, item_words, p, term, before, after): a row per word of each item; ``before`` and ``after`` are '' at the ends."""
+def items_of(benchmark: DataFrame, id_col: str, text_col: str, window: int, near: int) -> DataFrame:
+    """(item, item_words, n, size, cells, length, no): the different items that have words, numbered. ``size`` words are a window, cut into
+    ``cells`` of which one is whole wherever ``near`` words are in place; grams of ``length`` words, three at most, fit into any cell."""
     items = benchmark.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("item"), words(F.col(text_col)).alias("item_words")).distinct()
-    at = lambda k: F.coalesce(F.get("item_words", F.col("p") + k), F.lit(""))
-    return items.select("item", F.size("item_words").alias("n"), "item_words", F.posexplode("item_words").alias("p", "term")).withColumns({"before": at(-1), "after": at(1)})
+    known = items.withColumn("n", F.size("item_words")).where("n > 0").withColumn("size", F.least("n", F.lit(window)))
+    cells = known.withColumn("cells", F.col("size") - F.least("size", F.lit(near)) + 1)
+    return cells.withColumn("length", F.least(F.lit(3), F.floor(F.col("size") / F.col("cells"))).cast("int")).withColumn("no", F.monotonically_increasing_id())
 
 
-def pivots(rows: DataFrame, counts: DataFrame, window: int) -> DataFrame:
-    """Of :func:`terms`, those that are the rarest of some window by their ``count`` in the training text (ties: the first)."""
-    ranked = rows.join(counts, "term", "left").withColumn("count", F.coalesce("count", F.lit(0)))
-    over = Window.partitionBy("item", "item_words").orderBy("p").rowsBetween(0, window - 1)
-    best = ranked.withColumn("best", F.min(F.struct("count", "p")).over(over)).where(F.col("p") <= F.greatest(F.col("n") - window, F.lit(0)))
-    chosen = best.select("item", "item_words", F.col("best.p").alias("p")).distinct()
-    return ranked.join(chosen, ["item", "item_words", "p"]).where("count > 0")
+def gram(first: Column, second: Column, third: Column, length: Column) -> Column:
+    """A hash of the first ``length`` of three words. Alignments are compared with the text, so equal hashes do no harm."""
+    return F.xxhash64(first, F.when(length > 1, second), F.when(length > 2, third))
+
+
+def grams(items: DataFrame) -> DataFrame:
+    """(no, p, key): all grams of each item."""
+    at = lambda k: F.get("item_words", F.col("p") + k)
+    placed = items.select("no", "item_words", "length", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("length"))).alias("p"))
+    return placed.select("no", "p", gram(at(0), at(1), at(2), F.col("length")).alias("key"))
+
+
+def pivots(items: DataFrame, rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """Of :func:`grams`, those that are the rarest of a cell of some window by their ``count`` in the training text (ties: the first).
+
+    A cell whose rarest gram never occurs is whole nowhere, and needs no look-up.
+    """
+    starts = items.withColumn("s", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("size")))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    edge = lambda i: F.col("s") + F.floor(i * F.col("size") / F.col("cells")).cast("int")
+    cells = starts.select("no", edge(F.col("i")).alias("first"), (edge(F.col("i") + 1) - F.col("length")).alias("last")).distinct()
+    ranked = rows.join(counts, "key", "left").withColumn("count", F.coalesce("count", F.lit(0)))
+    best = cells.withColumn("p", F.explode(F.sequence("first", "last"))).join(ranked, ["no", "p"]).groupBy("no", "first", "last").agg(F.min(F.struct("count", "p", "key")).alias("best"))
+    return best.where("best.count > 0").select("no", "best.p", "best.key").distinct()
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, near: int = 10, share: int = 20) -> DataFrame:
     """Per row of ``docs``: the id, ``n_words``, ``n_hit`` (words within an occurrence of a window), ``n_items`` (items with one),
     ``items_sha256`` (of their ids, sorted as strings, comma-joined), ``contaminated`` (n_hit > 0 and share * n_hit >= n_words) and
-    ``n_near`` (items with at least ``near`` words of a window in place along a compared alignment, exact ones included).
+    ``n_near`` (items with at least ``near`` words of a window in place along any one alignment, exact ones included; words beside an
+    inserted or removed one are in place along different alignments, which are not added up).
 
     A null text has no words, and neither it nor an empty table of either kind gives hits. An item of fewer words than a window is one
     window; an item with no words or a null id is none. Rows of one item id with different texts count as one item. Null and
@@ -58,18 +78,20 @@ def mark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     """
     # the key only brings candidates to a row, which is then compared itself, so that equal keys do no harm
     base = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"), F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string"))).alias("__key"))
-    rows = cut(terms(benchmark, item_col, item_text_col))
-    vocabulary = sized(rows.select("term").distinct())
-    counts = base.select(F.explode(words(F.col("__text"))).alias("term")).join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("count"))
-    rare = cut(pivots(rows, counts, window))
-
-    # postings of the pivots' terms, with their neighbours: position p of ``w`` has w[p - 1] before and w[p + 1] after it
-    w = words(F.col("__text"))
-    zipped = base.select("__key", w.alias("w")).select("__key", F.posexplode(F.arrays_zip(F.concat(F.array(F.lit("")), F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0)))).alias("prior"), F.col("w").alias("term"), F.slice("w", F.lit(2), F.size("w")).alias("next"))).alias("pos", "x"))
-    postings = zipped.select("__key", "pos", F.col("x.prior").alias("prior"), F.col("x.term").alias("term"), F.col("x.next").alias("next"))
-    beside = (F.col("n") == 1) | ((F.col("before") != "") & (F.col("prior") == F.col("before"))) | ((F.col("after") != "") & (F.col("next") == F.col("after")))
-    aligned = postings.join(sized(rare.select("term", "before", "after", "n", "item", "item_words", "p")), "term").where(beside)
-    found = aligned.groupBy("__key").agg(F.collect_set(F.struct("item", "item_words", (F.col("pos") - F.col("p")).alias("at"))).alias("found"))
+    items = cut(items_of(benchmark, item_col, item_text_col, window, near))
+    rows = cut(grams(items))
+    lengths = sorted(r.length for r in items.select("length").distinct().collect()) or [3]
+
+    # postings: position p of ``w`` has the grams that begin with w[p] (those cut short by the end equal shorter ones, and only cost a comparison)
+    w = F.col("w")
+    zipped = base.select("__key", words(F.col("__text")).alias("w")).select("__key", F.posexplode(F.arrays_zip(w.alias("a"), F.slice(w, F.lit(2), F.size(w)).alias("b"), F.slice(w, F.lit(3), F.size(w)).alias("c"))).alias("pos", "x"))
+    keys = [gram(F.col("x.a"), F.col("x.b"), F.col("x.c"), F.lit(n)) for n in lengths]
+    postings = zipped.select("__key", "pos", (keys[0] if len(keys) == 1 else F.explode(F.array(*keys))).alias("key"))
+    vocabulary = sized(rows.select("key").distinct())
+    counts = postings.select("key").join(vocabulary, "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("count"))
+    rare = cut(pivots(items, rows, counts))
+    aligned = postings.join(sized(rare), "key").select("__key", "no", (F.col("pos") - F.col("p")).alias("at"))
+    found = aligned.join(sized(items.select("no", "item", "item_words")), "no").groupBy("__key").agg(F.collect_set(F.struct("item", "item_words", "at")).alias("found"))
 
     # alignments are compared with the text: per alignment, which words are in place, and which windows are whole
     both = base.join(found, "__key", "left").select("__id", words(F.col("__text")).alias("w"), F.coalesce("found", F.array().cast(found.schema["found"].dataType)).alias("found"))
@@ -99,9 +121,9 @@ def mark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     h = both.withColumn("e", equal).withColumn("e", enough).withColumn("s", summed).withColumn("h", hits)
     # only words of whole windows are hit
     covered = F.array_distinct(F.flatten(F.flatten(F.transform("h", lambda x: F.transform(x["whole"], lambda s: F.sequence(x["at"] + s, x["at"] + s + x["size"] - 1))))))
-    items = F.array_sort(F.array_distinct(F.transform(F.filter("h", lambda x: F.size(x["whole"]) > 0), lambda x: x["item"])))
+    whole_items = F.array_sort(F.array_distinct(F.transform(F.filter("h", lambda x: F.size(x["whole"]) > 0), lambda x: x["item"])))
     near_items = F.array_distinct(F.transform(F.filter("h", lambda x: x["near"]), lambda x: x["item"]))
-    out = h.select("__id", F.size("w").cast("long").alias("n_words"), F.size(covered).cast("long").alias("n_hit"), items.alias("items"), F.size(near_items).cast("long").alias("n_near"))
+    out = h.select("__id", F.size("w").cast("long").alias("n_words"), F.size(covered).cast("long").alias("n_hit"), whole_items.alias("items"), F.size(near_items).cast("long").alias("n_near"))
     return out.select(
         F.col("__id").alias(id_col), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "n_near",

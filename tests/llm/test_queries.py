@@ -1,6 +1,7 @@
 """The registered queries on whole tables against brute force or SQL, and operators and stages on awkward tables."""
 
 import hashlib
+import random
 import re
 from collections import defaultdict
 
@@ -147,6 +148,45 @@ def test_contamination_of_repetitive_items(spark):
     assert rows_by_id(contamination.mark(docs, items), *CONTRACT6) == plain_contamination(texts, bench)
 
 
+def plain_near(texts, bench, window=13, near=10):
+    """Per text the number of items with ``near`` words of a window in place, by trying every alignment."""
+    split = lambda t: WORD.findall(t.translate(LOWER))
+    items = {i: w for i, t in bench.items() if (w := split(t))}
+    out = {}
+    for i, text in texts.items():
+        w, found = split(text), set()
+        for item, x in items.items():
+            size = min(window, len(x))
+            for at in range(-len(x), len(w)):
+                same = [0 <= at + k < len(w) and w[at + k] == y for k, y in enumerate(x)]
+                if any(sum(same[s : s + size]) >= min(size, near) for s in range(len(x) - size + 1)):
+                    found.add(item)
+        out[i] = (len(found),)
+    return out
+
+
+@pytest.mark.parametrize(("window", "near"), [(13, 10), (13, 13), (5, 2), (8, 6)])
+def test_near_items_against_brute_force(spark, window, near):
+    """Passages of one window and of more with one to four words changed, the rarest and words that occur nowhere else among them; cut, short and doubled ones."""
+    rng = random.Random(6)
+    vocabulary = [f"v{k}" for k in range(30)]
+    bench = {i: " ".join(rng.choice(vocabulary) for _ in range(n)) for i, n in enumerate([13] * 12 + [1, 2, 3, 4, 9, 10, 11, 12, 14, 30])}
+    bench |= {50: "only here " + bench[0].split(" ", 2)[2], 51: "a " * 13, 52: ""}
+    texts = {}
+    for text in bench.values():
+        for changed in range(5):
+            for _ in range(3):
+                w = text.split()
+                for k in rng.sample(range(len(w)), min(changed, len(w))):
+                    w[k] = rng.choice([*vocabulary, "new"])
+                side = [" ".join(rng.choice(vocabulary) for _ in range(rng.randrange(4))) for _ in range(2)]
+                texts[len(texts)] = " ".join([side[0], *w[rng.randrange(2) :], side[1]])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    items = spark.createDataFrame(list(bench.items()), "item_id long, text string")
+    got = contamination.mark(docs, items, window=window, near=near)
+    assert rows_by_id(got, "n_near") == plain_near(texts, bench, window, near)
+
+
 def test_bpe_query(spark):
     enc = reference_encoder()
     want = {i: ((ids := enc.encode_ordinary(t)) and len(ids) or 0, sha(b"".join(x.to_bytes(4, "little") for x in ids)), sha(t)) for i, t in texts_of(spark).items()}
