@@ -1,9 +1,10 @@
 """Secret scans: assignments, access keys and hex runs by pattern, and other random strings by token efficiency.
 
 A byte-pair vocabulary is learned from ordinary text, so that ordinary strings take few tokens: words about four characters
-each, random strings under two. A run of base-64 or URL-safe characters with a low ratio of characters to tokens
-is reported as ``random``, unless it is a known digest (hex of a usual length, a UUID) or an identifier (letters alone, or
-parts of letters or short numbers joined by ``_``, ``-``, ``/``, ``=`` or ``+``), or overlaps a span already found.
+each, random strings under two. A run of base-64 or URL-safe characters with a low ratio of characters to tokens is reported as
+``random``, whatever its letters, unless it is a known digest (hex of a usual length, a UUID) or overlaps a span already found. Of a
+run that is ordinary as a whole, as a readable path with a key behind it, those stretches between ``/``, ``=``, ``-`` and ``_``
+are reported that are long enough and have a low ratio themselves.
 """
 
 from __future__ import annotations
@@ -29,20 +30,14 @@ ASSIGN = re.compile(rf"""(?:{_either("password|passwd|secret|token|api_?key")})[
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 WORDS = ("passw", "secret", "token", "api")
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-#: Hex digits of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512.
-DIGEST = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12})\Z")
-PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
-
-
-def is_identifier(run: str) -> bool:
-    """Words of two letters or more on average and numbers of at most four digits: ``my_long_variable_name_2``, ``someCamelCaseName``."""
-    parts = PART.findall(run)
-    if not parts:
-        return True
-    digits = [p for p in parts if p.isdigit()]
-    words = [p for p in parts if not p.isdigit()]
-    return max(map(len, digits), default=0) <= 4 and len(digits) <= 2 and sum(map(len, words)) >= 3 * len(words)
+#: Characters that a random string has at least.
+LEAST = 20
+RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
+#: Hex digits of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512, and UUIDs, as parts of a run.
+DIGEST = re.compile(r"(?<![A-Za-z0-9+])(?:[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9a-fA-F]{128}|[0-9a-fA-F]{96}|[0-9a-fA-F]{64}|[0-9a-fA-F]{56}|[0-9a-fA-F]{40}|[0-9a-fA-F]{32})(?![A-Za-z0-9+])")
+#: Words of capitals, as in names of constants, which are weighed as the same words in lower case.
+CAPITALS = re.compile(rf"(?<![A-Za-z0-9+])[A-Z]{{2,{LEAST - 1}}}(?![A-Za-z0-9+])")
+ATOM = re.compile(r"[^/=_-]*+[/=_-]*+")
 
 
 def base_spans(text: str) -> list[Span]:
@@ -57,14 +52,41 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
+def random_parts(run: str, begin: int, end: int, excess) -> list[tuple[int, int]]:
+    """The stretches of whole parts of ``run[begin:end]`` with the most ``excess`` (positive where a string is random), from left to right."""
+    parts = [(m.start(), m.end()) for m in ATOM.finditer(run, begin, end) if m[0]]
+    scores = [excess(run[a:b]) for a, b in parts]
+    out, k = [], 0
+    while k < len(parts):
+        total = best = 0
+        last = j = k
+        while j < len(parts) and (total := total + scores[j]) > 0:
+            if total > best:
+                best, last = total, j
+            j += 1
+        if best > 0:
+            a, b = parts[k][0], parts[last][1]
+            if b < end:
+                b = a + len(run[a:b].rstrip("/_-"))
+            if b - a >= LEAST and excess(run[a:b]) > 0:
+                out.append((a, b))
+        k = last + 1
+    return out
+
+
 def random_spans(text: str, enc, ratio: float) -> list[Span]:
+    def excess(x: str) -> float:
+        x = CAPITALS.sub(lambda m: m[0].lower(), x)
+        return ratio * sum(len(enc.encode_ordinary(x[k : k + 512])) for k in range(0, len(x), 512)) - len(x)
+
     out: list[Span] = []
     for m in RUN.finditer(text):
-        run = m[0]
-        if run.isalpha() and (run.islower() or run.isupper() or run.istitle()) or DIGEST.match(run) or is_identifier(run):
-            continue
-        if len(run) < ratio * sum(len(enc.encode_ordinary(run[k : k + 512])) for k in range(0, len(run), 512)):
-            out.append((m.start(), 3, "random", m.end()))
+        run, begin = m[0], 0
+        for stop, after in [*(d.span() for d in DIGEST.finditer(run)), (len(run), len(run))]:
+            if stop - begin >= LEAST:
+                found = [(begin, stop)] if excess(run[begin:stop]) > 0 else random_parts(run, begin, stop, excess)
+                out += [(m.start() + a, 3, "random", m.start() + b) for a, b in found]
+            begin = len(run) - len(run[after:].lstrip("/=_-"))
     return out
 
 

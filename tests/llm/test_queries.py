@@ -100,6 +100,21 @@ def test_base_spans_of_awkward_texts(text):
         assert [f"{k}:{a}:{b}" for a, _, k, b in sorted(of.base_spans(text))] == plain_spans(text, kinds)
 
 
+LOWERS, UPPERS, MIXED = "qzkvwxjhtrpbnmdgcfwlyxuqkzjv", "XKQZVJWHTRPBNMDGCFWLYXUQKZJV", "DMeh8lQ7zR2xVb9KpTn4WsYc"
+RANDOM = [(LOWERS, LOWERS), (UPPERS, UPPERS), (MIXED, MIXED)]
+RANDOM += [(f"/home/user/projects/repository/config/production/settings/{x}", x) for x in (LOWERS, UPPERS, MIXED)]
+RANDOM += [(f"/some/readable/directories/with/several/ordinary/names/{MIXED}/index/of/files", MIXED), (f"/files/550e8400-e29b-41d4-a716-446655440000/{MIXED}", MIXED)]
+ORDINARY = ["internationalization_of_the_configuration", "SOME_LONG_CONSTANT_NAME_2", "getElementsByTagNameAndClassName", "antidisestablishmentarianism", "/files/550e8400-e29b-41d4-a716-446655440000/view", "/usr/local/lib/python3/site-packages/numpy", "D41D8CD98F00B204E9800998ECF8427E"]
+
+
+def test_random_strings_by_their_ratio(spark):
+    """Random letters of one case and random strings behind or amid readable parts are found; ordinary names, paths and digests aren't."""
+    cases = RANDOM + [(x, None) for x in ORDINARY]
+    frame = spark.createDataFrame([(k, f"see {x} here") for k, (x, _) in enumerate(cases)], "doc_id long, text string")
+    got = rows_by_id(secrets.find_secrets(frame), "spans")
+    assert {k: s for k, (s,) in got.items()} == {k: f"random:{(a := f'see {x} here'.index(y))}:{a + len(y)}" if y else "" for k, (x, y) in enumerate(cases)}
+
+
 def test_simhash_query(spark):
     texts = texts_of(spark)
     ids = sorted(texts)
