@@ -2,8 +2,9 @@
 
 The linear-chain CRF tags white-space tokens from the shapes of the word and its neighbours. It is trained from a small
 labelled table that templates generate with a fixed seed, by gradient descent on the forward-backward likelihood, and
-decoded by Viterbi in numpy batches. Only tokens with a digit can carry a tag (the others are held at O), so a text falls apart
-exactly into its runs of tokens with digits, each decoded with the neighbours' words as features: nothing else is left out.
+decoded by Viterbi in numpy batches. Only tokens with a digit, and tokens of capital letters in a run with them (as the bank's code
+in a bank number), can carry a tag (the others are held at O), so a text falls apart exactly into such runs, each decoded with the
+neighbours' words as features: nothing else is left out. Names and other data without a digit aren't among the kinds.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TOKEN = re.compile(r"\S+")
+DIGIT = re.compile("[0-9]")
+CAPITALS = re.compile(r"""["']*[A-Z]+[.,;:!?"']*\Z""")
 
 #: Tags of the CRF; B and I of a kind follow each other.
 TAGS = ("O", "B-national", "I-national", "B-ssn", "B-iban", "I-iban")
@@ -86,7 +89,11 @@ def labelled_table(rows: int = 700, seed: int = 7) -> list[tuple[list[str], list
     """Sentences of tokens with their tags, from templates: national phone, social security and bank numbers, and numbers that are none."""
     rng = np.random.default_rng(seed)
     num = lambda k: "".join(map(str, rng.integers(0, 10, k)))
+    capitals = lambda k: "".join(chr(65 + x) for x in rng.integers(0, 26, k))
+    mixed = lambda k: "".join("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"[x] for x in rng.integers(0, 36 if rng.random() < 0.7 else 10, k))
+    group = lambda c: num(int(c)) if c.isdigit() else capitals(4) if c == "A" else capitals(1) + num(3) if c == "B" else mixed({"X": 4, "Y": 2, "Z": 1}[c])
     fill = "the of and in to tel phone call ssn iban no number item on at with for page le la de und der que el".split()
+    spaced = ("GB 2A444442", "NL 2A4442", "IE 2A444442", "QA 2A44XXXXZ", "QA 2A4444XXZ", "MT 2A44XXXY", "MT 2A444XXY", "MT 2A44444442", "FR 24444443", "ES 244444", "IT 2B444443", "BE 2444", "CH 244441", "AT 24444", "SE 244444", "BG 2A44442", "RO 2A44444", "LV 2A4441")
     out = []
     for _ in range(rows):
         words, tags = [], []
@@ -97,8 +104,9 @@ def labelled_table(rows: int = 700, seed: int = 7) -> list[tuple[list[str], list
 
         for _ in range(3):
             k = int(rng.integers(1, 5))
-            add([str(rng.choice(fill)) for _ in range(k)], ["O"] * k)
-            kind = int(rng.integers(0, 12))
+            loud = rng.random() < 0.25
+            add([x.upper() if loud else x for x in map(str, rng.choice(fill, k))], ["O"] * k)
+            kind = int(rng.integers(0, 16))
             if kind == 0:
                 add([f"({num(3)})", f"{num(3)}-{num(4)}"], ["B-national", "I-national"])
             elif kind == 1:
@@ -112,6 +120,18 @@ def labelled_table(rows: int = 700, seed: int = 7) -> list[tuple[list[str], list
                 add([f"DE{num(2)}", *[num(4) for _ in range(k)]], ["B-iban", *["I-iban"] * k])
             elif kind == 5:
                 add([f"FR{num(20)}"], ["B-iban"])
+            elif kind < 9:  # bank numbers of countries whose groups hold letters, and of others
+                country, form = str(rng.choice(spaced)).split()
+                groups = [country + num(int(form[0])), *map(group, form[1:])]
+                if rng.random() < 0.2:
+                    groups = ["".join(groups)]
+                add(groups, ["B-iban", *["I-iban"] * (len(groups) - 1)])
+                if rng.random() < 0.3:
+                    add([str(rng.choice(["BIC", "USD", "EUR", "AND", "THE", "TEL"]))], ["O"])
+            elif kind == 9:
+                add([capitals(int(rng.integers(1, 6))), num(int(rng.integers(1, 6)))], ["O", "O"])
+                if rng.random() < 0.5:
+                    add([capitals(int(rng.integers(2, 6)))], ["O"])
             else:  # what isn't of these kinds
                 hexed = "".join("0123456789abcdef"[x] for x in rng.integers(0, 16, 64))
                 other = (f'"{hexed[:40]}"', hexed[:32], hexed, f"{num(16)}", f"{num(1)}.{num(2)}.{num(3)}.{num(2)}", f"x.{num(2)}@m{num(1)}.net", f"+{num(2)}", f"{num(4)}-{num(2)}-{num(2)}", f"{num(2)}:{num(2)}", f"{num(int(rng.integers(1, 9)))}", f"{num(1)}.{num(2)}", f"v{num(1)}.{num(1)}.{num(1)}", f"a{num(3)}b{num(2)}")
@@ -132,7 +152,7 @@ def allowed() -> np.ndarray:
 
 @lru_cache(1)
 def train(rounds: int = 40, rate: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
-    """(weights of features by tag, transitions), by full-batch AdaGrad on the log-likelihood. Deterministic, about a second."""
+    """(weights of features by tag, transitions), by full-batch AdaGrad on the log-likelihood. Deterministic, a few seconds."""
     runs = []
     for words, tags in labelled_table():
         runs += [([f for f, _ in r], [t for _, t in r]) for r in digit_runs(words, [TAGS.index(t) for t in tags])]
@@ -178,18 +198,17 @@ def train(rounds: int = 40, rate: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
 
 
 def digit_runs(words: list[str], extra: list) -> list[list[tuple]]:
-    """Maximal runs of words with an ASCII digit: per word its features and its item of ``extra``."""
-    runs, open_ = [], False
-    for k, word in enumerate(words):
-        if any("0" <= c <= "9" for c in word):
-            item = (features(words[k - 1] if k else "", word, words[k + 1] if k + 1 < len(words) else ""), extra[k])
-            if open_:
-                runs[-1].append(item)
-            else:
-                runs.append([item])
-            open_ = True
-        else:
-            open_ = False
+    """Maximal runs of words with an ASCII digit or of capitals A-Z alone, those with a digit somewhere: per word its features and its item of ``extra``."""
+    runs: list[list[tuple]] = []
+    k = 0
+    while k < len(words):
+        begin, digit = k, False
+        while k < len(words) and ((new := DIGIT.search(words[k]) is not None) or CAPITALS.match(words[k])):
+            digit |= new
+            k += 1
+        if digit:
+            runs.append([(features(words[j - 1] if j else "", words[j], words[j + 1] if j + 1 < len(words) else ""), extra[j]) for j in range(begin, k)])
+        k += k == begin
     return runs
 
 
@@ -240,6 +259,8 @@ def crf_spans(texts: list[str], model: tuple[np.ndarray, np.ndarray]) -> list[li
             while b > a and texts[k][b - 1] in ".,;:!?\"'":
                 b -= 1
             kind = name[2:]
+            if name[0] == "B" and not DIGIT.search(texts[k], a, b):
+                continue
             if name == "B-iban" and not re.match("[A-Z]{2}[0-9]{2}", texts[k][a:b]):  # a bank number begins with its country, as a card ends with its check digit
                 continue
             if name[0] == "I":

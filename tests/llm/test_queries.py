@@ -115,6 +115,16 @@ def test_random_strings_by_their_ratio(spark):
     assert {k: s for k, (s,) in got.items()} == {k: f"random:{(a := f'see {x} here'.index(y))}:{a + len(y)}" if y else "" for k, (x, y) in enumerate(cases)}
 
 
+BANK = ["GB29 NWBK 6016 1331 9268 19", "NL91 ABNA 0417 1643 00", "IE29 AIBK 9311 5212 3456 78", "IT60 X054 2811 1010 0000 0123 456", "DE89 3704 0044 0532 0130 00", "FR14 2004 1010 0505 0001 3M02 606", "QA58 DOHB 0000 1234 5678 90AB CDEF G", "GB29NWBK60161331926819"]
+
+
+def test_bank_numbers_with_groups_of_letters(spark):
+    """A spaced bank number is one span, whatever its groups hold; capitals beside numbers are none."""
+    texts = [f"pay {x}, please" for x in BANK] + ["FLIGHT BA 249 TO NYC ON 12 MAY 2024", "ISO 9001 AND TEL 42"]
+    got = rows_by_id(pii.find_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")), "spans")
+    assert [got[k][0] for k in range(len(texts))] == [f"iban:4:{4 + len(x)}" for x in BANK] + ["", ""]
+
+
 def test_simhash_query(spark):
     texts = texts_of(spark)
     ids = sorted(texts)
