@@ -13,7 +13,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.llm.common import as_bytes, cut, groups_of, map_texts, rows_of, slots, table
@@ -121,35 +121,91 @@ def references(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 class LineIndex:
-    """The exact table of references with its inserts and deletes. Each change gives a new index; tables are lazy until cut."""
+    """The exact table of references with its inserts and deletes. Each change gives a new index; tables are lazy until cut.
 
-    def __init__(self, refs: DataFrame, documents: int = 3) -> None:
-        self.refs, self.documents = refs, documents
+    A :meth:`stored` index also holds the table of repeated keys and the shards' filters. Its inserts and deletes count again only
+    the keys that they touch, and put keys that cross the threshold into their shards' filters or take them out.
+    A document is to be deleted before it is inserted with another text.
+    """
+
+    def __init__(self, refs: DataFrame, documents: int = 3, keys: DataFrame | None = None, shards: DataFrame | None = None) -> None:
+        self.refs, self.documents, self.keys, self.shards = refs, documents, keys, shards
 
     @classmethod
     def of(cls, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 20, documents: int = 3) -> LineIndex:
         return cls(references(docs, id_col, text_col, least), documents)
 
+    def stored(self) -> LineIndex:
+        refs = cut(self.refs.distinct())
+        keys = cut(LineIndex(refs, self.documents).repeated())
+        return LineIndex(refs, self.documents, keys, cut(filters(keys)))
+
     def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 20) -> LineIndex:
-        return LineIndex(self.refs.union(references(docs, id_col, text_col, least)), self.documents)
+        new = references(docs, id_col, text_col, least)
+        if self.keys is None:
+            return LineIndex(self.refs.union(new), self.documents)
+        new = cut(new.distinct())
+        return self._changed(self.refs.union(new), new.select("key").distinct())
 
     def delete(self, gone: DataFrame, id_col: str = "doc_id") -> LineIndex:
         """Without the references of the documents whose ids are in ``gone``."""
         ids = gone.select(F.col(id_col).cast("long").alias("doc")).distinct()
-        return LineIndex(self.refs.join(ids, "doc", "left_anti").select("key", "doc"), self.documents)
+        left = self.refs.join(ids, "doc", "left_anti").select("key", "doc")
+        if self.keys is None:
+            return LineIndex(left, self.documents)
+        return self._changed(cut(left), cut(self.refs.join(ids, "doc", "left_semi").select("key").distinct()))
+
+    def _changed(self, refs: DataFrame, touched: DataFrame) -> LineIndex:
+        """The stored index of ``refs``, which differ from this one's in the keys of ``touched`` alone."""
+        now = cut(LineIndex(refs.join(touched, "key", "left_semi"), self.documents).repeated())
+        before = self.keys.join(touched, "key", "left_semi")
+        keys = cut(self.keys.join(touched, "key", "left_anti").union(now))
+        moves = now.join(before, "key", "left_anti").select("key", F.lit(True).alias("more")).union(before.join(now, "key", "left_anti").select("key", F.lit(False).alias("more")))
+        return LineIndex(refs, self.documents, keys, moved(self.shards, moves, keys))
 
     def repeated(self) -> DataFrame:
         """(key, n, last): keys of at least ``documents`` documents, their count and the largest document.
 
         Counts are pre-aggregated before the shuffle; a document's repeated rows count once.
         """
+        if self.keys is not None:
+            return self.keys
         return self.refs.distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc").alias("last")).where(F.col("n") >= self.documents)
 
 
+def shard_of(key: str) -> Column:
+    return F.pmod(F.conv(F.hex(F.substring(key, 9, 1)), 16, 10).cast("int"), F.lit(SHARDS))
+
+
+def moved(shards: DataFrame, moves: DataFrame, keys: DataFrame) -> DataFrame:
+    """The filters of ``shards`` with the keys of ``moves`` put in (``more``) or taken out. A filter that gets too full is built again from ``keys``."""
+
+    def move(held: pa.Table, new: pa.Table) -> pa.Table:
+        shard = (held if held.num_rows else new).column("shard")[0].as_py()
+        table = held.column("filter")[0].as_py() if held.num_rows else None
+        if new.num_rows:
+            more = np.array(new.column("more").to_pylist(), dtype=bool)
+            _, h = _halves(new.column("key").to_pylist())
+            try:
+                if table is None:
+                    f = Cuckoo.of(h[more])
+                else:
+                    f = Cuckoo(table=np.frombuffer(table, dtype=np.uint16).reshape(-1, 4).copy())
+                    f.delete(h[~more])
+                    f.insert(h[more])
+                table = f.table.tobytes()
+            except OverflowError:
+                table = None
+        return pa.table({"shard": pa.array([shard], pa.int32()), "filter": pa.array([table], pa.binary())})
+
+    dealt = moves.select(shard_of("key").alias("shard"), "key", "more")
+    out = cut(shards.groupBy("shard").cogroup(dealt.groupBy("shard")).applyInArrow(move, "shard int, filter binary"))
+    full = [r.shard for r in out.where("filter is null").select("shard").collect()]
+    return cut(out.where("filter is not null").union(filters(keys.where(shard_of("key").isin(full))))) if full else out
+
+
 def filters(keys: DataFrame) -> DataFrame:
     """(shard, filter): the cuckoo filters of the column ``key``, built by the executors."""
-    shard = F.pmod(F.conv(F.hex(F.substring("key", 9, 1)), 16, 10).cast("int"), F.lit(SHARDS))
-
     def build(batches):
         for whole in groups_of(batches, 1, 1):
             shards, values = whole.column(0).to_numpy(), whole.column(1).to_pylist()
@@ -157,18 +213,20 @@ def filters(keys: DataFrame) -> DataFrame:
                 _, h = _halves([k for k, x in zip(values, shards, strict=True) if x == s])
                 yield pa.RecordBatch.from_arrays([pa.array([int(s)], pa.int32()), pa.array([Cuckoo.of(h).table.tobytes()], pa.binary())], names=["shard", "filter"])
 
-    dealt = keys.select(shard.alias("shard"), "key").repartition(min(SHARDS, slots(keys.sparkSession)), "shard").sortWithinPartitions("shard")
+    dealt = keys.select(shard_of("key").alias("shard"), "key").repartition(min(SHARDS, slots(keys.sparkSession)), "shard").sortWithinPartitions("shard")
     return dealt.mapInArrow(build, "shard int, filter binary")
 
 
-def drops(docs: DataFrame, id_col: str, text_col: str, least: int, documents: int) -> DataFrame:
+def drops(docs: DataFrame, id_col: str, text_col: str, least: int, documents: int, stored: LineIndex | None = None) -> DataFrame:
     """(__doc, __keys): the keys whose lines each document loses. Documents that lose none are missing."""
     spark = docs.sparkSession
-    index = cut(LineIndex.of(docs, id_col, text_col, least, documents).repeated().select("key", "last"))
+    if stored is not None and stored.keys is None:
+        stored = stored.stored()
+    index = stored.keys.select("key", "last") if stored is not None else cut(LineIndex.of(docs, id_col, text_col, least, documents).repeated().select("key", "last"))
     n = index.count()
     sent = None
     if n * 5 <= FILTER_BYTES:  # 16 bits a key at a load of 0.4 to 0.8; some filters may have had to grow
-        built = cut(filters(index))
+        built = stored.shards if stored is not None else cut(filters(index))
         if (built.agg(F.sum(F.length("filter"))).first()[0] or 0) <= FILTER_BYTES:
             sent = spark.sparkContext.broadcast({r.shard: bytes(r.filter) for r in built.collect()})
 
@@ -201,13 +259,14 @@ def stay(text: bytes, keys: list[bytes] | None, least: int) -> tuple[bytes, int,
     return b"\n".join(left), len(lines), len(lines) - len(left)
 
 
-def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 20, documents: int = 3) -> DataFrame:
+def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 20, documents: int = 3, index: LineIndex | None = None) -> DataFrame:
     """Per row of ``docs``: the id, ``n_lines``, ``n_dropped`` and ``kept`` (binary: the lines that stay, joined by newlines).
 
     A null or empty text is one empty line. Keys under ``least`` code points are never dropped. Rows of one id are one document:
     if it is the largest holder, all its rows keep the line. Rows with a null id are not counted and keep all lines.
+    With an ``index``, which is to hold ``docs`` (and may hold more, with the same ``least``), its counts decide, and nothing is counted again.
     """
-    gone = drops(docs, id_col, text_col, least, documents)
+    gone = drops(docs, id_col, text_col, least, documents, index)
 
     def work(batches):
         for batch in batches:
@@ -218,9 +277,10 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return joined.mapInArrow(work, "__id long, n_lines long, n_dropped long, kept binary").withColumnRenamed("__id", id_col)
 
 
-def without_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars", least: int = 20, documents: int = 3) -> DataFrame:
-    """``docs`` with the dropped lines gone from their texts, and ``size_col``, if there is one, set to what is left of texts that lost some."""
-    gone = drops(docs, id_col, text_col, least, documents)
+def without_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars", least: int = 20, documents: int = 3, index: LineIndex | None = None) -> DataFrame:
+    """``docs`` with the dropped lines gone from their texts, and ``size_col``, if there is one, set to what is left of texts that lost some.
+    An ``index`` is used as in :func:`drop_lines`."""
+    gone = drops(docs, id_col, text_col, least, documents, index)
 
     @F.pandas_udf("string")
     def rewrite(texts: pd.Series, keys: pd.Series) -> pd.Series:

@@ -229,6 +229,30 @@ def plain_lines(texts):
     return {i: "\n".join(x for x in t.split("\n") if gone.get(key(x), i) == i) for i, t in texts.items()}
 
 
+def test_lines_after_inserts_and_deletes(spark, monkeypatch):
+    """Through a stored index, what stays after each change is what a new start on the documents then held gives; filters are changed, not rebuilt."""
+    text = lambda ks: "\n".join(f"a line that is number {k} of many" for k in ks)
+    texts = {i: text(range(i % 7, 400, 1 + i % 5)) for i in range(12)}
+    frame = lambda ids: spark.createDataFrame([(i, texts[i]) for i in ids], "doc_id long, text string")
+    index, held = lines.LineIndex.of(frame(range(4))).stored(), set(range(4))
+    for change, ids in (("insert", range(4, 10)), ("delete", [9, 5, 4, 0]), ("insert", [0, 10, 11]), ("delete", [10, 11, 8, 7, 6, 0]), ("insert", [5])):
+        index = getattr(index, change)(frame(ids))
+        held = held | set(ids) if change == "insert" else held - set(ids)
+        want = plain_lines({i: texts[i] for i in held})
+        with monkeypatch.context() as m:
+            m.setattr(lines, "filters", None)
+            m.setattr(lines, "references", None)
+            got = lines.drop_lines(frame(held), index=index)
+            assert {r.doc_id: bytes(r.kept).decode() for r in got.collect()} == want
+            assert {r.doc_id: r.text for r in lines.without_lines(frame(held), index=index).collect()} == want
+        h = {bytes(r.key) for r in index.keys.collect()}
+        tables = {r.shard: lines.Cuckoo(table=lines.np.frombuffer(r.filter, dtype="uint16").reshape(-1, 4)) for r in index.shards.collect()}
+        assert sum(int((f.table > 0).sum()) for f in tables.values()) == len(h)
+        for k in h:
+            shard, x = lines._halves([k])
+            assert tables[int(shard[0])].has(x).all()
+
+
 def test_pipeline_against_brute_force(spark):
     """Each stage is compared with a plain version of it on what its predecessor kept; stage 1 with the weights of all documents."""
     read = lambda name: spark.read.parquet(f"{SF}/{name}.parquet")
