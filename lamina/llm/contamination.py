@@ -76,6 +76,11 @@ def mark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     window; an item with no words or a null id is none. Rows of one item id with different texts count as one item. Null and
     repeated document ids are fine: each row is compared with its own text.
     """
+    return hashed(docs, benchmark, id_col, text_col, item_col, item_text_col, window, near, share).drop("__hash")
+
+
+def hashed(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str = "item_id", item_text_col: str = "text", window: int = 13, near: int = 10, share: int = 20) -> DataFrame:
+    """:func:`mark` with ``__hash``, that of each row's text, beside it."""
     # the key only brings candidates to a row, which is then compared itself, so that equal keys do no harm
     base = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"), F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string"))).alias("__key"))
     items = cut(items_of(benchmark, item_col, item_text_col, window, near))
@@ -94,7 +99,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     found = aligned.join(sized(items.select("no", "item", "item_words")), "no").groupBy("__key").agg(F.collect_set(F.struct("item", "item_words", "at")).alias("found"))
 
     # alignments are compared with the text: per alignment, which words are in place, and which windows are whole
-    both = base.join(found, "__key", "left").select("__id", words(F.col("__text")).alias("w"), F.coalesce("found", F.array().cast(found.schema["found"].dataType)).alias("found"))
+    both = base.join(found, "__key", "left").select("__id", F.xxhash64("__text").alias("__hash"), words(F.col("__text")).alias("w"), F.coalesce("found", F.array().cast(found.schema["found"].dataType)).alias("found"))
     size = lambda c: F.least(F.size(c["item_words"]), F.lit(window))
     equal = F.transform(
         "found",
@@ -123,17 +128,17 @@ def mark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     covered = F.array_distinct(F.flatten(F.flatten(F.transform("h", lambda x: F.transform(x["whole"], lambda s: F.sequence(x["at"] + s, x["at"] + s + x["size"] - 1))))))
     whole_items = F.array_sort(F.array_distinct(F.transform(F.filter("h", lambda x: F.size(x["whole"]) > 0), lambda x: x["item"])))
     near_items = F.array_distinct(F.transform(F.filter("h", lambda x: x["near"]), lambda x: x["item"]))
-    out = h.select("__id", F.size("w").cast("long").alias("n_words"), F.size(covered).cast("long").alias("n_hit"), whole_items.alias("items"), F.size(near_items).cast("long").alias("n_near"))
+    out = h.select("__id", "__hash", F.size("w").cast("long").alias("n_words"), F.size(covered).cast("long").alias("n_hit"), whole_items.alias("items"), F.size(near_items).cast("long").alias("n_near"))
     return out.select(
         F.col("__id").alias(id_col), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "n_near",
+        ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "n_near", "__hash",
     )
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the contaminated documents. Rows with a null id stay."""
-    found = mark(docs, benchmark, id_col, text_col, **options).where("contaminated").select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(found, docs[id_col] == F.col("__gone"), "left_anti")
+    """``docs`` without the contaminated rows, which are told apart by id and text where an id repeats. Rows with a null id stay."""
+    found = hashed(docs, benchmark, id_col, text_col, **options).where("contaminated").select(F.col(id_col).alias("__gone"), "__hash").distinct()
+    return docs.join(found, (docs[id_col] == F.col("__gone")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("__hash")), "left_anti")
 
 
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,14 +49,17 @@ def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42) -> DataFrame:
-    """(id, fp): fp as a signed long, one row per row of ``docs``."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42, hashed: bool = False) -> DataFrame:
+    """(id, fp): fp as a signed long, one row per row of ``docs``; if ``hashed`` also ``hash``, Spark's xxhash64 of the text (null: empty)."""
 
     def work(ids, texts):
         fps = np.array([fingerprint(t, width, seed) for t in texts], dtype=np.uint64)
-        return {"id": ids, "fp": fps.view(np.int64)}
+        out = {"id": ids, "fp": fps.view(np.int64)}
+        if hashed:
+            out["hash"] = np.array([xxhash.xxh64_intdigest(t, 42) for t in texts], dtype=np.uint64).view(np.int64)
+        return out
 
-    return map_texts(as_bytes(docs, id_col, text_col), work, "id long, fp long")
+    return map_texts(as_bytes(docs, id_col, text_col), work, "id long, fp long" + ", hash long" * hashed)
 
 
 def near_pairs(fps: np.ndarray, radius: int, first: np.ndarray | None = None, chunk: int = 256):
@@ -164,10 +167,27 @@ def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3) -> DataFrame:
-    """``docs`` with one document of each group of near-duplicates, that of the smallest id. Rows with a null id stay."""
-    marked = near_documents(docs, id_col, text_col, width, radius)
-    gone = marked.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == F.col("__gone"), "left_anti")
+    """``docs`` with one row of each group of near-duplicates, of the smallest id. Rows with a null id stay.
+
+    Rows are told apart by id and text: of an id that repeats, only the rows in a group with another row go. Where several rows of a
+    group have its smallest id, one text of theirs (that of the least hash) stays, in one row.
+    """
+    fps = cut(fingerprints(docs, id_col, text_col, width, hashed=True)).where("id is not null")
+    # groups are named by a fingerprint, as an id that repeats may be in several
+    marked = cut(fps.join(near_components(fps.select(F.col("fp").alias("id"), "fp"), radius), "fp").select("id", "hash", "component"))
+    best = cut(marked.groupBy("component").agg(F.min(F.struct("id", "hash")).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1").select("component", "best"))
+    both = marked.join(best, "component").withColumn("stays", F.struct("id", "hash") == F.col("best"))
+    gone = both.where(~F.col("stays")).select("id", "hash").distinct()
+    several = cut(both.where("stays").groupBy("id", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    gone = gone.select(F.col("id").alias("__id"), F.col("hash").alias("__hash"))
+    row = (F.col(id_col).cast("long"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    left = docs.join(gone, (row[0] == F.col("__id")) & (row[1] == F.col("__hash")), "left_anti")
+    if several.isEmpty():
+        return left
+    again = several.select(F.col("id").alias("__id"), F.col("hash").alias("__hash"))
+    same = (row[0] == F.col("__id")) & (row[1] == F.col("__hash"))
+    once = left.join(again, same, "left_semi").withColumns({"__id": row[0], "__hash": row[1]}).dropDuplicates(["__id", "__hash"]).select(*docs.columns)
+    return left.join(again, same, "left_anti").union(once)
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -271,6 +271,18 @@ def test_pipeline_against_brute_force(spark):
     assert rows_by_id(corpus_pipeline.run(spark, SF), "n_tokens", "decoded_sha256") == want
 
 
+def test_rows_of_repeated_ids_are_told_apart(spark):
+    """Of an id that repeats, clean and different rows stay, near copies and contaminated ones go, and a group keeps one row."""
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(40))
+    rows = [(1, text(1)), (2, text(1)), (2, text(2)), (3, text(3)), (3, text(3)), (3, text(4)), (4, text(3)), (5, text(5)), (5, text(5).upper()), (None, text(1)), (6, None), (6, text(6))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, (r.text or "").lower()) for r in simhash.keep_one(docs).collect())
+    assert got == sorted([(0, text(1)), (1, text(1)), (2, text(2)), (3, text(3)), (3, text(4)), (5, text(5)), (6, ""), (6, text(6))])
+    bench = spark.createDataFrame([(1, text(3)), (2, text(1))], "item_id long, text string")
+    got = sorted((r.doc_id or 0, r.text or "") for r in contamination.without_benchmark(docs, bench).collect())
+    assert got == sorted((i or 0, t or "") for i, t in rows if i is None or t not in (text(1), text(3)))
+
+
 CLASH = "key long, piece string, n double, w int, term string, id long, doc long, v int, k int, h long, label int, spans string, count int"
 
 
