@@ -12,13 +12,13 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lamina.llm.common import as_bytes, map_texts, rows_of, table
 
-#: Documented bounds of training: characters of text counted for each language, languages, and buckets of trigrams.
-SAMPLE_CHARS, LANGUAGES, BUCKETS = 4_000_000, 256, 1 << 16
+#: Documented bounds of training: characters of text counted for each language, rows of it that are counted in any case, and buckets of trigrams.
+SAMPLE_CHARS, SAMPLE_ROWS, BUCKETS = 4_000_000, 20, 1 << 16
 #: Share of a language's letters that a script needs to be one of its scripts.
 SCRIPT_SHARE = 0.005
 
@@ -63,7 +63,10 @@ class Model:
     def __init__(self, langs: list[str], grams: np.ndarray, scripts: np.ndarray) -> None:
         """``grams``: counts by bucket and language; ``scripts``: letters by script and language."""
         self.langs = langs
-        self.logp = np.log((grams + 0.1) / (grams + 0.1).sum(axis=0)).astype(np.float32)
+        self.logp = np.empty(grams.shape, dtype=np.float32)
+        for c in range(0, len(langs), 64):  # a few languages at a time, as their number isn't bounded
+            x = grams[:, c : c + 64] + 0.1
+            self.logp[:, c : c + 64] = np.log(x / x.sum(axis=0))
         share = scripts / np.maximum(scripts.sum(axis=0), 1)
         bars = np.where(share >= SCRIPT_SHARE, 0.0, -1e6)
         bars[~(bars == 0).any(axis=1)] = 0  # a script of no language bars none
@@ -103,20 +106,33 @@ class Model:
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
-    """A model of the rows of ``docs`` with a non-null text and language; empty if there are none.
+    """A model of the rows of ``docs`` with a non-null text and language, of every language there is; empty if there are none.
 
     Counts come from a sample that a hash of the id draws, of about SAMPLE_CHARS characters for each language (all rows of
-    a language with fewer), so neither the work nor the result (BUCKETS rows a language) grows with the corpus.
+    a language with fewer, and SAMPLE_ROWS rows at least), so the work doesn't grow with the corpus; the result has BUCKETS rows a language.
     """
     good = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l")).where("t is not null and l is not null")
-    sizes = good.groupBy("l").agg(F.sum(F.length("t")).alias("n")).orderBy(F.desc("n"), "l").limit(LANGUAGES).collect()
+    sizes = good.groupBy("l").agg(F.sum(F.length("t")).alias("n"), F.count(F.lit(1)).alias("rows")).collect()
     langs = sorted(x.l for x in sizes)
     if not langs:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros((256, 0)))
     part = {x.l: min(1 << 30, int((1 << 30) * SAMPLE_CHARS / max(1, x.n))) for x in sizes}
     lang = {x: k for k, x in enumerate(langs)}
-    share = F.coalesce(F.element_at(F.create_map(*[F.lit(y) for x in part.items() for y in x]), F.col("l")), F.lit(0))
-    picked = good.where(F.pmod(F.xxhash64("i", F.lit("language")), F.lit(1 << 30)) < share).select("l", F.col("t").cast("binary"))
+    good = good.withColumn("h", F.pmod(F.xxhash64("i", F.lit("language")), F.lit(1 << 30)))
+    # of languages that might draw too few rows, those of the least hashes are drawn in any case
+    few = [x.l for x in sizes if part[x.l] < 1 << 30 and x.rows * part[x.l] < 10 * SAMPLE_ROWS << 30]
+    if few:
+        ranked = good.where(F.col("l").isin(few)).select("l", "h", F.row_number().over(Window.partitionBy("l").orderBy("h")).alias("rank"))
+        for x in ranked.where(F.col("rank") <= SAMPLE_ROWS).groupBy("l").agg(F.max("h").alias("h")).collect():
+            part[x.l] = max(part[x.l], x.h + 1)
+    share = F.broadcast(docs.sparkSession.createDataFrame(list(part.items()), "l string, share long"))
+    picked = good.join(share, "l").where("h < share").select("l", F.col("t").cast("binary"))
+
+    def rows(got: dict[int, tuple[np.ndarray, np.ndarray]]):
+        for c, (g, s) in got.items():
+            x = np.concatenate((g, s))
+            k = np.flatnonzero(x)
+            yield pd.DataFrame({"c": c, "k": k, "n": x[k]})
 
     def count(batches):
         got: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -129,10 +145,10 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
                     g, s = got.setdefault(int(c), (np.zeros(BUCKETS, np.int64), np.zeros(256, np.int64)))
                     g += np.bincount(grams[by_gram == c], minlength=BUCKETS)
                     s += np.bincount(kind[by_word == c], weights=(end - begin)[by_word == c], minlength=256).astype(np.int64)
-        for c, (g, s) in got.items():
-            x = np.concatenate((g, s))
-            k = np.flatnonzero(x)
-            yield pd.DataFrame({"c": c, "k": k, "n": x[k]})
+                if len(got) > 64:
+                    yield from rows(got)
+                    got = {}
+        yield from rows(got)
 
     def run(batches):
         import pyarrow as pa
@@ -175,7 +191,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             out["spans"][d] = ",".join(spans[d])
         return out
 
-    return map_texts(as_bytes(docs, id_col, text_col), work, "id long, lang_pred string, score double, spans string", 2 << 20).withColumnRenamed("id", id_col)
+    return map_texts(as_bytes(docs, id_col, text_col), work, "id long, lang_pred string, score double, spans string", max(1 << 16, (2 << 20) * 256 // max(256, len(model.langs)))).withColumnRenamed("id", id_col)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -283,6 +283,19 @@ def test_rows_of_repeated_ids_are_told_apart(spark):
     assert got == sorted((i or 0, t or "") for i, t in rows if i is None or t not in (text(1), text(3)))
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    """More labels than 256, and a language whose text lies in a few long documents, of which the hash alone draws none."""
+    few = [(k, f"l{k:03}", f"{chr(97 + k % 26)}{chr(97 + k // 26)}q " * (40 + k)) for k in range(300)]
+    model = language.train(spark.createDataFrame(few, "doc_id long, lang string, text string"))
+    assert model.langs == [f"l{k:03}" for k in range(300)]
+    got = rows_by_id(language.predict(spark.createDataFrame(few, "doc_id long, lang string, text string"), model), "lang_pred")
+    assert got == {k: (name,) for k, name, _ in few}
+    monkeypatch.setattr(language, "SAMPLE_CHARS", 10)
+    long = [(k, "xx", "the cat and the hat " * 500) for k in range(30)] + [(99, "ru", "кот и шляпа " * 500)]
+    frame = spark.createDataFrame(long, "doc_id long, lang string, text string")
+    assert set(rows_by_id(language.predict(frame, language.train(frame)), "lang_pred").items()) == {(i, (name,)) for i, name, _ in long}
+
+
 CLASH = "key long, piece string, n double, w int, term string, id long, doc long, v int, k int, h long, label int, spans string, count int"
 
 
