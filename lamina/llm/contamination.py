@@ -1,11 +1,11 @@
 """Benchmark decontamination by a positional inverted index, in DataFrame operations alone.
 
-The index stores postings of training text: a gram of three words, document, position. A near window has at most ``window - near``
-words out of place, so cut into one cell more than that, one cell is whole (with 13 and 10: four cells of three or four
-words). Each window is looked up by the rarest gram of every cell, so that no near or exact window is missed; the postings carry all
-of a gram's words, so no two lists need a shuffle to meet. What is left are alignments of an item with a document; each is then
-compared word by word with the document's own text, which gives exact phrases (all words of a window) and near ones (``near`` or
-more of its words in place).
+The index stores postings of the training text: a term of up to three running words that some item holds, the text (named by 128 bits of
+hash, so that copies of a text are one) and the position. A near window has at most ``window - near`` words out of place, so cut into one cell more than
+that, one cell is whole (with 13 and 10: four cells of three or four words). Each window is looked up by the rarest term of every
+cell, and the lists, less their offsets in the item, meet as alignments of an item with a text; no near or exact window is
+missed. Only texts with an alignment are read again: each alignment takes from the text the words that it puts beside
+the item's, which gives exact phrases (all words of a window) and near ones (``near`` or more of its words in place).
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from lamina.llm.common import cut, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rows of the benchmark's vocabulary up to which it is broadcast (it is counted first); beyond, it is joined by shuffles.
-BROADCAST_ROWS = 500_000
+#: Bytes up to which what comes of the benchmark, or the names of texts, is broadcast (they are summed first); beyond, it is joined by shuffles.
+BROADCAST_BYTES = 32 << 20
 
 
 def words(text: Column) -> Column:
@@ -27,9 +27,15 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(low, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
 
 
-def sized(df: DataFrame) -> DataFrame:
-    """``df`` with a broadcast hint if it has few rows; it must be cheap to count."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def sized(df: DataFrame, weight: Column | None = None) -> DataFrame:
+    """``df`` with a broadcast hint if its rows' bytes, by ``weight`` or 64 each, are few; it must be cheap to sum."""
+    total = df.agg(F.sum(F.lit(64) if weight is None else weight)).first()[0] or 0
+    return F.broadcast(df) if total <= BROADCAST_BYTES else df
+
+
+def name_of(text: Column) -> list[Column]:
+    """``__a`` and ``__b``, two hashes that name a text."""
+    return [F.xxhash64(text).alias("__a"), F.xxhash64(F.lit(1), text).alias("__b")]
 
 
 def items_of(benchmark: DataFrame, id_col: str, text_col: str, window: int, near: int) -> DataFrame:
@@ -66,6 +72,62 @@ def pivots(items: DataFrame, rows: DataFrame, counts: DataFrame) -> DataFrame:
     return best.where("best.count > 0").select("no", "best.p", "best.key").distinct()
 
 
+def postings(texts: DataFrame, terms: DataFrame, lengths: list[int]) -> DataFrame:
+    """The index (__a, __b, pos, key) of the texts (__a, __b, __text), of those terms that ``terms`` holds in ``key``; ``lengths``: theirs, in words.
+
+    Position p has the terms that begin with word p (those cut short by the end equal shorter ones, and only cost a comparison).
+    """
+    w = F.col("w")
+    zipped = texts.select("__a", "__b", words(F.col("__text")).alias("w"))
+    placed = zipped.select("__a", "__b", F.posexplode(F.arrays_zip(w.alias("a"), F.slice(w, F.lit(2), F.size(w)).alias("b"), F.slice(w, F.lit(3), F.size(w)).alias("c"))).alias("pos", "x"))
+    keys = [gram(F.col("x.a"), F.col("x.b"), F.col("x.c"), F.lit(n)) for n in lengths]
+    every = placed.select("__a", "__b", "pos", (keys[0] if len(keys) == 1 else F.explode(F.array(*keys))).alias("key"))
+    return every.join(sized(terms), "key", "left_semi")
+
+
+def compared(texts: DataFrame, aligned: DataFrame, items: DataFrame, window: int, near: int) -> DataFrame:
+    """(__a, __b, n_words, item, near, hit): of the alignments (__a, __b, no, at), those with enough words in place for a near window; ``near`` is whether
+    one is, ``hit`` the positions that whole windows cover."""
+    by_text = aligned.join(sized(items.select("no", "n")), "no").groupBy("__a", "__b").agg(F.collect_list(F.struct("no", "at", "n")).alias("found"))
+    named = sized(by_text.select("__a", "__b"))
+    read = texts.join(named, ["__a", "__b"], "left_semi").dropDuplicates(["__a", "__b"]).select("__a", "__b", words(F.col("__text")).alias("w"))
+    beside = lambda c: F.slice("w", F.greatest(c["at"], F.lit(0)) + 1, F.least(c["n"], c["n"] + c["at"]))
+    each = read.join(by_text, ["__a", "__b"]).select("__a", "__b", F.size("w").cast("long").alias("n_words"), F.explode(F.transform("found", lambda c: F.struct(c["no"].alias("no"), c["at"].alias("at"), beside(c).alias("x")))).alias("c"))
+    each = each.select("__a", "__b", "n_words", "c.no", "c.at", "c.x").join(sized(items.select("no", "item", "item_words", "n", "size"), 64 + F.aggregate("item_words", F.lit(0), lambda t, x: t + 16 + F.octet_length(x))), "no")
+    # per word of the item whether it is in place; those before or after the text are not
+    skip = F.greatest(-F.col("at"), F.lit(0))
+    same = F.transform("item_words", lambda y, k: F.coalesce(F.get("x", k - skip) == y, F.lit(False)).cast("int"))
+    least = F.least("size", F.lit(near))
+    total = F.aggregate("same", F.lit(0), lambda t, x: t + x)
+    # most alignments are chance meetings, which go before their windows are summed
+    enough = each.withColumn("same", same).where(total >= least)
+    scores = F.transform(F.sequence(F.lit(0), F.col("n") - F.col("size")), lambda s: F.struct(s.alias("s"), F.aggregate(F.slice("same", s + 1, F.col("size")), F.lit(0), lambda t, x: t + x).alias("score")))
+    out = enough.withColumn("scores", scores).where(F.exists("scores", lambda x: x["score"] >= least))
+    whole = F.filter("scores", lambda x: x["score"] == F.col("size"))
+    hit = F.array_distinct(F.flatten(F.transform(whole, lambda x: F.sequence(F.col("at") + x["s"], F.col("at") + x["s"] + F.col("size") - 1))))
+    return out.select("__a", "__b", "n_words", "item", hit.alias("hit"))
+
+
+def contamination_of(texts: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, window: int, near: int) -> DataFrame:
+    """(__a, __b, n_words, n_hit, items, n_near) of the texts (__a, __b, __text) that hold a near window; written, and few as they are."""
+    items = cut(items_of(benchmark, item_col, item_text_col, window, near))
+    rows = cut(grams(items))
+    lengths = sorted(r.length for r in items.select("length").distinct().collect()) or [3]
+    index = cut(postings(texts, rows.select("key").distinct(), lengths))
+    counts = index.groupBy("key").agg(F.count(F.lit(1)).alias("count"))
+    rare = cut(pivots(items, rows, counts))
+    aligned = cut(index.join(sized(rare), "key").select("__a", "__b", "no", (F.col("pos") - F.col("p")).alias("at")).distinct())
+    scored = cut(compared(texts, aligned, items, window, near))
+    hits = scored.select("__a", "__b", F.explode("hit").alias("pos")).distinct().groupBy("__a", "__b").agg(F.count(F.lit(1)).alias("n_hit"))
+    by_item = scored.groupBy("__a", "__b", "n_words", "item").agg(F.max(F.size("hit") > 0).alias("whole"))
+    by_text = by_item.groupBy("__a", "__b", "n_words").agg(F.array_sort(F.collect_list(F.when(F.col("whole"), F.col("item")))).alias("items"), F.count(F.lit(1)).alias("n_near"))
+    return cut(by_text.join(hits, ["__a", "__b"], "left").withColumn("n_hit", F.coalesce("n_hit", F.lit(0))))
+
+
+def contaminated(share: int) -> Column:
+    return (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))
+
+
 def mark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, near: int = 10, share: int = 20) -> DataFrame:
     """Per row of ``docs``: the id, ``n_words``, ``n_hit`` (words within an occurrence of a window), ``n_items`` (items with one),
     ``items_sha256`` (of their ids, sorted as strings, comma-joined), ``contaminated`` (n_hit > 0 and share * n_hit >= n_words) and
@@ -74,72 +136,25 @@ def mark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
 
     A null text has no words, and neither it nor an empty table of either kind gives hits. An item of fewer words than a window is one
     window; an item with no words or a null id is none. Rows of one item id with different texts count as one item. Null and
-    repeated document ids are fine: each row is compared with its own text.
+    repeated document ids are fine: what is found belongs to a text, and every row with it gets it.
     """
-    return hashed(docs, benchmark, id_col, text_col, item_col, item_text_col, window, near, share).drop("__hash")
+    text = F.col(text_col).cast("string")
+    named = docs.select(F.col(id_col).alias("__id"), *name_of(text), text.alias("__text"))
+    found = contamination_of(named.select("__a", "__b", "__text"), benchmark, item_col, item_text_col, window, near).drop("n_words")
+    out = named.select("__id", "__a", "__b", F.size(words(F.col("__text"))).cast("long").alias("n_words")).join(found, ["__a", "__b"], "left")
+    out = out.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0)), "n_near": F.coalesce("n_near", F.lit(0)), "items": F.coalesce("items", F.array().cast("array<string>"))})
+    return out.select(F.col("__id").alias(id_col), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), contaminated(share).alias("contaminated"), "n_near")
 
 
-def hashed(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str = "item_id", item_text_col: str = "text", window: int = 13, near: int = 10, share: int = 20) -> DataFrame:
-    """:func:`mark` with ``__hash``, that of each row's text, beside it."""
-    # the key only brings candidates to a row, which is then compared itself, so that equal keys do no harm
-    base = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"), F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string"))).alias("__key"))
-    items = cut(items_of(benchmark, item_col, item_text_col, window, near))
-    rows = cut(grams(items))
-    lengths = sorted(r.length for r in items.select("length").distinct().collect()) or [3]
-
-    # postings: position p of ``w`` has the grams that begin with w[p] (those cut short by the end equal shorter ones, and only cost a comparison)
-    w = F.col("w")
-    zipped = base.select("__key", words(F.col("__text")).alias("w")).select("__key", F.posexplode(F.arrays_zip(w.alias("a"), F.slice(w, F.lit(2), F.size(w)).alias("b"), F.slice(w, F.lit(3), F.size(w)).alias("c"))).alias("pos", "x"))
-    keys = [gram(F.col("x.a"), F.col("x.b"), F.col("x.c"), F.lit(n)) for n in lengths]
-    postings = zipped.select("__key", "pos", (keys[0] if len(keys) == 1 else F.explode(F.array(*keys))).alias("key"))
-    vocabulary = sized(rows.select("key").distinct())
-    counts = postings.select("key").join(vocabulary, "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("count"))
-    rare = cut(pivots(items, rows, counts))
-    aligned = postings.join(sized(rare), "key").select("__key", "no", (F.col("pos") - F.col("p")).alias("at"))
-    found = aligned.join(sized(items.select("no", "item", "item_words")), "no").groupBy("__key").agg(F.collect_set(F.struct("item", "item_words", "at")).alias("found"))
-
-    # alignments are compared with the text: per alignment, which words are in place, and which windows are whole
-    both = base.join(found, "__key", "left").select("__id", F.xxhash64("__text").alias("__hash"), words(F.col("__text")).alias("w"), F.coalesce("found", F.array().cast(found.schema["found"].dataType)).alias("found"))
-    size = lambda c: F.least(F.size(c["item_words"]), F.lit(window))
-    equal = F.transform(
-        "found",
-        lambda c: F.struct(
-            c["item"].alias("item"), c["at"].alias("at"), size(c).alias("size"),
-            F.transform(c["item_words"], lambda x, k: F.coalesce(F.get("w", c["at"] + k) == x, F.lit(False)).cast("int")).alias("same"),
-        ),
-    )
-    # the words in place in each window, as differences of running sums
-    sums = lambda e: F.aggregate(e["same"], F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
-    starts = lambda e: F.sequence(F.lit(0), F.size(e["same"]) - e["size"])
-    summed = F.transform("e", lambda e: F.struct(e["item"].alias("item"), e["at"].alias("at"), e["size"].alias("size"), starts(e).alias("starts"), sums(e).alias("sums")))
-    score = lambda e, s: F.get(e["sums"], s + e["size"]) - F.get(e["sums"], s)
-    hits = F.transform(
-        "s",
-        lambda e: F.struct(
-            e["item"].alias("item"), e["at"].alias("at"), e["size"].alias("size"),
-            F.filter(e["starts"], lambda s: score(e, s) == e["size"]).alias("whole"),
-            F.exists(e["starts"], lambda s: score(e, s) >= F.least(e["size"], F.lit(near))).alias("near"),
-        ),
-    )
-    # most alignments are chance meetings: what has fewer words in place than a near window needs is left before its windows are summed
-    enough = F.filter("e", lambda e: F.size(F.filter(e["same"], lambda x: x == 1)) >= F.least(e["size"], F.lit(near)))
-    h = both.withColumn("e", equal).withColumn("e", enough).withColumn("s", summed).withColumn("h", hits)
-    # only words of whole windows are hit
-    covered = F.array_distinct(F.flatten(F.flatten(F.transform("h", lambda x: F.transform(x["whole"], lambda s: F.sequence(x["at"] + s, x["at"] + s + x["size"] - 1))))))
-    whole_items = F.array_sort(F.array_distinct(F.transform(F.filter("h", lambda x: F.size(x["whole"]) > 0), lambda x: x["item"])))
-    near_items = F.array_distinct(F.transform(F.filter("h", lambda x: x["near"]), lambda x: x["item"]))
-    out = h.select("__id", "__hash", F.size("w").cast("long").alias("n_words"), F.size(covered).cast("long").alias("n_hit"), whole_items.alias("items"), F.size(near_items).cast("long").alias("n_near"))
-    return out.select(
-        F.col("__id").alias(id_col), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "n_near", "__hash",
-    )
-
-
-def without_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the contaminated rows, which are told apart by id and text where an id repeats. Rows with a null id stay."""
-    found = hashed(docs, benchmark, id_col, text_col, **options).where("contaminated").select(F.col(id_col).alias("__gone"), "__hash").distinct()
-    return docs.join(found, (docs[id_col] == F.col("__gone")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("__hash")), "left_anti")
+def without_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, near: int = 10, share: int = 20) -> DataFrame:
+    """``docs`` without the rows whose text is contaminated. Rows with a null id stay."""
+    text = F.col(text_col).cast("string")
+    texts = docs.where(F.col(id_col).isNotNull()).select(*name_of(text), text.alias("__text"))
+    gone = contamination_of(texts, benchmark, item_col, item_text_col, window, near).where(contaminated(share)).select("__a", "__b")
+    a, b = name_of(text)
+    return docs.join(sized(gone), (a == F.col("__a")) & (b == F.col("__b")) & F.col(id_col).isNotNull(), "left_anti")
 
 
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`mark` of all documents by all items: windows of 13 words, near ones with 10 in place, contaminated from a twentieth on."""
     return mark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

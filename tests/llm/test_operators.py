@@ -1,17 +1,22 @@
+import base64
 import hashlib
+import math
 import random
 import sys
+from collections import Counter
+from functools import lru_cache
 from pathlib import Path
 
-import base64
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import public_tokenizers
 import pytest
 import tiktoken
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parents[2]))
 import corpus_pipeline  # noqa: E402
@@ -102,6 +107,32 @@ def test_near_pairs(flips, radius, n):
     assert got == {(a, b) for a in range(n + 1) for b in range(n + 1) if a != b and int(fps[a] ^ fps[b]).bit_count() <= radius}
 
 
+@settings(max_examples=25, deadline=None)
+@given(st.integers(0, 60), st.integers(0, 200), st.integers(1, 150), st.sampled_from([64, 128, 256]))
+def test_near_pairs_of_wide_fingerprints(radius, flips, n, bits):
+    g = np.random.default_rng(n + flips)
+    rows = g.integers(0, 2, (n, bits), dtype=np.uint8)
+    rows = np.concatenate((rows, rows[: n // 2 + 1]))
+    for k in range(n, len(rows)):
+        rows[k, g.choice(bits, min(bits, flips, 2 * radius + k % 3), replace=False)] ^= 1
+    got = {(int(a), int(b)) for i, j in simhash.near_pairs(np.packbits(rows, axis=1), radius) for a, b in zip(i, j, strict=True)}
+    far = (rows[:, None] != rows[None]).sum(axis=2)
+    assert got == {(int(a), int(b)) for a, b in np.argwhere(far <= radius) if a != b}
+
+
+def test_wide_fingerprint():
+    """Bits are majorities over all shingles, also of texts longer than a block of sums; a radius beyond what blocks of 64 bits find raises."""
+    text = LONG.encode()
+    w = text.lower().split()
+    h = np.array([xxhash.xxh64_intdigest(b" ".join(w[k : k + 5]), 42) for k in range(len(w) - 4)], dtype=np.uint64)
+    bits = np.unpackbits(np.stack([simhash._mixed(h, k) for k in range(4)], axis=1).view(np.uint8), axis=1)
+    fp, bands = simhash.wide_fingerprint(text)
+    assert fp == np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(h)).tobytes() and len(set(bands)) == simhash.BANDS
+    assert simhash.wide_fingerprint(b" \n") == simhash.wide_fingerprint(b"") and simhash.wide_fingerprint(b"A b")[0] == simhash.wide_fingerprint(b"a  B")[0]
+    with pytest.raises(ValueError):
+        simhash.near_components(None, 4)
+
+
 def test_lines(docs, none, spark):
     got = by_id(lines.drop_lines(docs))
     assert (got[11].n_lines, got[11].n_dropped, bytes(got[11].kept)) == (2, 1, b"b")
@@ -234,13 +265,99 @@ def test_language(spark, none):
     assert language.predict(none, model).count() == 0
 
 
-def test_quality(spark, docs, none):
-    rows = queries.QUERIES["op2_quality_classifier"](spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").collect()
-    good = [r.kept for r in rows if r.quality == 1 and r.toxic == 0]
-    bad = [r.kept for r in rows if r.quality == 0]
-    assert np.mean(good) > 0.95 and np.mean(bad) < 0.1
+def _hash(word: bytes) -> int:
+    h = sum(c * pow(int(common.ODD), k, 1 << 64) for k, c in enumerate(word)) & (1 << 64) - 1
+    return (h ^ h >> 32) * int(quality._K) & (1 << 64) - 1
+
+
+def plain_weights(docs, labels):
+    """Log importance weights of {id: text}, labels {id: kind}, by counters of single grams; ids drawn are all."""
+    one = lru_cache(None)(_hash)
+    mask, odd = (1 << 64) - 1, int(common.ODD)
+    words = {i: t.encode().lower().split() for i, t in docs.items()}
+    first, least = set(), {}
+    for i in sorted(labels):
+        w = words[i]
+        least.setdefault((labels[i], min((tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))), key=lambda x: hashlib.md5(repr(x).encode()).digest())), i)
+    first = set(least.values())
+
+    def split(i):
+        h = [one(x) for x in words[i]]
+        pairs = [quality.WORDS + (((a * odd + b) * int(quality._K) & mask | 1) >> 47) for a, b in zip(h, h[1:])]
+        grams = [x >> 44 for x in h] + [((one(x[:n]) * odd + n) & mask) >> 44 for n in quality.BEGINNINGS for x in words[i] if len(x) > n]
+        grams += [int(quality._AGAIN) >> 44 for a, b, c in zip(h, h[1:], h[2:]) if a == b == c]
+        return [x >> 47 for x in h], pairs, grams
+
+    def told(a, b):
+        na, nb = sum(a.values()), sum(b.values())
+        out = {}
+        for x in a.keys() | b.keys() if na and nb else ():
+            mean = (a[x] + b[x]) / (na + nb)
+            g = 2 * sum(c * math.log(c / (n * mean)) for c, n in ((a[x], na), (b[x], nb)) if c)
+            r = math.log((b[x] / nb * min(na, nb) + 0.5) / (a[x] / na * min(na, nb) + 0.5))
+            if g > quality.SURE and abs(r) > quality.FAR:
+                out[x] = r
+        return out
+
+    parts = {i: split(i) for i in docs}
+    raw, target, kinds = [Counter(), Counter()], [Counter(), Counter()], [Counter() for _ in range(3)]
+    for i, p in parts.items():
+        for k in range(2):
+            raw[k].update(p[k])
+            if labels.get(i) == 0:
+                target[k].update(p[k])
+        if i in first:
+            kinds[labels[i]].update(p[2])
+    against = told(target[0], raw[0]) | told(target[1], raw[1])
+    sizes = [list(labels.values()).count(k) / len(labels) for k in range(3)]
+    table = [told(kinds[0], kinds[k]) for k in range(3)]
+    out = {}
+    for i, (a, b, c) in parts.items():
+        terms = [math.log(sizes[0] * 0.99), math.log(quality.OTHER) + sum(against.get(x, 0) for x in a + b)]
+        terms += [math.log(sizes[k] * 0.99) + sum(table[k].get(x, 0) for x in c) for k in (1, 2) if table[k]]
+        out[i] = -float(np.logaddexp.reduce(terms)) if a else quality.LOWEST
+    return out, sizes[0]
+
+
+def label_kinds(folder):
+    return {r["doc_id"]: 2 if r["toxic"] else 0 if r["quality"] else 1 for r in pq.read_table(f"{folder}/labels.parquet").to_pylist()}
+
+
+def test_quality_against_a_plain_version(spark):
+    """Weights, and the rows kept, by single counters; near copies of labelled texts are told by another least shingle, so their few grams may differ."""
+    folder = "/root/testdata/sf0.01"
+    got = by_id(queries.QUERIES["op2_quality_classifier"](spark, folder))
+    docs = {r["doc_id"]: r["text"] or "" for r in pq.read_table(f"{folder}/documents.parquet").to_pylist()}
+    weights, share = plain_weights(docs, label_kinds(folder))
+    assert got.keys() == weights.keys()
+    near = [abs(got[i].log_weight - w) <= 0.05 * abs(w) + 0.2 for i, w in weights.items()]
+    assert np.mean(near) > 0.9
+    keys = sorted((got[i].gumbel for i in got), reverse=True)
+    k = round(share * len(got))
+    assert {i for i in got if got[i].kept} == {i for i in got if got[i].gumbel >= keys[k - 1]}
+    noise = np.array([got[i].gumbel - got[i].log_weight for i in got if got[i].log_weight > -100])
+    assert abs(noise.mean() - 0.5772) < 0.15 and abs(noise.std() - np.pi / np.sqrt(6)) < 0.15
+    # no threshold on the weight gives the same rows
+    assert min(r.log_weight for r in got.values() if r.kept) < max(r.log_weight for r in got.values() if not r.kept)
+
+
+def test_quality_on_unseen_labels(spark):
+    """Neither models nor k see the labels that the result is held against."""
+    folder = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    seen = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2)) == 0
+    rows = quality.resample(docs, labels.where(seen)).join(labels.where(~seen), "doc_id").collect()
+    share = lambda some: np.mean([r.kept for r in rows if some(r)])
+    assert share(lambda r: r.quality == 1 and r.toxic == 0) > 0.97
+    assert share(lambda r: r.quality == 0) < 0.05 and share(lambda r: r.toxic == 1) < 0.1
+
+
+def test_quality_edges(spark, docs, none):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality.resample(docs, labels).where("kept").count() == docs.count() and quality.resample(none, labels).count() == 0
+    assert quality.resample(docs, labels, k=3).where("kept").count() == 3 and quality.resample(docs, labels, k=0).where("kept").count() == 0
+    same = docs.select(F.lit(7).alias("doc_id"), F.lit("one text").alias("text"))
+    assert quality.resample(same, labels, k=2).where("kept").count() == docs.count()  # all are tied with the second
     scored = spark.createDataFrame([(float(v % 50),) for v in range(999)], "x double")
     assert [quality.kth_largest(scored, "x", k) for k in (1, 20, 500, 999)] == [sorted((v % 50 for v in range(999)), reverse=True)[k - 1] for k in (1, 20, 500, 999)]
 

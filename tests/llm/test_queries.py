@@ -253,6 +253,16 @@ def test_lines_after_inserts_and_deletes(spark, monkeypatch):
             assert tables[int(shard[0])].has(x).all()
 
 
+def plain_groups(texts):
+    """The least id of the group of each text, by comparing all pairs of wide fingerprints that share a band."""
+    ids, radius = sorted(texts), simhash.radius_of(0.8)
+    found = [simhash.wide_fingerprint(texts[i].encode()) for i in ids]
+    bits = [int.from_bytes(f, "big") for f, _ in found]
+    near = lambda a, b: (bits[a] ^ bits[b]).bit_count() <= radius and any(x == y for x, y in zip(found[a][1], found[b][1], strict=True))
+    lab = components(len(ids), [(a, b) for a in range(len(ids)) for b in range(a) if near(a, b)])
+    return {i: ids[lab[k]] for k, i in enumerate(ids)}
+
+
 def test_pipeline_against_brute_force(spark):
     """Each stage is compared with a plain version of it on what its predecessor kept; stage 1 with the weights of all documents."""
     read = lambda name: spark.read.parquet(f"{SF}/{name}.parquet")
@@ -260,10 +270,8 @@ def test_pipeline_against_brute_force(spark):
     good = {r.doc_id for r in quality.resample(docs, read("labels")).where("kept").collect()}
     texts = {i: t for i, t in texts_of(spark).items() if i in good}
     texts = plain_lines(texts)
-    ids = sorted(texts)
-    fps = [plain_fingerprint(texts[i]) for i in ids]
-    lab = components(len(ids), [(a, b) for a in range(len(ids)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 3])
-    texts = {i: texts[i] for k, i in enumerate(ids) if lab[k] == k}
+    groups = plain_groups(texts)
+    texts = {i: t for i, t in texts.items() if groups[i] == i}
     marks = plain_contamination(texts, texts_of(spark, "benchmark", "item_id"))
     texts = {i: t for i, t in texts.items() if not marks[i][4]}
     enc = reference_encoder()
@@ -271,6 +279,31 @@ def test_pipeline_against_brute_force(spark):
     assert rows_by_id(corpus_pipeline.run(spark, SF), "n_tokens", "decoded_sha256") == want
 
 
+def shingles(text):
+    w = text.lower().split()
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+
+
+def test_recall_of_near_copies(spark):
+    """Of the pairs of different texts with a Jaccard similarity of five-word shingles of 0.8 or more, at least 0.95 are in one group; who goes has a near copy that stays."""
+    folder = "/root/testdata/sf0.01"
+    texts = {i: t for i, t in texts_of(spark, folder=folder).items() if t.split()}
+    kept = {r.doc_id for r in simhash.keep_one(spark.read.parquet(f"{folder}/documents.parquet")).collect()}
+    groups = plain_groups(texts)
+    assert {i for i in texts if groups[i] == i} == kept & texts.keys()
+    sets = {i: shingles(t) for i, t in texts.items()}
+    holders = defaultdict(list)
+    for i, s in sets.items():
+        for x in s:
+            holders[x].append(i)
+    pairs = {(a, b) for v in holders.values() if len(v) < 99 for k, b in enumerate(v) for a in v[:k]}
+    share = {p: len(sets[p[0]] & sets[p[1]]) / len(sets[p[0]] | sets[p[1]]) for p in pairs}
+    near = [p for p, j in share.items() if j >= 0.8]
+    assert len(near) > 20 and sum(groups[a] == groups[b] for a, b in near) >= 0.95 * len(near)
+    gone = texts.keys() - kept
+    assert gone == {x for x in gone if any(j >= 0.55 and x in p for p, j in share.items())}
+
+
 def test_rows_of_repeated_ids_are_told_apart(spark):
     """Of an id that repeats, clean and different rows stay, near copies and contaminated ones go, and a group keeps one row."""
     text = lambda k: " ".join(f"w{k}x{j}" for j in range(40))
