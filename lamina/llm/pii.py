@@ -4,7 +4,8 @@ The linear-chain CRF tags white-space tokens from the shapes of the word and its
 labelled table that templates generate with a fixed seed, by gradient descent on the forward-backward likelihood, and
 decoded by Viterbi in numpy batches. Only tokens with a digit, and tokens of capital letters in a run with them (as the bank's code
 in a bank number), can carry a tag (the others are held at O), so a text falls apart exactly into such runs, each decoded with the
-neighbours' words as features: nothing else is left out. Names and other data without a digit aren't among the kinds.
+neighbours' words as features: nothing else is left out. Names and other data without a digit aren't among the kinds. A number that
+its shape alone doesn't tell is decided by the words before it: ``phone 123-456-7890`` is one, ``version 123-456-7890`` isn't.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ CAPITALS = re.compile(r"""["']*[A-Z]+[.,;:!?"']*\Z""")
 #: Tags of the CRF; B and I of a kind follow each other.
 TAGS = ("O", "B-national", "I-national", "B-ssn", "B-iban", "I-iban")
 KINDS = {"national": 4, "ssn": 5, "iban": 6}
-DIM = 1 << 12
+DIM = 1 << 14
 
 
 def luhn(number: str) -> bool:
@@ -71,71 +72,99 @@ def base_spans(text: str) -> list[Span]:
 
 
 def shape(word: str) -> str:
-    """``555-3824`` gives ``999-9999``: digits 9, capitals A, other letters a; runs of letters are cut to two."""
-    s = re.sub(r"[0-9]", "9", word[:32])
-    s = re.sub(r"[A-Z]", "A", s)
-    s = re.sub(r"[^\W\d_A]+", lambda m: "a" * min(2, len(m[0])), s)
-    return re.sub(r"A{3,}", "AA", s)
+    """``555-3824`` gives ``3d-4d`` and ``GB29x`` ``2A2da``: digits and capitals as the lengths of their runs, runs of other letters as ``a``."""
+    return re.sub(r"[0-9]+|[A-Z]+|[^\W\d_A-Z]+", lambda m: f"{len(m[0])}d" if "0" <= m[0][0] <= "9" else f"{len(m[0])}A" if "A" <= m[0][0] <= "Z" else "a", word)
 
 
-def features(before: str, word: str, after: str) -> list[int]:
-    """Hashed features of a token and its neighbours' words."""
-    core = word.strip(".,;:!?\"'")
-    names = (f"s{shape(core)}", f"n{sum(c.isdigit() for c in core)}", f"f{core[:2] if core[:1].isalpha() else core[:1]}", f"p{shape(before)}", f"x{shape(after.strip('.,;:!?'))}", f"w{before.lower().strip('.:#')}" if before.isascii() and len(before) < 12 else "w", "b")
-    return [zlib.crc32(x.encode()) % DIM for x in names]
+EDGE = ".,;:!?\"'#"
 
 
-def labelled_table(rows: int = 700, seed: int = 7) -> list[tuple[list[str], list[str]]]:
-    """Sentences of tokens with their tags, from templates: national phone, social security and bank numbers, and numbers that are none."""
+# Forms of numbers, with # for a digit, N for one from 2 to 9, X for a digit or capital, A for a capital; a bank number's two check digits and groups follow its country.
+#: Telephone numbers that their form tells, and those that take a word before them to tell.
+PHONES = ("(N##) N##-####", "N##-N##-####", "(N##)N##-####", "(N##) N## ####", "N##.N##.####", "0N ## ## ## ##", "0N.##.##.##.##", "0N# #######", "0N## #######", "0N#/#######", "0N## ######", "0N## ### ####", "020 #### ####", "07### ######", "0## ### ## ##")
+CALLED = ("N## ### ###", "9# ### ## ##", "N## ## ## ##", "N##-####", "##########")
+BANKS = ("AT## #### #### #### ####", "BE## #### #### ####", "BG## AAAA #### #### #### ##", "CH## #### #### #### #### #", "CZ## #### #### #### #### ####", "DE## #### #### #### #### ##", "DK## #### #### #### ##", "EE## #### #### #### ####", "ES## #### #### #### #### ####", "FI## #### #### #### ##", "FR## #### #### #### #### #### ###", "FR## #### #### #### ##X# #X## ###", "GB## AAAA #### #### #### ##", "GR## #### #### #### #### #### ###", "HR## #### #### #### #### #", "HU## #### #### #### #### #### ####", "IE## AAAA #### #### #### ##", "IT## A### #### #### #### #### ###", "LT## #### #### #### ####", "LU## #### #### #### ####", "LV## AAAA #### #### #### #", "MT## AAAA #### #### #### #### #### ###", "MT## AAAA #### #### XXXX XXXX XXXX XXX", "NL## AAAA #### #### ##", "NO## #### #### ###", "PL## #### #### #### #### #### ####", "PT## #### #### #### #### #### #", "QA## AAAA #### #### #### #### #### #", "QA## AAAA #### #### #### ##XX XXXX X", "QA## AAAA XXXX XXXX XXXX XXXX XXXX X", "RO## AAAA #### #### #### ####", "SE## #### #### #### #### ####", "SI## #### #### #### ###", "SK## #### #### #### #### ####")
+OTHERS = ("####-##-##", "##/##/####", "##.##.####", "##:##", "##:##:##", "#", "##", "###", "####", "#####", "######", "#######", "########", "#.##", "#,###", "##.#", "$##.##", "##%", "# ### ###", "## ###", "## ##", "## ## ##", "### ###", "v#.#.#", "#.#.#", "A###", "A#", "AAA-####", "a###a##", "##-##", "978-#-##-######-#", "################", "#### #### #### ####", "#.##.###.##", "x.##@m#.net", "+##", "#### #### ####", "####-####", "##th", "#x#")
+CALLS = "tel phone call fax mobile cell contact reach dial ring telefon telephone téléphone tél móvil teléfono handy portable llame telefono cellulare".split()
+CODES = "order version invoice item part case ticket ref reference model serial isbn page room section code build release product sku lot batch file record row id tracking parcel bestellung rechnung commande facture pedido factura".split()
+FILL = "the of and in to at on is for with by from was le la les de des du et der die das und mit von el los que por con un una my our his number nr no please or".split()
+BANKING = "iban account konto compte cuenta bank pay transfer".split()
+#: Words that are features of their own; others are all one.
+LEXICON = frozenset((*CALLS, *CODES, *BANKING, "ssn", "social", "security", "number", "taxpayer", "no", "nr", "is", "was", "at", "on", "of"))
+
+
+def features(two: str, before: str, word: str, after: str) -> list[int]:
+    """Hashed features of a token, of the two words before it and of the one after."""
+    core, last, next_ = word.strip(EDGE), before.strip(EDGE).lower(), after.strip(EDGE)
+    known = lambda x: x if x in LEXICON else shape(x) if DIGIT.search(x) else ""
+    far = known(two.strip(EDGE).lower())
+    names = (f"s{shape(core)}", f"n{sum(c.isdigit() for c in core)}", f"f{core[:2] if core[:1].isalpha() else core[:1]}", f"w{known(last)}", f"v{far}|{known(last)}", f"x{shape(next_) if DIGIT.search(next_) else ''}", f"q{shape(core)}|{known(last)}", f"r{shape(core)}|{shape(next_) if DIGIT.search(next_) else ''}", f"u{shape(core)}|{far}", "b")
+    return [zlib.crc32(x.encode("utf-8", "replace")) % DIM for x in names]
+
+
+def labelled_table(rows: int = 1500, seed: int = 7) -> list[tuple[list[str], list[str]]]:
+    """Sentences of tokens with their tags: numbers of each kind and numbers that are none, by their forms, between words, known ones and made-up ones."""
     rng = np.random.default_rng(seed)
-    num = lambda k: "".join(map(str, rng.integers(0, 10, k)))
-    capitals = lambda k: "".join(chr(65 + x) for x in rng.integers(0, 26, k))
-    mixed = lambda k: "".join("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"[x] for x in rng.integers(0, 36 if rng.random() < 0.7 else 10, k))
-    group = lambda c: num(int(c)) if c.isdigit() else capitals(4) if c == "A" else capitals(1) + num(3) if c == "B" else mixed({"X": 4, "Y": 2, "Z": 1}[c])
-    fill = "the of and in to tel phone call ssn iban no number item on at with for page le la de und der que el".split()
-    spaced = ("GB 2A444442", "NL 2A4442", "IE 2A444442", "QA 2A44XXXXZ", "QA 2A4444XXZ", "MT 2A44XXXY", "MT 2A444XXY", "MT 2A44444442", "FR 24444443", "ES 244444", "IT 2B444443", "BE 2444", "CH 244441", "AT 24444", "SE 244444", "BG 2A44442", "RO 2A44444", "LV 2A4441")
+    pick = lambda xs: xs[int(rng.integers(0, len(xs)))]
+    letters = lambda k, first: "".join(chr(first + x) for x in rng.integers(0, 26, k))
+    draw = {"#": lambda: str(rng.integers(0, 10)), "N": lambda: str(rng.integers(2, 10)), "A": lambda: letters(1, 65), "a": lambda: letters(1, 97), "X": lambda: pick("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ")}
+
+    def form(x: str, keep: int = 0) -> list[str]:
+        return (x[:keep] + "".join(draw[c]() if c in draw else c for c in x[keep:])).split()
+
+    def fill() -> list[str]:
+        words = [pick(FILL) if rng.random() < 0.5 else letters(int(rng.integers(2, 9)), 97) for _ in range(int(rng.integers(1, 4)))]
+        loud = rng.random()
+        return [x.upper() for x in words] if loud < 0.2 else [x.title() for x in words] if loud < 0.3 else words
+
+    def numbered(kind: str, groups: list[str]) -> list[str]:
+        return [f"B-{kind}", *[f"I-{kind}"] * (len(groups) - 1)]
+
     out = []
     for _ in range(rows):
         words, tags = [], []
 
-        def add(ws, ts, words=words, tags=tags):
+        def add(ws, ts=None, words=words, tags=tags):
             words.extend(ws)
-            tags.extend(ts)
+            tags.extend(ts or ["O"] * len(ws))
 
         for _ in range(3):
-            k = int(rng.integers(1, 5))
-            loud = rng.random() < 0.25
-            add([x.upper() if loud else x for x in map(str, rng.choice(fill, k))], ["O"] * k)
-            kind = int(rng.integers(0, 16))
-            if kind == 0:
-                add([f"({num(3)})", f"{num(3)}-{num(4)}"], ["B-national", "I-national"])
-            elif kind == 1:
-                add([f"{num(3)}-{num(3)}-{num(4)}"], ["B-national"])
+            add(fill())
+            cue = lambda xs: [x + pick(("", "", ":", ".")) for x in [pick(xs)]] + pick(([], [], [], ["number"], ["no."], ["is"]))
+            kind = int(rng.integers(0, 12))
+            if kind < 2:
+                if rng.random() < 0.5:
+                    add(cue(CALLS))
+                got = form(pick(PHONES))
+                add(got, numbered("national", got))
             elif kind == 2:
-                add([f"({num(3)}){num(3)}-{num(4)}"], ["B-national"])
+                got = form(pick(CALLED))
+                cued = rng.random() < 0.5
+                add(cue(CALLS) if cued else [])
+                add(got, numbered("national", got) if cued else None)
             elif kind == 3:
-                add([f"{num(3)}-{num(2)}-{num(4)}"], ["B-ssn"])
-            elif kind == 4:
-                k = int(rng.integers(3, 6))
-                add([f"DE{num(2)}", *[num(4) for _ in range(k)]], ["B-iban", *["I-iban"] * k])
-            elif kind == 5:
-                add([f"FR{num(20)}"], ["B-iban"])
-            elif kind < 9:  # bank numbers of countries whose groups hold letters, and of others
-                country, form = str(rng.choice(spaced)).split()
-                groups = [country + num(int(form[0])), *map(group, form[1:])]
-                if rng.random() < 0.2:
-                    groups = ["".join(groups)]
-                add(groups, ["B-iban", *["I-iban"] * (len(groups) - 1)])
-                if rng.random() < 0.3:
-                    add([str(rng.choice(["BIC", "USD", "EUR", "AND", "THE", "TEL"]))], ["O"])
-            elif kind == 9:
-                add([capitals(int(rng.integers(1, 6))), num(int(rng.integers(1, 6)))], ["O", "O"])
                 if rng.random() < 0.5:
-                    add([capitals(int(rng.integers(2, 6)))], ["O"])
-            else:  # what isn't of these kinds
+                    add(pick((["ssn"], ["SSN:"], ["social", "security", "number"], ["taxpayer", "id"])) + pick(([], [], ["is"], ["was"], [":"])))
+                add(form("###-##-####"), ["B-ssn"])
+            elif kind < 6:
+                got = form(pick(BANKS), 2)
+                if rng.random() < 0.4:
+                    got = ["".join(got)]
+                add(cue(BANKING) if rng.random() < 0.4 else [])
+                add(got, numbered("iban", got))
+                add([pick(["BIC", "USD", "EUR", "AND", "THE", "TEL"])] if rng.random() < 0.2 else [])
+            elif kind < 8:  # the forms of phone and social security numbers, behind words that say otherwise
+                add(cue(CODES))
+                add(form(pick((*PHONES[:6], *CALLED, "###-##-####", "###-##-####", "N##-N##-####"))))
+            elif kind == 8:  # capitals beside numbers
+                add([letters(int(rng.integers(1, 6)), 65), *form(pick(OTHERS[5:13]))])
+                add([letters(int(rng.integers(2, 6)), 65)] if rng.random() < 0.5 else [])
+            elif kind == 9:
                 hexed = "".join("0123456789abcdef"[x] for x in rng.integers(0, 16, 64))
-                other = (f'"{hexed[:40]}"', hexed[:32], hexed, f"{num(16)}", f"{num(1)}.{num(2)}.{num(3)}.{num(2)}", f"x.{num(2)}@m{num(1)}.net", f"+{num(2)}", f"{num(4)}-{num(2)}-{num(2)}", f"{num(2)}:{num(2)}", f"{num(int(rng.integers(1, 9)))}", f"{num(1)}.{num(2)}", f"v{num(1)}.{num(1)}.{num(1)}", f"a{num(3)}b{num(2)}")
-                add([other[int(rng.integers(0, len(other)))]], ["O"])
+                add([pick((f'"{hexed[:40]}"', hexed[:32], hexed, f"password={hexed[:18]}"))])
+            else:
+                add(form(pick(OTHERS)))
+        add(fill())
         out.append((words, tags))
     return out
 
@@ -151,7 +180,7 @@ def allowed() -> np.ndarray:
 
 
 @lru_cache(1)
-def train(rounds: int = 40, rate: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
+def train(rounds: int = 50, rate: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
     """(weights of features by tag, transitions), by full-batch AdaGrad on the log-likelihood. Deterministic, a few seconds."""
     runs = []
     for words, tags in labelled_table():
@@ -178,17 +207,17 @@ def train(rounds: int = 40, rate: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
             x = lse(tr[None] + (e[:, p] + beta[0])[:, None, :], 2)
             beta.insert(0, np.where(mask[:, p, None], x, beta[0]))
         z = lse(alpha[-1], 1)
+        prob = np.exp(np.stack(alpha, axis=1) + np.stack(beta, axis=1) - z[:, None, None])
+        prob[np.arange(len(runs))[:, None], np.arange(n), gold] -= 1
+        prob[~mask] = 0
         dw, dt = np.zeros_like(w), np.zeros_like(t)
-        for p in range(n):
+        for tag in range(k):
+            dw[:, tag] = np.bincount(feats.ravel(), weights=np.repeat(prob[:, :, tag].ravel(), width), minlength=DIM)
+        for p in range(1, n):
             m = mask[:, p]
-            prob = np.exp(alpha[p] + beta[p] - z[:, None])[m]
-            prob[np.arange(m.sum()), gold[m, p]] -= 1
-            for c in range(width):
-                np.add.at(dw, feats[m, p, c], prob)
-            if p:
-                pair = np.exp(alpha[p - 1][:, :, None] + tr[None] + (e[:, p] + beta[p])[:, None, :] - z[:, None, None])[m]
-                dt += pair.sum(axis=0)
-                np.add.at(dt, (gold[m, p - 1], gold[m, p]), -1)
+            pair = np.exp(alpha[p - 1][:, :, None] + tr[None] + (e[:, p] + beta[p])[:, None, :] - z[:, None, None])[m]
+            dt += pair.sum(axis=0)
+            np.add.at(dt, (gold[m, p - 1], gold[m, p]), -1)
         dw, dt = dw / len(runs) + 1e-4 * w, dt / len(runs) + 1e-4 * t
         gw += dw * dw
         gt += dt * dt
@@ -207,7 +236,8 @@ def digit_runs(words: list[str], extra: list) -> list[list[tuple]]:
             digit |= new
             k += 1
         if digit:
-            runs.append([(features(words[j - 1] if j else "", words[j], words[j + 1] if j + 1 < len(words) else ""), extra[j]) for j in range(begin, k)])
+            near = lambda j: words[j] if 0 <= j < len(words) else ""
+            runs.append([(features(near(j - 2), near(j - 1), words[j], near(j + 1)), extra[j]) for j in range(begin, k)])
         k += k == begin
     return runs
 
@@ -252,29 +282,28 @@ def crf_spans(texts: list[str], model: tuple[np.ndarray, np.ndarray]) -> list[li
             of.append(k)
     out: list[list[Span]] = [[] for _ in texts]
     for k, place, tags in zip(of, places, viterbi(runs, *model), strict=True):
+        held = False  # whether the number that a tag I goes on with is a span of this run
         for (a, b), tag in zip(place, tags, strict=True):
-            name = TAGS[tag]
-            if name == "O":
-                continue
-            while b > a and texts[k][b - 1] in ".,;:!?\"'":
+            name, kind = TAGS[tag], TAGS[tag][2:]
+            while b > a and texts[k][b - 1] in EDGE:
                 b -= 1
-            kind = name[2:]
-            if name[0] == "B" and not DIGIT.search(texts[k], a, b):
-                continue
-            if name == "B-iban" and not re.match("[A-Z]{2}[0-9]{2}", texts[k][a:b]):  # a bank number begins with its country, as a card ends with its check digit
-                continue
-            if name[0] == "I":
-                if not out[k] or out[k][-1][2] != kind:  # the run's first token was no such number
-                    continue
+            while a < b and texts[k][a] in EDGE:
+                a += 1
+            if name[0] == "B":
+                # a bank number begins with its country and two digits, as a card ends with its check digit
+                held = bool(DIGIT.search(texts[k], a, b)) and (kind != "iban" or bool(re.match("[A-Z]{2}[0-9]{2}", texts[k][a:b])))
+                if held:
+                    out[k].append((a, KINDS[kind], kind, b))
+            elif name[0] == "I" and held and b > a:
                 out[k][-1] = (*out[k][-1][:3], b)
             else:
-                out[k].append((a, KINDS[kind], kind, b))
+                held = held and name[0] == "I"
     return out
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of ``docs``: the id, ``n_email``, ``n_ip``, ``n_card``, ``n_phone``, ``base_sha256`` and ``spans``
-    (base spans and those of the CRF that overlap none; code points, end exclusive).
+    """Per row of ``docs``: the id, ``n_email``, ``n_ip``, ``n_card``, ``n_phone``, ``base_sha256``, ``spans`` (base spans and
+    those of the CRF that overlap none; code points, end exclusive) and ``has_personal_data``, whether there is any.
 
     A null or empty text has no spans: counts 0, an empty ``spans`` and the digest of the empty string.
     """
@@ -282,18 +311,20 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def work(ids, texts):
         whole = [t.decode("utf-8", "replace") for t in texts]
-        out = {"id": ids, "n_email": [], "n_ip": [], "n_card": [], "n_phone": [], "base_sha256": [], "spans": []}
+        out = {"id": ids, "n_email": [], "n_ip": [], "n_card": [], "n_phone": [], "base_sha256": [], "spans": [], "has_personal_data": []}
         for text, more in zip(whole, crf_spans(whole, model), strict=True):
             base = base_spans(text)
             for kind in ("email", "ip", "card", "phone"):
                 out[f"n_{kind}"].append(sum(x[2] == kind for x in base))
             out["base_sha256"].append(digest(base))
             out["spans"].append(report(base + beside(more, base)))
+            out["has_personal_data"].append(bool(base or more))
         return out
 
-    found = map_texts(as_bytes(docs, id_col, text_col), work, "id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    found = map_texts(as_bytes(docs, id_col, text_col), work, "id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, has_personal_data boolean")
     return found.withColumnRenamed("id", id_col)
 
 
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`find_personal_data` of all documents."""
     return find_personal_data(table(spark, sf_dir, "documents"))

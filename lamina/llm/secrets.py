@@ -4,7 +4,9 @@ A byte-pair vocabulary is learned from ordinary text, so that ordinary strings t
 each, random strings under two. A run of base-64 or URL-safe characters with a low ratio of characters to tokens is reported as
 ``random``, whatever its letters, unless it is a known digest (hex of a usual length, a UUID) or overlaps a span already found. Of a
 run that is ordinary as a whole, as a readable path with a key behind it, those stretches between ``/``, ``=``, ``-`` and ``_``
-are reported that are long enough and have a low ratio themselves.
+are reported that are long enough and have a low ratio themselves. Numbers between such marks, as in dates, are identifiers and count for nothing.
+
+Not found: random strings under 20 characters, of which ordinary words can have as low a ratio, and strings of digits alone.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
 DIGEST = re.compile(r"(?<![A-Za-z0-9+])(?:[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9a-fA-F]{128}|[0-9a-fA-F]{96}|[0-9a-fA-F]{64}|[0-9a-fA-F]{56}|[0-9a-fA-F]{40}|[0-9a-fA-F]{32})(?![A-Za-z0-9+])")
 #: Words of capitals, as in names of constants, which are weighed as the same words in lower case.
 CAPITALS = re.compile(rf"(?<![A-Za-z0-9+])[A-Z]{{2,{LEAST - 1}}}(?![A-Za-z0-9+])")
+#: Numbers that are whole parts of a run, as of dates, times and versions.
+NUMBER = re.compile(r"(?<![A-Za-z0-9+])[0-9]+(?![A-Za-z0-9+])")
 ATOM = re.compile(r"[^/=_-]*+[/=_-]*+")
 
 
@@ -75,8 +79,10 @@ def random_parts(run: str, begin: int, end: int, excess) -> list[tuple[int, int]
 
 
 def random_spans(text: str, enc, ratio: float) -> list[Span]:
+    """Spans of strings with under ``ratio`` characters a token, and of such stretches of others."""
+
     def excess(x: str) -> float:
-        x = CAPITALS.sub(lambda m: m[0].lower(), x)
+        x = NUMBER.sub("", CAPITALS.sub(lambda m: m[0].lower(), x))
         return ratio * sum(len(enc.encode_ordinary(x[k : k + 512])) for k in range(0, len(x), 512)) - len(x)
 
     out: list[Span] = []
@@ -116,4 +122,5 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`find_secrets` in all documents."""
     return find_secrets(table(spark, sf_dir, "documents"))
