@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from lamina.llm import bpe, common, contamination, lines, quality, simhash
+from lamina.session import delete, scratch
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,7 +19,7 @@ def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_a_kind(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group with nearly the same fingerprint."""
+    """One document of each group of near copies: five-word shingles, a similarity of 0.8 or more."""
     return simhash.keep_one(docs)
 
 
@@ -41,12 +40,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage."""
-    docs = common.table(spark, sf_dir, "documents")
-    folder = f"{common.shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    """The rows of the last stage. Each stage's documents are deleted when the next one's are written; the last ones stay, as the result reads them."""
+    docs, folder, before = common.table(spark, sf_dir, "documents"), scratch(spark), ""
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{k}")
             docs = spark.read.parquet(f"{folder}/{k}")
+            if before:
+                delete(spark, before)
+            before = f"{folder}/{k}"
     return docs

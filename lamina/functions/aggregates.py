@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,3 +44,11 @@ def max_(c: str | Column) -> Column:
 def count_distinct(c: str | Column) -> Column:
     """Exact, for any type."""
     return F.count_distinct(_col(c))
+
+
+def composed(build: Callable[..., Column], *columns: str | Column) -> Column:
+    """A user's own aggregate: ``build`` gets the columns and returns an expression of aggregates, which Spark sums up before and after the shuffle.
+
+    ``composed(lambda x: F.sqrt(F.avg(x * x)), "a")`` is the root mean square. What no such expression gives is for a grouped Pandas UDF.
+    """
+    return build(*map(_col, columns))

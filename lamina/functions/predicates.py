@@ -38,7 +38,7 @@ def ge(c: str | Column, value) -> Column:
 
 
 def contains(c: str | Column, part: str) -> Column:
-    """Case-sensitive substring of the column's text; ``%`` and ``_`` stand for themselves."""
+    """Case-sensitive substring of the column's text; ``%`` and ``_`` stand for themselves. For doubles by six decimals, pass :func:`lamina.functions.scalars.text`."""
     return F.contains(_col(c).cast("string"), F.lit(part))
 
 
@@ -56,4 +56,5 @@ def any_of(*p: Column) -> Column:
 
 def at(index: int, columns: list[str]) -> Column:
     """The column at an ordinal of a result, for a condition on an aggregate."""
-    return F.col(columns[index])
+    name = columns[index].replace("`", "``")
+    return F.col(f"`{name}`")

@@ -44,9 +44,12 @@ def group_by(rows: DataFrame, keys: Keys | list[str], **aggregates: Column) -> D
     return rows.groupBy(*[_col(c).alias(n) for n, c in named.items()]).agg(*[c.alias(n) for n, c in aggregates.items()])
 
 
-def first_seen(rows: DataFrame, keys: list[str], **aggregates: Column) -> DataFrame:
-    """:func:`group_by` in the order in which the groups first appear in the input's files and partitions."""
-    numbered = rows.withColumn("__at", F.monotonically_increasing_id())
+def first_seen(rows: DataFrame, keys: list[str], by: str | None = None, **aggregates: Column) -> DataFrame:
+    """:func:`group_by` in the order in which the groups first appear: by the column ``by`` or, without one, in the input's partitions.
+
+    Spark packs files into partitions by size, so only within one file are partitions in the order of the input.
+    """
+    numbered = rows.withColumn("__at", F.col(by) if by else F.monotonically_increasing_id())
     grouped = group_by(numbered, keys, **aggregates, __first=F.min("__at"))
     return grouped.orderBy("__first").drop("__first")
 

@@ -8,11 +8,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.functions.aggregates import avg, count, count_distinct, exact_avg, exact_sum, max_, min_, sum_
+from lamina.functions.aggregates import avg, composed, count, count_distinct, exact_avg, exact_sum, max_, min_, sum_
 from lamina.functions.predicates import all_of, any_of, at, contains, eq, ge, gt, le, lt, ne, not_
 from lamina.functions.scalars import byte_len, format_date, format_timestamp, minute_of, parse_date, parse_timestamp, plus, text, trunc_minute, url_host
 from lamina.operators import aggregate, first_seen, group_by, order, page, project, top_k, where
-from lamina.sources import tables
+from lamina.schema import bind, schema
+from lamina.session import scratch
+from lamina.sources import describe, export_csv, ingest, read_csv, read_table, tables, write_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -33,6 +35,48 @@ def _after_groups(t: DataFrame) -> DataFrame:
     return order(where(groups, gt(at(1, groups.columns), 1)), "event_type")
 
 
+def _ranked(t: DataFrame) -> DataFrame:
+    """With the place of each of its few rows, as they come."""
+    return t.coalesce(1).withColumn("place", F.monotonically_increasing_id() + 1)
+
+
+def _stored(t: DataFrame, **options) -> DataFrame:
+    """What a table holds that has been written and is read again."""
+    path = scratch(t.sparkSession)
+    write_table(t, path, **options)
+    return read_table(t.sparkSession, path)
+
+
+def _as_csv(t: DataFrame) -> str:
+    path = scratch(t.sparkSession)
+    export_csv(t, path)
+    return path
+
+
+def _from_csv(t: DataFrame, multi_line: bool = False) -> DataFrame:
+    """What a table holds that has gone out as CSV and come in with its own types."""
+    return read_csv(t.sparkSession, _as_csv(t), bind(t.columns, [k for _, k in describe(t)]), multi_line=multi_line)
+
+
+def _ingested(t: DataFrame) -> DataFrame:
+    """The table that an ingest from CSV makes, with what it reports."""
+    path = scratch(t.sparkSession)
+    done = ingest(t.sparkSession, _as_csv(t), path, schema(describe(t)), cluster=["o_orderdate"])
+    return read_table(t.sparkSession, path).select("o_orderkey", "o_orderdate", F.lit(done.rows).alias("n"), F.lit(done.files > 0 and done.bytes_written > 0 and done.bytes_read > done.rows and done.rate > 0).alias("told"))
+
+
+def _described(t: DataFrame) -> DataFrame:
+    return t.sparkSession.createDataFrame(describe(t), "name string, kind string")
+
+
+def _dearest(t: DataFrame, key: str, cost: str) -> DataFrame:
+    """An operator of a user's own, for :meth:`DataFrame.transform`: the largest ``cost`` of each ``key``."""
+    return t.groupBy(key).agg(F.max(cost).alias(cost))
+
+
+#: Types of DuckDB by the names that :func:`lamina.sources.describe` gives.
+KINDS = "CASE column_type WHEN 'BIGINT' THEN 'Int64' WHEN 'INTEGER' THEN 'Int32' WHEN 'SMALLINT' THEN 'Int16' WHEN 'DOUBLE' THEN 'Double' WHEN 'VARCHAR' THEN 'String' WHEN 'DATE' THEN 'Date' WHEN 'FLOAT[]' THEN 'array<float>' ELSE 'Timestamp' END"
+
 DAY = (dt.datetime(1998, 7, 1), dt.datetime(1998, 7, 31))
 
 _add("scan_all", "nation", lambda t: t, "SELECT * FROM nation")
@@ -47,8 +91,9 @@ _add("filter_ge_text", "nation", lambda t: project(where(t, ge("n_name", "M")),
 _add("filter_not", "orders", lambda t: aggregate(where(t, not_(eq("o_orderstatus", "F"))), c=count()), "SELECT count(*) AS c FROM orders WHERE NOT o_orderstatus = 'F'")
 _add("filter_or", "orders", lambda t: aggregate(where(t, any_of(eq("o_orderstatus", "P"), eq("o_orderstatus", "F"))), c=count()), "SELECT count(*) AS c FROM orders WHERE o_orderstatus = 'P' OR o_orderstatus = 'F'")
 _add("filter_contains_number", "orders", lambda t: project(where(t, contains("o_orderkey", "99")), "o_orderkey"), "SELECT o_orderkey FROM orders WHERE contains(CAST(o_orderkey AS VARCHAR), '99')")
-_add("filter_contains_literal", "pages", lambda t: aggregate(where(t, contains("html", "100%")), c=count()), "SELECT count(*) AS c FROM pages WHERE contains(html, '100%')")
-_add("like_count", "pages", lambda t: aggregate(where(t, contains("url", "example")), c=count()), "SELECT count(*) AS c FROM pages WHERE contains(url, 'example')")
+_add("filter_contains_literal", "documents", lambda t: aggregate(where(t, contains("text", "%%%")), c=count()), "SELECT count(*) AS c FROM documents WHERE contains(text, '%%%')")
+_add("filter_contains_double", "customer", lambda t: project(where(t, contains(text("c_acctbal", double=True), "5.10")), "c_custkey"), "SELECT c_custkey FROM customer WHERE contains(printf('%.6f', c_acctbal), '5.10')")
+_add("like_count", "documents", lambda t: aggregate(where(t, contains("text", "Licensed under")), c=count()), "SELECT count(*) AS c FROM documents WHERE contains(text, 'Licensed under')")
 _add("like_and_min", "documents", lambda t: top_k(group_by(where(t, all_of(contains("text", "the"), ne("source", ""))), ["lang"], t=min_("text"), c=count()), 10, "c", then=("lang",)), "SELECT lang, min(text) AS t, count(*) AS c FROM documents WHERE contains(text, 'the') AND source <> '' GROUP BY 1 ORDER BY c DESC, lang LIMIT 10")
 _add("notlike_multi", "events", lambda t: top_k(group_by(where(t, all_of(contains("props", "k"), not_(contains("props", "69")), ne("event_type", ""))), ["event_type"], p=min_("props"), c=count(), u=count_distinct("user_id")), 10, "c", then=("event_type",)), "SELECT event_type, min(props) AS p, count(*) AS c, count(DISTINCT user_id) AS u FROM events WHERE contains(props, 'k') AND NOT contains(props, '69') AND event_type <> '' GROUP BY 1 ORDER BY c DESC, 1 LIMIT 10")
 _add("global_sum_count_avg", "lineitem", lambda t: aggregate(t, s=sum_("l_linenumber"), c=count(), a=avg("l_linenumber")), "SELECT CAST(sum(l_linenumber) AS BIGINT) AS s, count(*) AS c, avg(l_linenumber) AS a FROM lineitem")
@@ -78,8 +123,8 @@ _add("star_topk_asc", "events", lambda t: top_k(where(t, contains("event_type",
 _add("topk_2key", "pages", lambda t: project(top_k(where(t, ne("url", "")), 10, "url", "page_id", desc=False), "url"), "SELECT url FROM (SELECT url, page_id FROM pages WHERE url <> '' ORDER BY url, page_id LIMIT 10) t")
 _add("topk_zero", "events", lambda t: top_k(project(t, "event_id"), 0, "event_id"), "SELECT event_id FROM events LIMIT 0")
 _add("full_sort", "supplier", lambda t: order(project(t, "s_name", "s_suppkey"), "s_name", "s_suppkey", desc=True), "SELECT s_name, s_suppkey FROM supplier ORDER BY 1 DESC, 2 DESC")
-_add("first_seen_groups", "nation", lambda t: first_seen(t, ["n_regionkey"], c=count()), "SELECT n_regionkey, count(*) AS c FROM nation GROUP BY 1")
-_add("limit_any", "region", lambda t: group_by(t, ["r_name"], c=count()).limit(10), "SELECT r_name, count(*) AS c FROM region GROUP BY 1 LIMIT 10")
+_add("first_seen_groups", "nation", lambda t: _ranked(first_seen(t, ["n_regionkey"], by="n_nationkey", c=count())), "SELECT n_regionkey, count(*) AS c, row_number() OVER (ORDER BY min(n_nationkey)) AS place FROM nation GROUP BY 1")
+_add("limit_any", "region", lambda t: aggregate(group_by(t, ["r_name"], c=count()).limit(3), c=count()), "SELECT count(*) AS c FROM (SELECT r_name FROM region GROUP BY 1 LIMIT 3) t")
 _add("multi_and_range", "lineitem", lambda t: top_k(group_by(where(t, all_of(eq("l_linenumber", 3), ge("l_shipdate", F.lit(DAY[0]).cast("timestamp_ntz")), le("l_shipdate", F.lit(DAY[1]).cast("timestamp_ntz")), ne("l_quantity", 0))), {"k": "l_suppkey"}, c=count()), 10, "c", then=("k",)), "SELECT l_suppkey AS k, count(*) AS c FROM lineitem WHERE l_linenumber = 3 AND l_shipdate >= TIMESTAMP '1998-07-01 00:00:00' AND l_shipdate <= TIMESTAMP '1998-07-31 00:00:00' AND l_quantity <> 0 GROUP BY 1 ORDER BY c DESC, k LIMIT 10")
 _add("offset_page", "lineitem", lambda t: page(group_by(t, {"k": "l_partkey"}, c=count()), 1000, 10, "c", then=("k",)), "SELECT l_partkey AS k, count(*) AS c FROM lineitem GROUP BY 1 ORDER BY c DESC, k LIMIT 10 OFFSET 1000")
 _add("or_filter_page", "orders", lambda t: page(group_by(where(t, any_of(eq("o_orderstatus", "P"), eq("o_orderstatus", "F"))), {"k": "o_custkey", "p": "o_orderpriority"}, c=count()), 100, 10, "c", then=("k", "p")), "SELECT o_custkey AS k, o_orderpriority AS p, count(*) AS c FROM orders WHERE o_orderstatus = 'P' OR o_orderstatus = 'F' GROUP BY 1, 2 ORDER BY c DESC, k, p LIMIT 10 OFFSET 100")
@@ -90,3 +135,17 @@ _add("group_sum_double", "lineitem", lambda t: group_by(t, {"k": "l_suppkey"}, s
 _add("format_dates", "orders", lambda t: project(t, "o_orderkey", d=format_date("o_orderdate"), s=format_timestamp("o_orderdate")), "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS d, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS s FROM orders")
 _add("parse_dates", "orders", lambda t: project(t, "o_orderkey", d=parse_date(format_date("o_orderdate")), e=parse_date("o_orderpriority"), s=parse_timestamp(format_timestamp("o_orderdate"))), "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, DATE '1970-01-01' AS e, date_trunc('second', o_orderdate) AS s FROM orders")
 _add("cell_text", "customer", lambda t: project(t, "c_custkey", n=text("c_nationkey"), b=text("c_acctbal", double=True)), "SELECT c_custkey, CAST(c_nationkey AS VARCHAR) AS n, printf('%.6f', c_acctbal) AS b FROM customer")
+_add("csv_round_trip", "customer", _from_csv, "SELECT * FROM customer")
+_add("csv_times", "orders", lambda t: _from_csv(project(t, "o_orderkey", "o_orderdate")), "SELECT o_orderkey, date_trunc('second', o_orderdate) AS o_orderdate FROM orders")
+_add("csv_quoted_lines", "documents", lambda t: _from_csv(project(t, "text", "doc_id"), multi_line=True), "SELECT text, doc_id FROM documents")
+_add("csv_schema", "part", lambda t: _described(_from_csv(t)), f"SELECT column_name AS name, {KINDS} AS kind FROM (DESCRIBE part)")
+_add("ingest_clustered", "orders", _ingested, "SELECT o_orderkey, date_trunc('second', o_orderdate) AS o_orderdate, (SELECT count(*) FROM orders) AS n, true AS told FROM orders")
+_add("sink_round_trip", "lineitem", lambda t: _stored(t, cluster=["l_shipdate"]), "SELECT * FROM lineitem")
+_add("skip_row_groups", "lineitem", lambda t: project(where(_stored(t, cluster=["l_orderkey"], group_bytes=1 << 16), lt("l_orderkey", 100)), "l_orderkey", "l_linenumber"), "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey < 100")
+_add("codec_integers", "lineitem", lambda t: _stored(project(t, "l_orderkey", "l_shipdate", n=F.col("l_linenumber").cast("smallint"), p=F.col("l_partkey").cast("int"), d=F.col("l_shipdate").cast("date")), delta=True), "SELECT l_orderkey, l_shipdate, CAST(l_linenumber AS SMALLINT) AS n, CAST(l_partkey AS INT) AS p, CAST(l_shipdate AS DATE) AS d FROM lineitem")
+_add("codec_strings", "customer", lambda t: _stored(project(t, "c_custkey", "c_name", "c_mktsegment"), cluster=["c_name"], delta=True), "SELECT c_custkey, c_name, c_mktsegment FROM customer")
+_add("codec_doubles", "orders", lambda t: _stored(project(t, "o_orderkey", "o_totalprice"), delta=True), "SELECT o_orderkey, o_totalprice FROM orders")
+_add("describe_scalars", "events", _described, f"SELECT column_name AS name, {KINDS} AS kind FROM (DESCRIBE events)")
+_add("describe_arrays", "embeddings", _described, f"SELECT column_name AS name, {KINDS} AS kind FROM (DESCRIBE embeddings)")
+_add("user_aggregate", "lineitem", lambda t: group_by(t, {"k": "l_returnflag"}, r=F.round(composed(lambda x: F.sqrt(F.avg(x * x)), "l_quantity"), 6)), "SELECT l_returnflag AS k, round(sqrt(avg(l_quantity * l_quantity)), 6) AS r FROM lineitem GROUP BY 1")
+_add("user_operator", "orders", lambda t: t.transform(_dearest, "o_custkey", "o_totalprice"), "SELECT o_custkey, max(o_totalprice) AS o_totalprice FROM orders GROUP BY 1")

@@ -36,9 +36,9 @@ def bind(names: list[str], types: list[str]) -> T.StructType:
 
 
 def tags(kind: T.StructType) -> list[tuple[str, str]]:
-    """(name, type) pairs of a schema of the seven types: the inverse of :func:`schema`."""
+    """(name, type) pairs of a schema: the inverse of :func:`schema`. Types beyond the seven have Spark's names."""
     back = {v: k for k, v in TYPES.items()}
-    return [(f.name, back[f.dataType]) for f in kind.fields]
+    return [(f.name, back.get(f.dataType, f.dataType.simpleString())) for f in kind.fields]
 
 
 # Names and types of the web-analytics table, in the order of its file, which has no header.

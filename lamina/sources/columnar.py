@@ -20,11 +20,21 @@ def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read_table(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def write_table(rows: DataFrame, path: str, cluster: list[str] | None = None, mode: str = "errorifexists") -> None:
-    """Parquet with row groups of 128 MB; ``cluster`` as in :func:`lamina.sources.delimited.ingest`."""
-    if cluster:
-        rows = rows.repartitionByRange(*cluster).sortWithinPartitions(*cluster)
-    rows.write.mode(mode).option("parquet.block.size", 128 << 20).parquet(path)
+def clustered(rows: DataFrame, columns: list[str] | None) -> DataFrame:
+    """``rows`` range-partitioned and sorted by ``columns``, if any are given."""
+    return rows.repartitionByRange(*columns).sortWithinPartitions(*columns) if columns else rows
+
+
+def write_table(rows: DataFrame, path: str, cluster: list[str] | None = None, mode: str = "errorifexists", group_bytes: int = 128 << 20, delta: bool = False) -> None:
+    """Parquet with row groups of ``group_bytes``; ``cluster`` as in :func:`lamina.sources.delimited.ingest`.
+
+    With ``delta``, integers, dates and times that a dictionary doesn't suit are stored as packed differences, and strings with
+    the prefix that they share with the one before (version 2 of the format's pages).
+    """
+    writer = clustered(rows, cluster).write.mode(mode).option("parquet.block.size", group_bytes)
+    if delta:
+        writer = writer.option("parquet.writer.version", "PARQUET_2_0")
+    writer.parquet(path)
 
 
 def export_csv(rows: DataFrame, path: str, header: bool = True) -> None:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,12 +44,38 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, header: bool
     return raw.withColumn(last, F.rtrim(F.col(f"`{last}`"), F.lit("\r"))).select(*[_typed(f) for f in schema.fields])
 
 
-def ingest(spark: SparkSession, path: str, to: str, schema: T.StructType, cluster: list[str] | None = None, observe: Observation | None = None, **options) -> None:
+@dataclass(frozen=True)
+class Progress:
+    """What an ingest has written: rows, files and their bytes, the bytes read, and the seconds that it took."""
+
+    rows: int
+    files: int
+    bytes_written: int
+    bytes_read: int
+    seconds: float
+
+    @property
+    def rate(self) -> float:
+        """MB read a second."""
+        return self.bytes_read / 1e6 / max(self.seconds, 1e-9)
+
+
+def _files(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Number and bytes of the files of a folder (or of one file) but for hidden ones."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [f for f in store.globStatus(where) for f in (store.listStatus(f.getPath()) if f.isDirectory() else [f])]
+    sizes = [f.getLen() for f in found if f.getPath().getName()[0] not in "._"]
+    return len(sizes), sum(sizes)
+
+
+def ingest(spark: SparkSession, path: str, to: str, schema: T.StructType, cluster: list[str] | None = None, **options) -> Progress:
     """CSV to Parquet. With ``cluster``, rows are range-partitioned and sorted by these columns, so that row groups have narrow statistics
-    and filters on them skip most. ``observe`` gets the count of rows."""
-    from lamina.sources.columnar import write_table
+    and filters on them skip most. Rows are counted as they are written."""
+    from lamina.sources.columnar import clustered, write_table
 
-    rows = read_csv(spark, path, schema, **options)
-    if observe is not None:
-        rows = rows.observe(observe, F.count(F.lit(1)).alias("rows"))
-    write_table(rows, to, cluster)
+    began, seen = time.monotonic(), Observation()
+    # counted behind the shuffle, as rows are read once more for the bounds of its ranges
+    write_table(clustered(read_csv(spark, path, schema, **options), cluster).observe(seen, F.count(F.lit(1)).alias("rows")), to)
+    files, written = _files(spark, to)
+    return Progress(seen.get["rows"], files, written, _files(spark, path)[1], time.monotonic() - began)
