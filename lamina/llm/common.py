@@ -7,17 +7,17 @@ an empty result with the same schema; repeated rows give repeated rows.
 
 from __future__ import annotations
 
-import gc
-import tempfile
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lamina.session import shared_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, read by Spark from whatever store ``sf_dir`` names."""
@@ -25,23 +25,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder, which the session's ``spark.checkpoint.dir`` names; only where none is set (as in tests) one is made."""
+    """The checkpoint folder: what the session's ``spark.checkpoint.dir`` names or, where none is named, :func:`lamina.session.shared_folder`."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lamina-"))
+        sc.setCheckpointDir(shared_folder(spark))
     return sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the folder that all executors share, so that a lost executor costs no earlier work."""
+    """``df`` checkpointed in the folder that all executors share, so that a lost executor costs no earlier work.
+
+    Spark deletes the files when nothing refers to them, if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
+    """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished steps that nothing refers to any more; it does so when garbage is collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+#: Bytes up to which a table is broadcast.
+BROADCAST_BYTES = 32 << 20
+
+
+def sized(df: DataFrame, weight: Column | None = None) -> DataFrame:
+    """``df`` with a broadcast hint if its rows' bytes, by ``weight`` or 64 each, are few; beyond, it is joined by shuffles. It must be cheap to sum."""
+    total = df.agg(F.sum(F.lit(64) if weight is None else weight)).first()[0] or 0
+    return F.broadcast(df) if total <= BROADCAST_BYTES else df
 
 
 def slots(spark: SparkSession) -> int:

@@ -12,6 +12,8 @@ one string.
 Rounds run over 136 columns, not the longest document's bytes, and a column's segment takes the place of the one before,
 since equal strings always meet in the same column; so the passes over external files that whole documents would need are
 passes over arrays of one task, whose pieces are dealt by anchor.
+
+Equal texts are told first: all but the earliest go as a whole, and are not cut into pieces.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm.common import bounds, cut, groups_of, powers, release, rows_of, slots, table
+from lamina.llm.common import bounds, cut, groups_of, powers, rows_of, sized, slots, table
 
 #: Length of the strings, of the grams, and the grams in a string.
 LENGTH, GRAM = 100, 32
@@ -214,8 +216,6 @@ def repeated_spans(base: DataFrame) -> DataFrame:
             if x is not None:
                 tables[k, r.s] = np.frombuffer(x, dtype=np.uint8)
     any_hot = bool(tables[1].any())
-    del again, dealt
-    release(spark)  # the grams' shuffle is as large as a third of the input
     sent = spark.sparkContext.broadcast(tables if any_hot else tables[:1])
 
     def held(h: np.ndarray, k: int) -> np.ndarray:
@@ -302,32 +302,36 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     equal rows count as one, so neither loses what the other holds.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    every = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("doc"), text.cast("binary").alias("text"), F.xxhash64(text).alias("v"))
-    long = every.select("doc", "text", "v").where(F.length("text") >= LENGTH)
+    every = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("doc"), text.cast("binary").alias("text"), F.xxhash64(text).alias("v"), F.xxhash64(F.lit(1), text).alias("w"))
+    # texts that several documents have, by 128 bits of hash, and the first of these
+    copied = every.where(F.length("text") >= LENGTH).groupBy("v", "w").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("v", "w", "first")
+    copied = sized(cut(copied))
+    every = every.join(copied, ["v", "w"], "left").select("id", "doc", "v", F.length("text").cast("long").alias("size"), (F.coalesce("first", "doc") < F.col("doc")).alias("again"), "text")
+    long = every.where(~F.col("again") & (F.col("size") >= LENGTH)).select("doc", "text", "v")
     spans = repeated_spans(long).groupBy("doc", "v").agg(F.collect_set(F.struct("begin", "end", "kind")).alias("spans"))
 
     def work(batches):
         for batch in batches:
             out = {"n_removed": [], "n_spans": [], "kept": []}
-            texts = batch.column(1).to_pylist()
-            for t, s in zip(texts, batch.column(2).to_pylist(), strict=True):
-                keep, gone = [], 0
-                at = 0
-                merged = _merge(s) if s else []
+            for t, size, again, found in zip(*(batch.column(c).to_pylist() for c in range(1, 5)), strict=True):
+                keep, gone, at = [], size if again else 0, 0
+                merged = _merge(found) if found and not again else []
                 for a, b in merged:
                     keep.append(t[at:a])
                     gone += b - a
                     at = b
                 keep.append(t[at:])
                 out["n_removed"].append(gone)
-                out["n_spans"].append(len(merged))
+                out["n_spans"].append(len(merged) + again)
                 out["kept"].append(b"".join(keep))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(out["n_removed"], pa.int64()), pa.array(out["n_spans"], pa.int64()), pa.array(out["kept"], pa.binary())], names=["id", "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out["n_removed"], pa.int64()), pa.array(out["n_spans"], pa.int64()), pa.array(out["kept"], pa.binary())], names=["id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    done = every.join(spans, ["doc", "v"], "left").select("id", "text", "spans").mapInArrow(work, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    left = every.withColumn("text", F.when(F.col("again"), F.lit(b"")).otherwise(F.col("text")))
+    done = left.join(spans, ["doc", "v"], "left").select("id", "text", "size", "again", "spans").mapInArrow(work, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
     return done.withColumnRenamed("id", id_col)
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`remove_repeats` of all documents, with the digest of what is kept."""
     out = remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
