@@ -5,10 +5,11 @@ radius r = sqrt(2 - 2t). Per label and length, pivots are drawn from a bounded s
 its nearest pivot and is replicated to another pivot's cell only if the triangle inequality allows a partner there:
 a member x of cell i within r of q has d(q, p_i) <= d(x, p_i) + r <= d(x, p) + r <= d(q, p) + 2r, where p is q's own pivot;
 and, sharper for unit vectors, q is within r of the plane between p and p_i: (d_i^2 - d^2) / (2 |p_i - p|) <= r.
-Cells join independently; cells over ``block`` rows are cut into pairs of chunks.
+Cells join independently; cells over ``block`` rows are cut into pairs of chunks. Equal vectors are one, with the number of its ids.
 
 In high dimensions few cells can be ruled out, and replicas then cost more than they save: the number of pivots of a
-group is the one with the least estimated work on the sample (1 pivot: one cell, all of the group).
+group is the one with the least estimated work on the sample, but two at least, and one for each ``block`` rows, as cells are also what
+spreads a group over tasks.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 
 from lamina.llm.common import Forest, bounds, components, cut, grid, groups_of, slots, table
 
-#: Rows of the sample that pivots are drawn from, and pivots of all groups together: the bound on what is broadcast.
-SAMPLE, PIVOTS = 16384, 8192
+#: Rows and bytes of the sample that pivots are drawn from, pivots of all groups together, and groups that have any: the bounds on what is sent.
+SAMPLE, SAMPLE_BYTES, PIVOTS, GROUPS = 16384, 16 << 20, 8192, 1024
 #: Work of shuffling one replica, counted in comparisons of two vectors.
 REPLICA = 64
 
@@ -44,51 +45,56 @@ def _replicas(u: np.ndarray, pivots: np.ndarray, r: float) -> tuple[np.ndarray,
     return home, sent
 
 
-def _pivots(u: np.ndarray, n: int, r: float, most: int) -> np.ndarray:
-    """Of the sample ``u`` of a group of ``n`` rows, the pivots with the least estimated work. No two lie within 2r, so near copies share one."""
+def _pivots(u: np.ndarray, n: int, r: float, least: int, most: int) -> np.ndarray:
+    """Of the sample ``u`` of a group of ``n`` rows, at least ``least`` pivots, where there are as many, with the least estimated work. No two lie within 2r, so near copies share one."""
     chosen = [0]
     near = 2 - 2 * (u @ u[0])
     while len(chosen) < most and near.max() > 4 * r * r:
         chosen.append(int(near.argmax()))
         near = np.minimum(near, 2 - 2 * (u @ u[chosen[-1]]))
-    best, least = u[:1], float(n) * n
-    k = 2
+    best, cost = u[:1], float("inf")
+    k = min(least, len(chosen))
     while k <= len(chosen):
         home, sent = _replicas(u, u[chosen[:k]], r)
         share = n / len(u)
         work = float((np.bincount(home, minlength=k) * share * sent.sum(axis=0) * share).sum()) + REPLICA * n * (sent.sum() / len(u) - 1)
-        if work < least:
-            best, least = u[chosen[:k]], work
+        if work < cost:
+            best, cost = u[chosen[:k]], work
         k *= 2
     return best
 
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, cell: int = 1024, block: int = 2048) -> DataFrame:
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, cell: int = 32, block: int = 2048) -> DataFrame:
     """One row per row of ``vectors``: the id, ``n_links`` (other vectors with equal label and cosine >= ``threshold``),
     ``component_id`` (smallest id reachable by links) and ``kept`` (id = component_id).
 
     A null label or id, a vector that is null, empty, all zero or holds a null or non-finite component links with nothing:
     n_links 0, component_id its own id (a null id: null, kept true). Vectors of unequal length aren't comparable. Exact
-    repetitions of a row count as one vector; two rows of one id with different vectors never link with each other and
-    their links add up. Cosines are computed in double precision.
+    repetitions of a row count as one vector; rows of one id with different vectors are as many vectors, each with its own
+    links. Cosines are computed in double precision. Groups (of a label and a length) of over ``cell`` different vectors have pivots.
     """
     spark = vectors.sparkSession
     r = float(np.sqrt(2 - 2 * threshold))
-    every = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vec_col).cast("array<double>").alias("v"))
+    every = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.transform(F.col(vec_col).cast("array<double>"), lambda x: x + F.lit(0.0)).alias("v"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    good = every.where(F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull() & fine).select("label", F.size("v").alias("dim"), "id", "v").dropDuplicates()
+    fine = F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull() & fine
+    names = [F.xxhash64("v").alias("a"), F.xxhash64(F.lit(1), "v").alias("b")]  # 128 bits that name a vector in joins
+    alike = every.where(fine).dropDuplicates().groupBy("label", "v").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
+    good = cut(alike.select("label", F.size("v").alias("dim"), *names, "least", "n", "v").withColumn("id", F.monotonically_increasing_id()))
 
-    # pivots: of the largest groups, from a sample that a hash of the id draws; all bounded by SAMPLE and PIVOTS
-    sizes = good.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cell).orderBy(F.desc("n"), "label", "dim").limit(PIVOTS // 64).collect()
+    # pivots: of the largest groups, from a sample that a hash draws; all bounded
+    sizes = good.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cell).orderBy(F.desc("n"), "label", "dim").limit(GROUPS).collect()
     total = sum(x.n for x in sizes)
     pivots: dict[tuple[str, int], np.ndarray] = {}
     if total:
-        part = int(min(1.0, SAMPLE / total) * (1 << 20))
+        most = max(64, min(SAMPLE, SAMPLE_BYTES // (8 * max(x.dim for x in sizes))))
+        part = int(min(1.0, most / total) * (1 << 20))
         picked = good.join(F.broadcast(spark.createDataFrame([(x.label, x.dim) for x in sizes], "label string, dim int")), ["label", "dim"])
-        picked = picked.where(F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 20)) < part).limit(2 * SAMPLE).toPandas()
+        picked = picked.where(F.pmod(F.xxhash64("a", F.lit(17)), F.lit(1 << 20)) < part).select("label", "dim", "a", "b", "v").limit(2 * most).toPandas()
         for key, rows in picked.groupby(["label", "dim"]):
             n = next(x.n for x in sizes if (x.label, x.dim) == key)
-            pivots[key] = _pivots(_unit(np.array(rows.sort_values("id")["v"].tolist())), n, r, max(2, min(PIVOTS * n // total, n // cell)))
+            least = max(2, -(-n // block))
+            pivots[key] = _pivots(_unit(np.array(rows.sort_values(["a", "b"])["v"].tolist())), n, r, least, max(least, min(PIVOTS * n // total, n // 2)))
 
     def to_cells(frames):
         for f in frames:
@@ -102,9 +108,9 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
                 at, to = np.nonzero(sent)
                 out.append(rows.iloc[at].assign(cell=to, home=home[at] == to))
             if out:
-                yield pd.concat(out)[["label", "dim", "cell", "id", "home", "v"]]
+                yield pd.concat(out)[["label", "dim", "cell", "id", "home", "n", "v"]]
 
-    cells = cut(good.mapInPandas(to_cells, "label string, dim int, cell int, id long, home boolean, v array<double>"))
+    cells = cut(good.select("label", "dim", "id", "n", "v").mapInPandas(to_cells, "label string, dim int, cell int, id long, home boolean, n long, v array<double>"))
     dealt = grid(cells, ["label", "dim", "cell"], "id", block)
     keys = ["label", "dim", "cell", "__i", "__j"]
 
@@ -115,23 +121,29 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
                 if b - a > 1:
                     yield _links(whole.slice(a, b - a), threshold)
 
-    found = cut(dealt.select(*keys, "__c", "id", "home", "v").repartition(slots(spark), *keys).sortWithinPartitions(*keys).mapInArrow(compare, "id long, n_links long, root long"))
+    found = cut(dealt.select(*keys, "__c", "id", "home", "n", "v").repartition(slots(spark), *keys).sortWithinPartitions(*keys).mapInArrow(compare, "id long, n_links long, root long"))
     links = found.groupBy("id").agg(F.sum("n_links").alias("n_links"))
-    parts = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    out = every.select("id").join(links, "id", "left").join(parts.withColumnRenamed("node", "id"), "id", "left")
-    comp = F.coalesce("component", "id")
+    parts = components(found.select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "id")
+    each = cut(good.select("id", "label", "a", "b", "least", "n").join(links, "id", "left").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    first = cut(each.groupBy("component").agg(F.min("least").alias("first")))
+    known = cut(each.join(first, "component").select("label", "a", "b", (F.coalesce("n_links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "first"))
+    # written, so that a vector that many rows have is a key that the join can split
+    rows = every.select("id", F.when(fine, F.col("label")).alias("label"), *names)
+    out = rows.join(known, ["label", "a", "b"], "left")
+    comp = F.coalesce("first", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), comp.alias("component_id"), F.coalesce(F.col("id") == comp, F.lit(True)).alias("kept"))
 
 
 def _links(rows: pa.Table, threshold: float) -> pa.RecordBatch:
     """Of the rows of one pair of chunks (i, j): id, links counted here, and a root that every row linked here reaches.
 
-    Pairs within a chunk are counted in (i, i) alone, pairs between chunks in (i, j); only a row at home counts its links.
+    Pairs within a chunk are counted in (i, i) alone, pairs between chunks in (i, j); only a row at home counts its links, each for
+    as many ids as the other vector has.
     """
     ids, home, c = rows.column("id").to_numpy(), rows.column("home").to_numpy(zero_copy_only=False), rows.column("__c").to_numpy()
     i, j = rows.column("__i")[0].as_py(), rows.column("__j")[0].as_py()
     order = np.argsort(ids, kind="stable")
-    ids, home, c = ids[order], home[order], c[order]
+    ids, home, c, many = ids[order], home[order], c[order], rows.column("n").to_numpy()[order]
     flat = rows.column("v").combine_chunks().flatten().to_numpy()
     x = flat.reshape(len(ids), -1)[order]
     x = x / np.abs(x).max(axis=1, keepdims=True)
@@ -143,7 +155,7 @@ def _links(rows: pa.Table, threshold: float) -> pa.RecordBatch:
         close &= (ids[s:e, None] != ids) & (home[s:e, None] | home)
         if i != j:
             close &= c[s:e, None] != c
-        links[s:e] = np.where(home[s:e], close.sum(axis=1), 0)
+        links[s:e] = np.where(home[s:e], close @ many, 0)
         forest.join(*(k + z for k, z in zip(np.nonzero(close), (s, 0), strict=True)))
     root = ids[forest.all()]
     some = (links > 0) | (root != ids)
@@ -151,4 +163,5 @@ def _links(rows: pa.Table, threshold: float) -> pa.RecordBatch:
 
 
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`near_vectors` of all embeddings at a cosine of 0.93."""
     return near_vectors(table(spark, sf_dir, "embeddings"))
