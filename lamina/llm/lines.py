@@ -3,7 +3,8 @@
 The reference table has a row per (key, document) pair; from it come the count of documents and the largest document of
 each key. Both are monotone under inserts and recomputed from what remains under deletes, so incremental dedup is reversible.
 The keys at or above the threshold also go into cuckoo filters, one per shard of the key space, which insert and delete
-by fingerprint; a scan probes them and looks up only the lines that hit in the exact table, so a false hit costs a row and changes nothing.
+by fingerprint; every keyed line probes them, and only the lines that hit are looked up in the exact table, so a false hit costs a row and
+changes nothing. Filters that are few are sent to where the texts are read; otherwise the lines' digests go to their shards' filters.
 """
 
 from __future__ import annotations
@@ -11,16 +12,17 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm.common import as_bytes, cut, groups_of, map_texts, rows_of, slots, table
+from lamina.llm.common import as_bytes, cut, groups_of, rows_of, slots, table
 
 BLANK = b" \t\n\x0b\x0c\r"
-#: Shards of the key space, and bytes of all filters together up to which they are broadcast; beyond, all keyed lines are looked up.
-SHARDS, FILTER_BYTES = 64, 32 << 20
+#: Shards of the key space at least and at most, keys that a shard is meant for, and the parts that the lines of one shard are dealt to.
+SHARDS, MOST_SHARDS, SHARD_KEYS, SALTS = 64, 1 << 16, 1 << 18, 16
+#: Bytes of all filters together up to which they are broadcast; beyond, lines are dealt to the filters.
+FILTER_BYTES = 32 << 20
 
 
 def key_of(line: bytes, least: int) -> bytes | None:
@@ -91,10 +93,15 @@ class Cuckoo:
         return (self.table[one] == fp[:, None]).any(axis=1) | (self.table[two] == fp[:, None]).any(axis=1)
 
 
-def _halves(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def _halves(keys: list[bytes], shards: int = SHARDS) -> tuple[np.ndarray, np.ndarray]:
     """Shard and filter hash of 16-byte keys."""
     x = np.frombuffer(b"".join(keys), dtype="<u8").reshape(-1, 2)
-    return (x[:, 1] % np.uint64(SHARDS)).astype(np.int64), x[:, 0]
+    return (x[:, 1] % np.uint64(shards)).astype(np.int64), x[:, 0]
+
+
+def shards_for(keys: int) -> int:
+    """A power of two that grows with the number of keys, so that a shard's filter doesn't."""
+    return min(MOST_SHARDS, max(SHARDS, 1 << max(0, (keys // SHARD_KEYS)).bit_length()))
 
 
 def _keyed(ids: list, texts: list[bytes], least: int) -> tuple[list[bytes], list]:
@@ -108,7 +115,7 @@ def _keyed(ids: list, texts: list[bytes], least: int) -> tuple[list[bytes], list
     return keys, of
 
 
-def references(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 20) -> DataFrame:
+def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 20) -> DataFrame:
     """(key, doc): a row for each key of ``least`` code points or more and each row of ``docs`` with a non-null id that holds it."""
 
     def run(batches):
@@ -128,20 +135,21 @@ class LineIndex:
     A document is to be deleted before it is inserted with another text.
     """
 
-    def __init__(self, refs: DataFrame, documents: int = 3, keys: DataFrame | None = None, shards: DataFrame | None = None) -> None:
-        self.refs, self.documents, self.keys, self.shards = refs, documents, keys, shards
+    def __init__(self, refs: DataFrame, documents: int = 3, keys: DataFrame | None = None, shards: DataFrame | None = None, parts: int = SHARDS) -> None:
+        self.refs, self.documents, self.keys, self.shards, self.parts = refs, documents, keys, shards, parts
 
     @classmethod
     def of(cls, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 20, documents: int = 3) -> LineIndex:
-        return cls(references(docs, id_col, text_col, least), documents)
+        return cls(lines_of(docs, id_col, text_col, least), documents)
 
     def stored(self) -> LineIndex:
         refs = cut(self.refs.distinct())
         keys = cut(LineIndex(refs, self.documents).repeated())
-        return LineIndex(refs, self.documents, keys, cut(filters(keys)))
+        parts = shards_for(keys.count())
+        return LineIndex(refs, self.documents, keys, cut(filters(keys, parts)), parts)
 
     def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 20) -> LineIndex:
-        new = references(docs, id_col, text_col, least)
+        new = lines_of(docs, id_col, text_col, least)
         if self.keys is None:
             return LineIndex(self.refs.union(new), self.documents)
         new = cut(new.distinct())
@@ -161,7 +169,7 @@ class LineIndex:
         before = self.keys.join(touched, "key", "left_semi")
         keys = cut(self.keys.join(touched, "key", "left_anti").union(now))
         moves = now.join(before, "key", "left_anti").select("key", F.lit(True).alias("more")).union(before.join(now, "key", "left_anti").select("key", F.lit(False).alias("more")))
-        return LineIndex(refs, self.documents, keys, moved(self.shards, moves, keys))
+        return LineIndex(refs, self.documents, keys, moved(self.shards, moves, keys, self.parts), self.parts)
 
     def repeated(self) -> DataFrame:
         """(key, n, last): keys of at least ``documents`` documents, their count and the largest document.
@@ -173,11 +181,12 @@ class LineIndex:
         return self.refs.distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc").alias("last")).where(F.col("n") >= self.documents)
 
 
-def shard_of(key: str) -> Column:
-    return F.pmod(F.conv(F.hex(F.substring(key, 9, 1)), 16, 10).cast("int"), F.lit(SHARDS))
+def shard_of(key: str, shards: int) -> Column:
+    """The shard of a 16-byte key, by two of its bytes; ``shards`` is a power of two."""
+    return F.conv(F.hex(F.concat(F.substring(key, 10, 1), F.substring(key, 9, 1))), 16, 10).cast("int").bitwiseAND(F.lit(shards - 1))
 
 
-def moved(shards: DataFrame, moves: DataFrame, keys: DataFrame) -> DataFrame:
+def moved(shards: DataFrame, moves: DataFrame, keys: DataFrame, parts: int) -> DataFrame:
     """The filters of ``shards`` with the keys of ``moves`` put in (``more``) or taken out. A filter that gets too full is built again from ``keys``."""
 
     def move(held: pa.Table, new: pa.Table) -> pa.Table:
@@ -198,13 +207,13 @@ def moved(shards: DataFrame, moves: DataFrame, keys: DataFrame) -> DataFrame:
                 table = None
         return pa.table({"shard": pa.array([shard], pa.int32()), "filter": pa.array([table], pa.binary())})
 
-    dealt = moves.select(shard_of("key").alias("shard"), "key", "more")
+    dealt = moves.select(shard_of("key", parts).alias("shard"), "key", "more")
     out = cut(shards.groupBy("shard").cogroup(dealt.groupBy("shard")).applyInArrow(move, "shard int, filter binary"))
     full = [r.shard for r in out.where("filter is null").select("shard").collect()]
-    return cut(out.where("filter is not null").union(filters(keys.where(shard_of("key").isin(full))))) if full else out
+    return cut(out.where("filter is not null").union(filters(keys.where(shard_of("key", parts).isin(full)), parts))) if full else out
 
 
-def filters(keys: DataFrame) -> DataFrame:
+def filters(keys: DataFrame, parts: int) -> DataFrame:
     """(shard, filter): the cuckoo filters of the column ``key``, built by the executors."""
     def build(batches):
         for whole in groups_of(batches, 1, 1):
@@ -213,40 +222,68 @@ def filters(keys: DataFrame) -> DataFrame:
                 _, h = _halves([k for k, x in zip(values, shards, strict=True) if x == s])
                 yield pa.RecordBatch.from_arrays([pa.array([int(s)], pa.int32()), pa.array([Cuckoo.of(h).table.tobytes()], pa.binary())], names=["shard", "filter"])
 
-    dealt = keys.select(shard_of("key").alias("shard"), "key").repartition(min(SHARDS, slots(keys.sparkSession)), "shard").sortWithinPartitions("shard")
+    dealt = keys.select(shard_of("key", parts).alias("shard"), "key").repartition(min(parts, slots(keys.sparkSession)), "shard").sortWithinPartitions("shard")
     return dealt.mapInArrow(build, "shard int, filter binary")
 
 
+def held_lines(docs: DataFrame, shards: DataFrame, parts: int) -> DataFrame:
+    """Of the lines (key, doc) of ``docs``, those that their shards' filters hold. Each filter goes to SALTS tasks, ahead of the lines dealt there, which stream past it."""
+    salt = F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")
+    lines = docs.select(shard_of("key", parts).alias("shard"), salt.alias("salt"), F.lit(1).alias("line"), "key", "doc", F.lit(None).cast("binary").alias("filter"))
+    ahead = shards.select("shard", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(0).alias("line"), F.lit(None).cast("binary").alias("key"), F.lit(None).cast("long").alias("doc"), "filter")
+
+    def probe(batches):
+        at, f = None, None
+        for batch in batches:
+            shard, salt, line = (batch.column(c).to_numpy() for c in range(3))
+            keep = []
+            marks = np.flatnonzero(np.concatenate(([True], (shard[1:] != shard[:-1]) | (salt[1:] != salt[:-1]) | (line[1:] != line[:-1])))) if len(shard) else shard
+            for a, b in zip(marks.tolist(), [*marks[1:].tolist(), len(shard)], strict=True):
+                if line[a] == 0:
+                    at, f = (shard[a], salt[a]), Cuckoo(table=np.frombuffer(batch.column(5)[a].as_py(), dtype=np.uint16).reshape(-1, 4))
+                elif at == (shard[a], salt[a]):
+                    _, h = _halves(batch.column(3).slice(a, b - a).to_pylist(), parts)
+                    keep.append(a + np.flatnonzero(f.has(h)))
+            rows = batch.take(pa.array(np.concatenate(keep) if keep else np.zeros(0, dtype=np.int64)))
+            yield pa.RecordBatch.from_arrays([rows.column(3), rows.column(4)], names=["key", "doc"])
+
+    dealt = ahead.union(lines).repartition(slots(docs.sparkSession), "shard", "salt").sortWithinPartitions("shard", "salt", "line")
+    return dealt.mapInArrow(probe, "key binary, doc long")
+
+
 def drops(docs: DataFrame, id_col: str, text_col: str, least: int, documents: int, stored: LineIndex | None = None) -> DataFrame:
     """(__doc, __keys): the keys whose lines each document loses. Documents that lose none are missing."""
     spark = docs.sparkSession
     if stored is not None and stored.keys is None:
         stored = stored.stored()
     index = stored.keys.select("key", "last") if stored is not None else cut(LineIndex.of(docs, id_col, text_col, least, documents).repeated().select("key", "last"))
-    n = index.count()
-    sent = None
-    if n * 5 <= FILTER_BYTES:  # 16 bits a key at a load of 0.4 to 0.8; some filters may have had to grow
-        built = stored.shards if stored is not None else cut(filters(index))
-        if (built.agg(F.sum(F.length("filter"))).first()[0] or 0) <= FILTER_BYTES:
-            sent = spark.sparkContext.broadcast({r.shard: bytes(r.filter) for r in built.collect()})
-
-    def probe(batches):
-        held = sent and {s: Cuckoo(table=np.frombuffer(x, dtype=np.uint16).reshape(-1, 4)) for s, x in sent.value.items()}
-        for batch in batches:
-            for ids, texts in rows_of(batch):
-                keys, of = _keyed(ids, texts, least)
-                if held is not None and keys:
-                    shard, h = _halves(keys)
-                    hit = np.zeros(len(keys), dtype=bool)
-                    for s in np.unique(shard):
-                        if s in held:
-                            hit[shard == s] = held[s].has(h[shard == s])
-                    keys, of = [keys[k] for k in np.flatnonzero(hit)], [of[k] for k in np.flatnonzero(hit)]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(of, pa.int64())], names=["key", "doc"])
-
-    base = as_bytes(docs, id_col, text_col)
-    hits = base.where("__id is not null").mapInArrow(probe, "key binary, doc long").join(index, "key").where("doc <> last")
-    return cut(hits.groupBy("doc").agg(F.collect_set("key").alias("__keys")).withColumnRenamed("doc", "__doc"))
+    parts = stored.parts if stored is not None else shards_for(index.count())
+    shards = stored.shards if stored is not None else cut(filters(index, parts))
+    rows = docs.where(F.col(id_col).isNotNull())
+    if (shards.agg(F.sum(F.length("filter"))).first()[0] or 0) <= FILTER_BYTES:
+        sent = spark.sparkContext.broadcast({r.shard: bytes(r.filter) for r in shards.collect()})
+
+        def probe(batches):
+            held = {s: Cuckoo(table=np.frombuffer(x, dtype=np.uint16).reshape(-1, 4)) for s, x in sent.value.items()}
+            for batch in batches:
+                for ids, texts in rows_of(batch):
+                    keys, of = _keyed(ids, texts, least)
+                    if keys:
+                        shard, h = _halves(keys, parts)
+                        order = np.argsort(shard, kind="stable")
+                        hit = np.zeros(len(keys), dtype=bool)
+                        for one in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
+                            if (s := int(shard[one[0]])) in held:
+                                hit[one] = held[s].has(h[one])
+                        keys, of = [keys[k] for k in np.flatnonzero(hit)], [of[k] for k in np.flatnonzero(hit)]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(of, pa.int64())], names=["key", "doc"])
+
+        hits = as_bytes(rows, id_col, text_col).mapInArrow(probe, "key binary, doc long")
+    else:
+        hits = held_lines(lines_of(rows, id_col, text_col, least), shards, parts)
+    # the looked-up table is written, so that the key of a very common line is one that the join can split
+    gone = hits.join(index, "key").where("doc <> last")
+    return cut(gone.groupBy("doc").agg(F.collect_set("key").alias("__keys")).withColumnRenamed("doc", "__doc"))
 
 
 def stay(text: bytes, keys: list[bytes] | None, least: int) -> tuple[bytes, int, int]:
@@ -282,9 +319,9 @@ def without_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     An ``index`` is used as in :func:`drop_lines`."""
     gone = drops(docs, id_col, text_col, least, documents, index)
 
-    @F.pandas_udf("string")
-    def rewrite(texts: pd.Series, keys: pd.Series) -> pd.Series:
-        return pd.Series([stay(bytes(t), list(map(bytes, k)), least)[0].decode("utf-8", "replace") for t, k in zip(texts, keys, strict=True)], dtype="object")
+    @F.arrow_udf("string")
+    def rewrite(texts: pa.Array, keys: pa.Array) -> pa.Array:
+        return pa.array([stay(t, k, least)[0].decode("utf-8", "replace") for t, k in zip(texts.to_pylist(), keys.to_pylist(), strict=True)], pa.string())
 
     # only texts that lose lines go through Python
     joined = docs.join(gone, docs[id_col].cast("long") == F.col("__doc"), "left")
@@ -296,5 +333,6 @@ def without_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`drop_lines` of all documents, with the digest of what is kept."""
     out = drop_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
