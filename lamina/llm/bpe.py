@@ -2,8 +2,9 @@
 
 A text of over ``chunk`` characters is cut into overlapping chunks, which are pre-tokenised in parallel. Whether a position
 is a pre-token boundary depends only on where the scan began, and from a shared boundary on two scans agree; so
-chunk k + 1 is joined to chunk k at the first boundary they share in their overlap, past the doubtful first and before
-the doubtful last pre-tokens. Chunks that share none are scanned on from the last boundary known. The pieces between joints are
+chunk k + 1 is joined to chunk k at the first boundary they share in their overlap, which any pre-token may end, with or without white
+space. A chunk that shares none, as within one word longer than the overlap or a run of digits that a pattern cuts by threes, is
+scanned on from the last boundary known, until a boundary is one that a later chunk has found. The pieces between joints are
 then encoded in parallel, and ids are joined in order. Shorter texts are one piece. Decoding concatenates the raw bytes of the ids.
 """
 
@@ -22,7 +23,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm.common import cut, groups_of, map_texts, slots, table
+from lamina.llm.common import bounds, cut, groups_of, map_texts, slots, table
 
 #: Characters of a chunk, and those that two neighbours share.
 CHUNK, OVERLAP = 32768, 2048
@@ -52,12 +53,11 @@ def splitter(pattern: str) -> regex.Pattern:
 def boundaries(text: str, at: int, whole: bool, pattern: str) -> np.ndarray:
     """Ends of pre-tokens of ``text``, which begins at ``at``, at which it may be parted.
 
-    If more text follows (not ``whole``), those that it could change are left out. So are all but the ends between a
-    character that is not white space and one that is: a run of white space is split by what comes after it, so a text
-    cut behind one would be split otherwise.
+    If more text follows (not ``whole``), those that it could change are left out. So are ends behind white space: only such a
+    pre-token is split by what comes after it (the pattern looks ahead there alone), so a text cut behind one could be split otherwise.
     """
     ends = [m.end() for m in splitter(pattern).finditer(text)][: None if whole else -2]
-    return np.array([e + at for e in ends if e < len(text) and text[e] in " \n\t\r" and not text[e - 1].isspace()], dtype=np.int64)
+    return np.array([e + at for e in ends if e < len(text) and not text[e - 1].isspace()], dtype=np.int64)
 
 
 def encode_whole(text: str, enc: tiktoken.Encoding) -> list[int]:
@@ -68,20 +68,39 @@ def decode(ids: list[int], enc: tiktoken.Encoding) -> bytes:
     return b"".join(enc.decode_tokens_bytes(ids))
 
 
-def stitch(length: int, chunks: list[np.ndarray]) -> list[int]:
-    """Joints of a text of ``length`` from its chunks' boundaries in order: piece k is joints[k]:joints[k + 1].
+def stitch(text: str, starts: list[int], chunks: list[np.ndarray], chunk: int, pattern: str) -> list[int]:
+    """Joints of a text from the boundaries of its chunks, which begin at ``starts``: piece k is joints[k]:joints[k + 1].
 
-    Where a chunk shares no boundary with the one before, what follows stays one piece: slower, and no less right.
+    Boundaries are right from the first chunk's, and from any that one shares with the boundaries already right. Where neighbours share
+    none, the text is scanned on from the last that is right, and parted on the way as often as chunks would be.
     """
-    joints = [0]
-    trusted = chunks[0]
-    for mine in chunks[1:]:
-        both = np.intersect1d(trusted, mine, assume_unique=True)
-        if not len(both):
+    joints, right = [0], chunks[0]
+    k = 1
+    while k < len(starts):
+        both = np.intersect1d(right, chunks[k], assume_unique=True)
+        if len(both):
+            joints.append(int(both[0]))
+            right = chunks[k][chunks[k] >= both[0]]
+            k += 1
+            continue
+        at = max(joints[-1], int(right[-1]) if len(right) else 0)
+        right = chunks[-1][:0]
+        for m in splitter(pattern).finditer(text, at):
+            e = m.end()
+            if e >= len(text) or text[e - 1].isspace():
+                continue
+            while k < len(starts) - 1 and e >= starts[k + 1] + chunk:  # past this chunk without meeting it
+                k += 1
+            j = next((j for j in (k, k + 1) if j < len(starts) and (x := int(np.searchsorted(chunks[j], e))) < len(chunks[j]) and chunks[j][x] == e), None)
+            if j is not None:
+                joints.append(e)
+                right, k = chunks[j][chunks[j] >= e], j + 1
+                break
+            if e - joints[-1] >= chunk:
+                joints.append(e)
+        else:
             break
-        joints.append(int(both[0]))
-        trusted = mine[mine >= both[0]]
-    return [*joints, length]
+    return [*joints, len(text)]
 
 
 def pieces(long: DataFrame, chunk: int, overlap: int, pattern: str) -> DataFrame:
@@ -100,26 +119,20 @@ def pieces(long: DataFrame, chunk: int, overlap: int, pattern: str) -> DataFrame
             ends = [boundaries(t, x, x + len(t) >= m, pattern) for t, x, m in zip(texts, at, n, strict=True)]
             # joints lie where chunks overlap
             ends = [e[(e <= x + overlap) | (e >= x + chunk)] for e, x in zip(ends, at, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(ends, pa.list_(pa.int64()))], names=["__row", "__at", "__n", "__ends"])
-
-    def join(batches):
-        for whole in groups_of(batches, 1):
-            got: dict[int, tuple[int, list]] = {}
-            for row, m, ends in zip(whole.column("__row").to_pylist(), whole.column("__n").to_pylist(), whole.column("__ends").to_pylist(), strict=True):
-                got.setdefault(row, (m, []))[1].append(np.array(ends, dtype=np.int64))
-            if got:
-                yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.int64()), pa.array([stitch(*x) for x in got.values()], pa.list_(pa.int64()))], names=["__row", "__joints"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ends, pa.list_(pa.int64()))], names=["__row", "__at", "__ends"])
 
     def to_pieces(batches):
         for b in batches:
-            for row, t, joints in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for row, t, found in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                found = sorted(found, key=lambda x: x["__at"])
+                joints = stitch(t, [x["__at"] for x in found], [np.array(x["__ends"], dtype=np.int64) for x in found], chunk, pattern)
                 part = [t[x:y] for x, y in zip(joints[:-1], joints[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([row] * len(part), pa.int64()), pa.array(range(len(part)), pa.int32()), pa.array(part)], names=["__row", "__k", "__piece"])
 
     chunks = long.select("__row", "__t").mapInArrow(to_chunks, "__row long, __at long, __n long, __chunk string").repartition(n, "__row", "__at")
-    ends = chunks.mapInArrow(scan, "__row long, __at long, __n long, __ends array<long>")
-    joints = ends.repartition(n, "__row").sortWithinPartitions("__row", "__at").mapInArrow(join, "__row long, __joints array<long>")
-    return long.join(joints, "__row").select("__row", "__t", "__joints").mapInArrow(to_pieces, "__row long, __k int, __piece string")
+    ends = chunks.mapInArrow(scan, "__row long, __at long, __ends array<long>")
+    found = ends.groupBy("__row").agg(F.collect_list(F.struct("__at", "__ends")).alias("__found"))  # a text's own, few to a chunk
+    return long.join(found, "__row").select("__row", "__t", "__found").mapInArrow(to_pieces, "__row long, __k int, __piece string")
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str = public_tokenizers.PATTERN, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -151,13 +164,11 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 
     def glue(batches):
         for whole in groups_of(batches, 1):
-            got: dict[int, tuple[list, list]] = {}
-            for row, ids, raw in zip(*(whole.column(c).to_pylist() for c in ("__row", "ids", "decoded")), strict=True):
-                x = got.setdefault(row, ([], []))
-                x[0].extend(ids)
-                x[1].append(raw)
-            for row, (ids, raw) in got.items():
-                yield pa.RecordBatch.from_arrays([pa.array([row], pa.int64()), pa.array([ids], pa.list_(pa.int32())), pa.array([b"".join(raw)], pa.binary())], names=["__row", "ids", "decoded"])
+            row, ids, raw = (whole.column(c).combine_chunks() for c in ("__row", "ids", "decoded"))
+            marks = bounds(whole, 1)
+            for a, b in zip(marks[:-1].tolist(), marks[1:].tolist(), strict=True):  # ids stay arrays, not Python numbers
+                values = ids.slice(a, b - a).flatten()
+                yield pa.RecordBatch.from_arrays([row.slice(a, 1), pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values), pa.array([b"".join(raw.slice(a, b - a).to_pylist())], pa.binary())], names=["__row", "ids", "decoded"])
 
     n = slots(spark)
     coded = pieces(long, chunk, overlap, pattern).repartition(n, "__row", "__k").mapInArrow(code, "__row long, __k int, ids array<int>, decoded binary")
@@ -180,4 +191,5 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **o
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`digests` of all documents."""
     return digests(table(spark, sf_dir, "documents"))
