@@ -72,8 +72,17 @@ class Model:
         bars[~(bars == 0).any(axis=1)] = 0  # a script of no language bars none
         self.bars = bars.astype(np.float32)
 
-    def scores(self, grams: np.ndarray, at: np.ndarray, kind: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(self.logp[grams], at, axis=0) + self.bars[kind]
+    def scores(self, grams: np.ndarray, at: np.ndarray, kind: np.ndarray, most: int = 1 << 22) -> np.ndarray:
+        """Of each word in each language, from about ``most`` letters by languages at a time."""
+        out = self.bars[kind]
+        step = max(1, most // max(1, len(self.langs)))
+        begin = 0
+        while begin < len(at):
+            end = max(begin + 1, int(np.searchsorted(at, at[begin] + step)))
+            last = at[end] if end < len(at) else len(grams)
+            out[begin:end] += np.add.reduceat(self.logp[grams[at[begin] : last]], at[begin:end] - at[begin], axis=0)
+            begin = end
+        return out
 
     def labels(self, scores: np.ndarray, of: np.ndarray, n: int, penalty: float) -> np.ndarray:
         """The language of each word: the best path of each of ``n`` texts. Texts run side by side, the longest first."""
@@ -191,10 +200,11 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             out["spans"][d] = ",".join(spans[d])
         return out
 
-    return map_texts(as_bytes(docs, id_col, text_col), work, "id long, lang_pred string, score double, spans string", max(1 << 16, (2 << 20) * 256 // max(256, len(model.langs)))).withColumnRenamed("id", id_col)
+    return map_texts(as_bytes(docs, id_col, text_col), work, "id long, lang_pred string, score double, spans string", max(1 << 16, (2 << 20) * 16 // max(16, len(model.langs)))).withColumnRenamed("id", id_col)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`predict` of all documents by a model of those that aren't held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
     found = predict(docs, train(docs.where(~held)))
