@@ -35,6 +35,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+#: What parts words in benchmark decontamination.
+PARTS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 SQL: dict[str, str] = {
     "op1_embedding_near_dedup": """
@@ -59,6 +61,28 @@ marked AS (SELECT d.doc_id, d.k, d.line, s.key IS NOT NULL AND s.last <> d.doc_i
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id""",
+    # windows as whole strings; near ones by every place at which a word of an item stands in a document
+    "op6_benchmark_decontamination": f"""
+WITH split AS MATERIALIZED (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{PARTS}'), lambda x: x <> '') AS w FROM documents),
+items AS MATERIALIZED (
+  SELECT DISTINCT item_id::VARCHAR AS item, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{PARTS}'), lambda x: x <> '') AS w
+  FROM benchmark WHERE item_id IS NOT NULL),
+known AS MATERIALIZED (SELECT row_number() OVER () AS no, item, w, len(w) AS n, least(len(w), 13) AS size FROM items WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item, size, array_to_string(w[s + 1:s + size], ' ') AS key FROM (SELECT *, unnest(range(n - size + 1)) AS s FROM known)),
+places AS (SELECT doc_id, s, size, array_to_string(w[s + 1:s + size], ' ') AS key
+  FROM (SELECT doc_id, w, size, unnest(range(greatest(len(w) - size + 1, 0))) AS s FROM split, (SELECT DISTINCT size FROM windows))),
+found AS MATERIALIZED (SELECT doc_id, s, size, item FROM places JOIN windows USING (size, key)),
+hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + size)) AS p FROM found) GROUP BY doc_id),
+whole AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM found GROUP BY doc_id),
+spots AS (SELECT no, unnest(w) AS word, unnest(range(n)) AS p FROM known),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM split),
+aligned AS (SELECT doc_id, no, list(p) AS ps FROM words JOIN spots USING (word) GROUP BY doc_id, no, pos - p),
+near AS (SELECT doc_id, count(DISTINCT item) AS n_near FROM aligned JOIN known USING (no)
+  WHERE len(ps) >= least(size, 10) AND len(list_filter(range(n - size + 1), lambda s: len(list_filter(ps, lambda p: p >= s AND p < s + size)) >= least(size, 10))) > 0 GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(n_near, 0) AS n_near
+FROM split LEFT JOIN hits USING (doc_id) LEFT JOIN whole USING (doc_id) LEFT JOIN near USING (doc_id)""",
     # strings are cut from pieces of 299 bytes, as substr takes time in proportion to what it cuts from
     "op8_suffix_dedup": """
 WITH texts AS MATERIALIZED (SELECT doc_id, strlen(coalesce(text, '')) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),

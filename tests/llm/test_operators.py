@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import itertools
 import math
 import random
 import sys
@@ -62,18 +63,26 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(60, 50), (70, 60), (3, 3)]
     got = {r.node: r.component for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 50: 50, 60: 50, 70: 50}
+    g = random.Random(9)
+    edges = [(g.randrange(80), g.randrange(80)) for _ in range(55)]
+    lab = components(80, edges)
+    got = {r.node: r.component for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: lab[x] for a, b in edges if a != b for x in (a, b)}
+    assert common.components(spark.createDataFrame([(3, 3), (None, 2)], "a long, b long")).count() == 0
 
 
-@pytest.mark.parametrize("block", [4, 2048])
-def test_vectors(spark, block):
+@pytest.mark.parametrize(("block", "cell"), [(4, 16), (2048, 16), (40, 8), (2048, 10_000)])
+def test_vectors(spark, block, cell):
+    """Clustered vectors, some of them equal, and odd ones, with many pivots, few and none, and cells cut into chunks."""
     g = np.random.default_rng(1)
     centre = g.normal(size=(6, 8))
     x = centre[g.integers(0, 6, 150)] + g.normal(size=(150, 8)) * 0.25
+    x[100:120] = x[0]
     label = [int(v) for v in g.integers(0, 2, 150)]
     rows = [(i, [float(v) for v in x[i]], label[i], 9) for i in range(150)]
     odd = [(200, None, 0, 9), (201, [0.0] * 8, 0, 9), (202, [float("nan")] * 8, 0, 9), (203, [1.0, None], 0, 9), (204, rows[0][1], None, 9), (205, [], 0, 9)]
     frame = spark.createDataFrame([*rows, *odd], "vec_id long, embedding array<double>, label int, cell int")
-    got = by_id(vectors.near_vectors(frame, cell=16, block=block), "vec_id")
+    got = by_id(vectors.near_vectors(frame, cell=cell, block=block), "vec_id")
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     near = (u @ u.T >= 0.93) & (np.array(label)[:, None] == np.array(label)) & ~np.eye(150, dtype=bool)
     lab = components(150, np.argwhere(near).tolist())
@@ -82,6 +91,26 @@ def test_vectors(spark, block):
     assert all((got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True) for i in range(200, 206))
 
 
+def test_scored_tables_have_pivots(spark, monkeypatch):
+    """On the scored table every group over the cell's size is parted by pivots, and replicas make up for it."""
+    seen, real = [], vectors._pivots
+    monkeypatch.setattr(vectors, "_pivots", lambda *a: seen.append(real(*a)) or seen[-1])
+    queries.QUERIES["op1_embedding_near_dedup"](spark, "/root/testdata/sf0.01").count()
+    assert len(seen) >= 8 and all(len(p) >= 2 for p in seen)
+
+
+def test_pivot_cells_lose_no_pair():
+    """Whatever the pivots, two vectors within the radius share the home cell of each."""
+    g = np.random.default_rng(4)
+    for dim, n in ((3, 400), (16, 300), (64, 200)):
+        u = vectors._unit(np.concatenate((g.normal(size=(n, dim)), (base := g.normal(size=(n, dim))), base + g.normal(size=(n, dim)) * 0.3 / np.sqrt(dim))))
+        r = float(np.sqrt(2 - 2 * 0.93))
+        for k in (2, 5, 20):
+            home, sent = vectors._replicas(u, u[g.choice(len(u), k, replace=False)], r)
+            a, b = np.nonzero(u @ u.T >= 0.93)
+            assert sent[b, home[a]].all()
+
+
 def plain_fingerprint(text):
     w = (text or "").encode().lower().split()
     sh = [b" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
@@ -192,6 +221,44 @@ def test_bpe(spark, docs, none, chunk, overlap):
     assert bpe.digests(none).count() == 0
 
 
+THREES = r"\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+LONG_TEXTS = {
+    "chinese": "".join(chr(0x4E00 + rng.randrange(5000)) + ("，" if k % 37 == 0 else "") for k in range(60_000)),
+    "letters and digits": "ab12" * 15_000,
+    "base64": "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(60_000)),
+    "emoji": "".join(chr(0x1F600 + rng.randrange(60)) + rng.choice(["", "\u200d", "\ufe0f", "x"]) for _ in range(30_000)),
+    "digits": "".join(str(rng.randrange(10)) for _ in range(20_000)) + " and " + "7" * 20_000,
+    "one word, then words": "a" * 9_000 + " " + "it's  a \n\n test " * 2_000,
+    "white space": (" " * 3_000 + "x" + "\n " * 2_000) * 4,
+}
+
+
+@pytest.mark.parametrize("pattern", [public_tokenizers.PATTERN, THREES])
+@pytest.mark.parametrize("kind", LONG_TEXTS)
+def test_chunks_meet_without_white_space(kind, pattern):
+    """Pieces split as the whole text does, and there are many of them but within one long word."""
+    text, chunk, overlap = LONG_TEXTS[kind], 2048, 128
+    starts = list(range(0, len(text), chunk))
+    ends = [bpe.boundaries(text[x : x + chunk + overlap], x, x + chunk + overlap >= len(text), pattern) for x in starts]
+    ends = [e[(e <= x + overlap) | (e >= x + chunk)] for e, x in zip(ends, starts, strict=True)]
+    joints = bpe.stitch(text, starts, ends, chunk, pattern)
+    assert joints == sorted(set(joints)) and joints[-1] == len(text)
+    split = bpe.splitter(pattern)
+    pieces = [text[a:b] for a, b in zip(joints, joints[1:])]
+    assert [m[0] for p in pieces for m in split.finditer(p)] == [m[0] for m in split.finditer(text)]
+    most = {"one word, then words": 9_001 + 2 * chunk, "digits": 41_000 if pattern != THREES else 2 * chunk, "white space": 8_000}.get(kind, 2 * chunk)
+    assert max(map(len, pieces)) <= most
+
+
+def test_long_texts_equal_tiktoken(spark):
+    enc = reference_encoder()
+    names = sorted(LONG_TEXTS)
+    frame = spark.createDataFrame([(k, LONG_TEXTS[x]) for k, x in enumerate(names)], "doc_id long, text string")
+    got = by_id(bpe.encode(frame, chunk=4096, overlap=256))
+    for k, x in enumerate(names):
+        assert list(got[k].ids) == enc.encode_ordinary(LONG_TEXTS[x]) and bytes(got[k].decoded).decode() == LONG_TEXTS[x]
+
+
 def plain_repeats(texts):
     seen, out = set(), []
     for t in texts:
@@ -265,6 +332,26 @@ def test_language(spark, none):
     assert language.predict(none, model).count() == 0
 
 
+def test_language_against_plain_scores_and_paths():
+    """Scores by words in any number of pieces, and the best path of short texts by trying every sequence of languages."""
+    g = np.random.default_rng(8)
+    model = language.Model(["a", "b", "c"], g.integers(0, 50, (language.BUCKETS, 3)).astype(float), np.ones((256, 3)))
+    texts = [b"one two three four", b"", b"zwei, drei!", "vier fünf sechs sieben acht".encode(), b"123", "один два".encode()]
+    grams, at, of, kind, begin, end = language.words_of(texts)
+    whole = model.scores(grams, at, kind)
+    ends = [*at[1:], len(grams)]
+    for w, (a, b) in enumerate(zip(at, ends)):
+        assert np.allclose(whole[w], model.logp[grams[a:b]].sum(axis=0) + model.bars[kind[w]], atol=1e-3)
+    assert all(np.allclose(model.scores(grams, at, kind, most), whole, atol=1e-3) for most in (1, 9, 40, 10**6))
+    got = model.labels(whole, of, len(texts), 1.5)
+    for d in range(len(texts)):
+        x = whole[of == d]
+        score = lambda p: sum(x[k][c] for k, c in enumerate(p)) - 1.5 * sum(a != b for a, b in zip(p, p[1:]))  # noqa: E731, B023
+        if len(x):
+            best = max(itertools.product(range(3), repeat=len(x)), key=score)
+            assert abs(score(best) - score(tuple(got[of == d]))) < 1e-3
+
+
 def _hash(word: bytes) -> int:
     h = sum(c * pow(int(common.ODD), k, 1 << 64) for k, c in enumerate(word)) & (1 << 64) - 1
     return (h ^ h >> 32) * int(quality._K) & (1 << 64) - 1

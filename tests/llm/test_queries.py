@@ -12,10 +12,10 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
-from test_operators import PASSAGE, components, plain_fingerprint, plain_repeats, reference_encoder
+from test_operators import PASSAGE, components, plain_fingerprint, reference_encoder
 
 import corpus_pipeline
-from lamina.llm import common, contamination, language, lines, pii, quality, secrets, simhash, vectors
+from lamina.llm import contamination, language, lines, pii, quality, secrets, simhash, vectors
 from lamina.llm import bpe, repeats
 from lamina.llm.queries import QUERIES, SQL
 
@@ -41,7 +41,7 @@ def rows_by_id(df, *columns, key="doc_id"):
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = con.sql(SQL[name])
     df = QUERIES[name](spark, SF)
@@ -355,7 +355,6 @@ def test_lines_after_inserts_and_deletes(spark, monkeypatch):
         want = plain_lines({i: texts[i] for i in held})
         with monkeypatch.context() as m:
             m.setattr(lines, "filters", None)
-            m.setattr(lines, "references", None)
             got = lines.drop_lines(frame(held), index=index)
             assert {r.doc_id: bytes(r.kept).decode() for r in got.collect()} == want
             assert {r.doc_id: r.text for r in lines.without_lines(frame(held), index=index).collect()} == want
@@ -377,6 +376,25 @@ def plain_groups(texts):
     return {i: ids[lab[k]] for k, i in enumerate(ids)}
 
 
+@pytest.mark.parametrize("parts", [64, 256])
+def test_lines_dealt_to_their_filters(spark, monkeypatch, parts):
+    """Where filters are too large to send, the lines go to them: the same documents lose the same lines."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    monkeypatch.setattr(lines, "FILTER_BYTES", -1)
+    monkeypatch.setattr(lines, "shards_for", lambda n: parts)
+    got = {r.doc_id: bytes(r.kept).decode() for r in lines.drop_lines(docs).collect()}
+    assert got == plain_lines(texts_of(spark)) and any(r.n_dropped for r in lines.drop_lines(docs).collect())
+    assert [lines.shards_for.__name__, len({lines._halves([bytes([k] * 16)], parts)[0][0] for k in range(256)})] == ["<lambda>", parts]
+
+
+def test_shards_grow_with_the_keys(spark):
+    assert [lines.shards_for(n) for n in (0, 10, 1 << 18, 1 << 24, 1 << 26, 1 << 40)] == [64, 64, 64, 128, 512, 1 << 16]
+    keys = spark.createDataFrame([(bytes(random.Random(k).randrange(256) for _ in range(16)),) for k in range(50)], "key binary")
+    for parts in (64, 4096):
+        for r in keys.select("key", lines.shard_of("key", parts).alias("s")).collect():
+            assert r.s == lines._halves([bytes(r.key)], parts)[0][0]
+
+
 def test_pipeline_against_brute_force(spark):
     """Each stage is compared with a plain version of it on what its predecessor kept; stage 1 with the weights of all documents."""
     read = lambda name: spark.read.parquet(f"{SF}/{name}.parquet")
@@ -481,6 +499,9 @@ def test_awkward_vectors(spark):
     got = sorted((r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in vectors.near_vectors(frame).collect())
     assert got == [(0, 0, None, True), (1, 3, 1, True), (1, 3, 1, True), (2, 3, 1, False), (3, 0, 3, True), (4, 0, 4, True), (5, 3, 1, False), (6, 3, 1, False), (7, 0, 7, True)]
     assert vectors.near_vectors(frame.where("vec_id > 9")).count() == 0
+    two = spark.createDataFrame([(1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [0.0, 2.0], 1), (3, [-0.0, 1.0], 1)], "vec_id long, embedding array<double>, label int")
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in vectors.near_vectors(two).collect())
+    assert got == [(1, 0, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False)]
 
 
 @pytest.fixture(scope="module")
