@@ -83,6 +83,8 @@ def random_spans(text: str, enc, ratio: float) -> list[Span]:
 
     def excess(x: str) -> float:
         x = NUMBER.sub("", CAPITALS.sub(lambda m: m[0].lower(), x))
+        if not x.strip("/=_-"):
+            return 0
         return ratio * sum(len(enc.encode_ordinary(x[k : k + 512])) for k in range(0, len(x), 512)) - len(x)
 
     out: list[Span] = []
