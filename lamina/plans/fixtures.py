@@ -93,7 +93,8 @@ _add("filter_or", "orders", lambda t: aggregate(where(t, any_of(eq("o_orderstatu
 _add("filter_contains_number", "orders", lambda t: project(where(t, contains("o_orderkey", "99")), "o_orderkey"), "SELECT o_orderkey FROM orders WHERE contains(CAST(o_orderkey AS VARCHAR), '99')")
 _add("filter_contains_literal", "documents", lambda t: aggregate(where(t, contains("text", "%%%")), c=count()), "SELECT count(*) AS c FROM documents WHERE contains(text, '%%%')")
 _add("filter_contains_double", "customer", lambda t: project(where(t, contains(text("c_acctbal", double=True), "5.10")), "c_custkey"), "SELECT c_custkey FROM customer WHERE contains(printf('%.6f', c_acctbal), '5.10')")
-_add("like_count", "documents", lambda t: aggregate(where(t, contains("text", "Licensed under")), c=count()), "SELECT count(*) AS c FROM documents WHERE contains(text, 'Licensed under')")
+_add("like_count", "pages", lambda t: aggregate(where(t, contains("url", "/en/")), c=count()), "SELECT count(*) AS c FROM pages WHERE contains(url, '/en/')")
+_add("like_text_count", "documents", lambda t: aggregate(where(t, contains("text", "Licensed under")), c=count()), "SELECT count(*) AS c FROM documents WHERE contains(text, 'Licensed under')")
 _add("like_and_min", "documents", lambda t: top_k(group_by(where(t, all_of(contains("text", "the"), ne("source", ""))), ["lang"], t=min_("text"), c=count()), 10, "c", then=("lang",)), "SELECT lang, min(text) AS t, count(*) AS c FROM documents WHERE contains(text, 'the') AND source <> '' GROUP BY 1 ORDER BY c DESC, lang LIMIT 10")
 _add("notlike_multi", "events", lambda t: top_k(group_by(where(t, all_of(contains("props", "k"), not_(contains("props", "69")), ne("event_type", ""))), ["event_type"], p=min_("props"), c=count(), u=count_distinct("user_id")), 10, "c", then=("event_type",)), "SELECT event_type, min(props) AS p, count(*) AS c, count(DISTINCT user_id) AS u FROM events WHERE contains(props, 'k') AND NOT contains(props, '69') AND event_type <> '' GROUP BY 1 ORDER BY c DESC, 1 LIMIT 10")
 _add("global_sum_count_avg", "lineitem", lambda t: aggregate(t, s=sum_("l_linenumber"), c=count(), a=avg("l_linenumber")), "SELECT CAST(sum(l_linenumber) AS BIGINT) AS s, count(*) AS c, avg(l_linenumber) AS a FROM lineitem")
