@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm.common import bounds, cut, groups_of, powers, rows_of, sized, slots, table
+from lamina.llm.common import bound_batches, bounds, cut, groups_of, powers, rows_of, sized, slots, table
 
 #: Length of the strings, of the grams, and the grams in a string.
 LENGTH, GRAM = 100, 32
@@ -237,16 +237,34 @@ def repeated_spans(base: DataFrame) -> DataFrame:
         x = np.array([xxhash.xxh64_intdigest(joined[p:q]) for _, p, q, _ in places], dtype=np.uint64).view(np.int64)
         return of, h, x, [joined[a:p] + joined[q:b] for a, p, q, b in places], at - begin, at - first[of]
 
-    def pieces(hot: bool):
-        def run(batches):
-            for batch in batches:
-                v, at = np.array(batch.column(2).to_pylist(), dtype=np.int64), 0
-                for ids, texts in rows_of(batch):
-                    of, h, x, piece, left, pos = occurrences(texts, hot)
-                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(x), pa.array(piece, pa.binary()), pa.array(left.astype(np.int32)), pa.array(np.array(ids, dtype=np.int64)[of]), pa.array(v[at + of]), pa.array(pos)], names=["h", "x", "piece", "left", "doc", "v", "pos"])
-                    at += len(ids)
+    def pieces(batches):
+        """Of grams that aren't hot."""
+        for batch in batches:
+            v, at = np.array(batch.column(2).to_pylist(), dtype=np.int64), 0
+            for ids, texts in rows_of(batch):
+                of, h, x, piece, left, pos = occurrences(texts, False)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(x), pa.array(piece, pa.binary()), pa.array(left.astype(np.int32)), pa.array(np.array(ids, dtype=np.int64)[of]), pa.array(v[at + of]), pa.array(pos)], names=["h", "x", "piece", "left", "doc", "v", "pos"])
+                at += len(ids)
 
-        return run
+    def hot_pieces(batches):
+        """Of hot grams, with where they begin and end; a piece that the task has given from an earlier place is null."""
+        least: dict[tuple[int, int, bytes, int], tuple[int, int, int]] = {}
+        for batch in batches:
+            v, at = np.array(batch.column(2).to_pylist(), dtype=np.int64), 0
+            for ids, texts in rows_of(batch):
+                of, h, x, piece, left, pos = occurrences(texts, True)
+                doc, w = np.array(ids, dtype=np.int64)[of], v[at + of]
+                size = np.array([len(y) for y in piece], dtype=np.int64)
+                names, spots = list(zip(h.tolist(), x.tolist(), piece, left.tolist(), strict=True)), zip(doc.tolist(), w.tolist(), pos.tolist(), strict=True)
+                for k, (name, spot) in enumerate(zip(names, spots, strict=True)):
+                    if name in least and least[name] <= spot:
+                        piece[k] = None
+                    else:
+                        least[name] = spot
+                if len(least) > 100_000:  # what it forgets is given twice, and no more
+                    least.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(x), pa.array(piece, pa.binary()), pa.array(left.astype(np.int32)), pa.array(doc), pa.array(w), pa.array(pos), pa.array(pos - left), pa.array(pos - left + size + GRAM)], names=["h", "x", "piece", "left", "doc", "v", "pos", "begin", "end"])
+                at += len(ids)
 
     shape, spans = "h long, x long, piece binary, left int, doc long, v long, pos long", "doc long, v long, begin long, end long"
 
@@ -254,28 +272,19 @@ def repeated_spans(base: DataFrame) -> DataFrame:
         for whole in groups_of(batches, 2, 50_000):
             yield _compare(whole)
 
-    found = base.mapInArrow(pieces(False), shape).repartition(n, "h", "x").sortWithinPartitions("h", "x").mapInArrow(compare, spans).withColumn("kind", F.lit(GONE))
+    found = base.mapInArrow(pieces, shape).repartition(n, "h", "x").sortWithinPartitions("h", "x").mapInArrow(compare, spans).withColumn("kind", F.lit(GONE))
     if not any_hot:
         return found
 
     # hot grams: different pieces with their first occurrence
-    distinct = base.mapInArrow(pieces(True), shape).groupBy("h", "x", "piece", "left").agg(F.min(F.struct("doc", "v", "pos")).alias("first"))
+    hot = cut(base.mapInArrow(hot_pieces, f"{shape}, begin long, end long"))
+    distinct = hot.where("piece is not null").groupBy("h", "x", "piece", "left").agg(F.min(F.struct("doc", "v", "pos")).alias("first"))
     distinct = cut(distinct.select("h", "x", "piece", "left", "first.doc", "first.v", "first.pos"))
     counts = distinct.groupBy("h", "x").agg(F.count(F.lit(1)).alias("n"))
 
-    def places(batches):
-        for batch in batches:
-            v, at = np.array(batch.column(2).to_pylist(), dtype=np.int64), 0
-            for ids, texts in rows_of(batch):
-                h, place, begin, last, first, _ = anchors(texts)
-                hit = held(h, 0) & held(h, 1)
-                of = np.searchsorted(first, place[hit], "right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, dtype=np.int64)[of]), pa.array(v[at + of]), pa.array(begin[hit] - first[of]), pa.array(last[hit] - first[of] + LENGTH), pa.array(np.full(len(of), HELD, np.int32))], names=["doc", "v", "begin", "end", "kind"])
-                at += len(ids)
-
     start = F.col("pos") - F.col("left")
     firsts = distinct.select("doc", "v", start.alias("begin"), (start + F.length("piece") + GRAM).alias("end"), F.lit(FIRST).alias("kind"))
-    found = found.union(base.mapInArrow(places, f"{spans}, kind int")).union(firsts)
+    found = found.union(hot.select("doc", "v", "begin", "end", F.lit(HELD).alias("kind"))).union(firsts)
     few = distinct.join(counts.where(F.col("n").between(2, HOT)), ["h", "x"], "left_semi")
     found = found.union(few.select("h", "x", "piece", "left", "doc", "v", "pos").repartition(n, "h", "x").sortWithinPartitions("h", "x").mapInArrow(compare, spans).withColumn("kind", F.lit(GONE)))
 
@@ -301,6 +310,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text is empty. Rows with a null id come after all others; rows of one id are ordered by a hash of their texts, and
     equal rows count as one, so neither loses what the other holds.
     """
+    bound_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     every = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("doc"), text.cast("binary").alias("text"), F.xxhash64(text).alias("v"), F.xxhash64(F.lit(1), text).alias("w"))
     # texts that several documents have, by 128 bits of hash, and the first of these
