@@ -8,14 +8,13 @@ and, sharper for unit vectors, q is within r of the plane between p and p_i: (d_
 Cells join independently; cells over ``block`` rows are cut into pairs of chunks. Equal vectors are one, with the number of its ids.
 
 In high dimensions few cells can be ruled out, and replicas then cost more than they save: the number of pivots of a
-group is the one with the least estimated work on the sample, but two at least, and one for each ``block`` rows, as cells are also what
-spreads a group over tasks.
+group is the one with the least estimated work on the sample, but two at least, and one for each ``part`` rows, as cells are also what
+spreads a group over tasks. Within a cell its own vectors alone are compared with all that it holds.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,14 +63,15 @@ def _pivots(u: np.ndarray, n: int, r: float, least: int, most: int) -> np.ndarra
     return best
 
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, cell: int = 32, block: int = 2048) -> DataFrame:
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, cell: int = 32, part: int = 2048, block: int = 8192) -> DataFrame:
     """One row per row of ``vectors``: the id, ``n_links`` (other vectors with equal label and cosine >= ``threshold``),
     ``component_id`` (smallest id reachable by links) and ``kept`` (id = component_id).
 
     A null label or id, a vector that is null, empty, all zero or holds a null or non-finite component links with nothing:
     n_links 0, component_id its own id (a null id: null, kept true). Vectors of unequal length aren't comparable. Exact
     repetitions of a row count as one vector; rows of one id with different vectors are as many vectors, each with its own
-    links. Cosines are computed in double precision. Groups (of a label and a length) of over ``cell`` different vectors have pivots.
+    links. Cosines are computed in double precision. Groups (of a label and a length) of over ``cell`` different vectors have pivots,
+    one for each ``part`` vectors at least; cells of over ``block`` rows are cut.
     """
     spark = vectors.sparkSession
     r = float(np.sqrt(2 - 2 * threshold))
@@ -93,24 +93,35 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
         picked = picked.where(F.pmod(F.xxhash64("a", F.lit(17)), F.lit(1 << 20)) < part).select("label", "dim", "a", "b", "v").limit(2 * most).toPandas()
         for key, rows in picked.groupby(["label", "dim"]):
             n = next(x.n for x in sizes if (x.label, x.dim) == key)
-            least = max(2, -(-n // block))
+            least = max(2, -(-n // part))
             pivots[key] = _pivots(_unit(np.array(rows.sort_values(["a", "b"])["v"].tolist())), n, r, least, max(least, min(PIVOTS * n // total, n // 2)))
 
-    def to_cells(frames):
-        for f in frames:
-            out = []
-            for (label, dim), rows in f.groupby(["label", "dim"], sort=False):
-                p = pivots.get((label, dim))
+    def to_cells(batches):
+        for batch in batches:
+            labels, dims = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+            members: dict[tuple[str, int], list[int]] = {}
+            for k, key in enumerate(zip(labels, dims.tolist(), strict=True)):
+                members.setdefault(key, []).append(k)
+            row, cell, home = [], [], []
+            for key, some in members.items():
+                some = np.array(some)
+                p = pivots.get(key)
                 if p is None or len(p) == 1:
-                    out.append(rows.assign(cell=0, home=True))
+                    row.append(some)
+                    cell.append(np.zeros(len(some), dtype=np.int32))
+                    home.append(np.ones(len(some), dtype=bool))
                     continue
-                home, sent = _replicas(_unit(np.array(rows["v"].tolist())), p, r)
-                at, to = np.nonzero(sent)
-                out.append(rows.iloc[at].assign(cell=to, home=home[at] == to))
-            if out:
-                yield pd.concat(out)[["label", "dim", "cell", "id", "home", "n", "v"]]
-
-    cells = cut(good.select("label", "dim", "id", "n", "v").mapInPandas(to_cells, "label string, dim int, cell int, id long, home boolean, n long, v array<double>"))
+                x = batch.column(4).take(pa.array(some)).flatten().to_numpy().reshape(len(some), -1)
+                at, sent = _replicas(_unit(x), p, r)
+                here, to = np.nonzero(sent)
+                row.append(some[here])
+                cell.append(to.astype(np.int32))
+                home.append(at[here] == to)
+            if row:
+                out = batch.take(pa.array(np.concatenate(row)))
+                yield pa.RecordBatch.from_arrays([out.column(0), out.column(1), pa.array(np.concatenate(cell)), out.column(2), pa.array(np.concatenate(home)), out.column(3), out.column(4)], names=["label", "dim", "cell", "id", "home", "n", "v"])
+
+    cells = cut(good.select("label", "dim", "id", "n", "v").mapInArrow(to_cells, "label string, dim int, cell int, id long, home boolean, n long, v array<double>"))
     dealt = grid(cells, ["label", "dim", "cell"], "id", block)
     keys = ["label", "dim", "cell", "__i", "__j"]
 
@@ -137,8 +148,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
 def _links(rows: pa.Table, threshold: float) -> pa.RecordBatch:
     """Of the rows of one pair of chunks (i, j): id, links counted here, and a root that every row linked here reaches.
 
-    Pairs within a chunk are counted in (i, i) alone, pairs between chunks in (i, j); only a row at home counts its links, each for
-    as many ids as the other vector has.
+    Pairs within a chunk are counted in (i, i) alone, pairs between chunks in (i, j); only rows at home are compared with
+    the others, and count their links, each for as many ids as the other vector has.
     """
     ids, home, c = rows.column("id").to_numpy(), rows.column("home").to_numpy(zero_copy_only=False), rows.column("__c").to_numpy()
     i, j = rows.column("__i")[0].as_py(), rows.column("__j")[0].as_py()
@@ -149,14 +160,16 @@ def _links(rows: pa.Table, threshold: float) -> pa.RecordBatch:
     x = x / np.abs(x).max(axis=1, keepdims=True)
     norm = np.sqrt((x * x).sum(axis=1))
     links, forest = np.zeros(len(ids), dtype=np.int64), Forest(len(ids))
-    for s in range(0, len(ids), 1024):
-        e = min(s + 1024, len(ids))
-        close = (x[s:e] @ x.T) / (norm[s:e, None] * norm) >= threshold
-        close &= (ids[s:e, None] != ids) & (home[s:e, None] | home)
+    own = np.flatnonzero(home)
+    for s in range(0, len(own), 1024):
+        q = own[s : s + 1024]
+        close = (x[q] @ x.T) / (norm[q, None] * norm) >= threshold
+        close[np.arange(len(q)), q] = False
         if i != j:
-            close &= c[s:e, None] != c
-        links[s:e] = np.where(home[s:e], close @ many, 0)
-        forest.join(*(k + z for k, z in zip(np.nonzero(close), (s, 0), strict=True)))
+            close &= c[q, None] != c
+        links[q] = close @ many
+        a, b = np.nonzero(close)
+        forest.join(q[a], b)
     root = ids[forest.all()]
     some = (links > 0) | (root != ids)
     return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some]), pa.array(root[some])], names=["id", "n_links", "root"])
