@@ -99,7 +99,8 @@ def random_spans(text: str, enc, ratio: float) -> list[Span]:
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, ratio: float = 2.0) -> DataFrame:
-    """Per row of ``docs``: the id, ``n_assign``, ``n_access``, ``n_hex``, ``n_random``, ``base_sha256`` and ``spans`` (code points, end exclusive).
+    """Per row of ``docs``: the id, ``n_assign``, ``n_access``, ``n_hex``, ``n_random``, ``base_sha256``, ``spans`` (code points, end exclusive)
+    and ``has_secret``, whether there is any.
 
     A null or empty text has no spans: counts 0, an empty ``spans`` and the digest of the empty string.
     """
@@ -107,7 +108,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def work(ids, texts):
         enc = encoding(ranks.value, public_tokenizers.PATTERN)
-        out = {"id": ids, "n_assign": [], "n_access": [], "n_hex": [], "n_random": [], "base_sha256": [], "spans": []}
+        out = {"id": ids, "n_assign": [], "n_access": [], "n_hex": [], "n_random": [], "base_sha256": [], "spans": [], "has_secret": []}
         for raw in texts:
             text = raw.decode("utf-8", "replace")
             base = base_spans(text)
@@ -117,9 +118,10 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             out["n_random"].append(len(more))
             out["base_sha256"].append(digest(base))
             out["spans"].append(report(base + more))
+            out["has_secret"].append(bool(base or more))
         return out
 
-    found = map_texts(as_bytes(docs, id_col, text_col), work, "id long, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string")
+    found = map_texts(as_bytes(docs, id_col, text_col), work, "id long, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string, has_secret boolean")
     return found.withColumnRenamed("id", id_col)
 
 

@@ -71,7 +71,7 @@ def test_components(spark):
     assert common.components(spark.createDataFrame([(3, 3), (None, 2)], "a long, b long")).count() == 0
 
 
-@pytest.mark.parametrize(("block", "cell"), [(4, 16), (2048, 16), (40, 8), (2048, 10_000)])
+@pytest.mark.parametrize(("block", "cell"), [(4, 16), (8192, 16), (40, 8), (8192, 10_000)])
 def test_vectors(spark, block, cell):
     """Clustered vectors, some of them equal, and odd ones, with many pivots, few and none, and cells cut into chunks."""
     g = np.random.default_rng(1)
@@ -82,7 +82,7 @@ def test_vectors(spark, block, cell):
     rows = [(i, [float(v) for v in x[i]], label[i], 9) for i in range(150)]
     odd = [(200, None, 0, 9), (201, [0.0] * 8, 0, 9), (202, [float("nan")] * 8, 0, 9), (203, [1.0, None], 0, 9), (204, rows[0][1], None, 9), (205, [], 0, 9)]
     frame = spark.createDataFrame([*rows, *odd], "vec_id long, embedding array<double>, label int, cell int")
-    got = by_id(vectors.near_vectors(frame, cell=cell, block=block), "vec_id")
+    got = by_id(vectors.near_vectors(frame, cell=cell, part=30, block=block), "vec_id")
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     near = (u @ u.T >= 0.93) & (np.array(label)[:, None] == np.array(label)) & ~np.eye(150, dtype=bool)
     lab = components(150, np.argwhere(near).tolist())
@@ -297,6 +297,7 @@ def test_secrets(docs, none, spark):
     assert (got[1].n_assign, got[1].n_access, got[1].n_hex, got[1].n_random) == (1, 1, 1, 1)
     assert got[1].spans.split(",")[0] == "assign:0:21" and (got[2].spans, got[2].base_sha256) == ("", sha(b""))
     assert got[3].spans == "assign:0:22" and got[4].spans == "assign:2:18"
+    assert [got[k].has_secret for k in (1, 2, 3, 4)] == [True, False, True, True]
     assert secrets.find_secrets(none).count() == 0
 
 
@@ -307,6 +308,7 @@ def test_personal_data(docs, none, spark):
     assert (got[1].n_email, got[1].n_ip, got[1].n_card, got[1].n_phone) == (1, 1, 1, 1)
     found = [text[int(a) : int(b)] for k, a, b in (s.split(":") for s in got[1].spans.split(",")) if k in pii.KINDS]
     assert "078-05-1120" in found and any("555-3824" in x for x in found)
+    assert [got[k].has_personal_data for k in (1, 2, 3)] == [True, False, False]
     assert got[2].spans == "" and got[3].n_email == 0 and pii.find_personal_data(none).count() == 0
 
 

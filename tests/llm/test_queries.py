@@ -119,6 +119,55 @@ def test_random_strings_by_their_ratio(spark):
     assert {k: s for k, (s,) in got.items()} == {k: f"random:{(a := f'see {x} here'.index(y))}:{a + len(y)}" if y else "" for k, (x, y) in enumerate(cases)}
 
 
+def plain_gapped(texts, bench, window, near, gap):
+    """:func:`plain_near`, and windows in two parts, by trying every pair of alignments and every place between the parts."""
+    split = lambda t: WORD.findall(t.translate(LOWER))
+    out = {i: set() for i in texts}
+    for item, t in bench.items():
+        x = split(t)
+        size = min(window, len(x))
+        least = min(size, near)
+        length = min(3, size // (size - least + 1)) if x else 1
+        for i, text in texts.items():
+            w = split(text)
+            rows = {at: [0 <= at + k < len(w) and w[at + k] == y for k, y in enumerate(x)] for at in range(-len(x) - gap, len(w) + gap)}
+            for at, a in rows.items():
+                for s in range(len(x) - size + 1) if x else ():
+                    if sum(a[s : s + size]) >= least:
+                        out[i].add(item)
+                    for g in range(-gap, gap + 1):
+                        b = rows.get(at + g)
+                        if not g or b is None or item in out[i]:
+                            continue
+                        for m in range(s + length, s + size - length + 1):
+                            whole = lambda c, p, q: any(all(c[k : k + length]) for k in range(p, q - length + 1))
+                            if sum(a[s:m]) + sum(b[m : s + size]) >= least and whole(a, s, m) and whole(b, m, s + size):
+                                out[i].add(item)
+    return {i: (len(x),) for i, x in out.items()}
+
+
+def test_gapped_items_against_brute_force(spark):
+    """Passages with words put in or left out, and changed ones beside, against every pair of alignments."""
+    rng = random.Random(8)
+    vocabulary = [f"v{k}" for k in range(25)]
+    bench = {i: " ".join(rng.choice(vocabulary) for _ in range(n)) for i, n in enumerate([13] * 5 + [4, 7, 12, 14, 20])} | {30: "a " * 14}
+    texts = {0: "", 1: "a " * 30}
+    for text in bench.values():
+        for put, left, changed in ((0, 0, 0), (1, 0, 0), (2, 0, 1), (3, 0, 0), (0, 1, 0), (0, 2, 1), (1, 0, 3), (0, 1, 4)):
+            for _ in range(2):
+                w = text.split()
+                for k in rng.sample(range(len(w)), min(changed, len(w))):
+                    w[k] = "new"
+                k = rng.randrange(len(w))
+                texts[len(texts)] = " ".join(["x", *w[:k], *(["y"] * put), *w[k + left :], "z"])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    items = spark.createDataFrame(list(bench.items()), "item_id long, text string")
+    for gap in (0, 2):
+        got = rows_by_id(contamination.mark(docs, items, gap=gap), "n_near")
+        assert got == plain_gapped(texts, bench, 13, 10, gap)
+    assert sum(x for x, in got.values()) > sum(x for x, in plain_near(texts, bench).values())
+
+
 ALPHABETS = {"base62": string.ascii_letters + string.digits, "base64": string.ascii_letters + string.digits + "+/", "url": string.ascii_letters + string.digits + "-_", "base32": string.ascii_uppercase + "234567", "letters": string.ascii_letters, "lower": string.ascii_lowercase, "upper": string.ascii_uppercase, "lower and digits": string.ascii_lowercase + string.digits}
 HARMLESS = """https://github.com/apache/spark/blob/master/core/src/main/scala/SparkContext.scala https://docs.python.org/3/library/collections.html 2024-01-15-12-30-45-backup
 /usr/local/lib/python3/site-packages/numpy getElementsByTagNameAndClassName SOME_LONG_CONSTANT_NAME_2 antidisestablishmentarianism org/apache/hadoop/mapreduce/lib/input
