@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm.common import bounds, cut, groups_of, map_texts, slots, table
+from lamina.llm.common import arrow_schema, bound_batches, bounds, cut, groups_of, map_texts, slots, table
 
 #: Characters of a chunk, and those that two neighbours share.
 CHUNK, OVERLAP = 32768, 2048
@@ -135,24 +136,20 @@ def pieces(long: DataFrame, chunk: int, overlap: int, pattern: str) -> DataFrame
     return long.join(found, "__row").select("__row", "__t", "__found").mapInArrow(to_pieces, "__row long, __k int, __piece string")
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str = public_tokenizers.PATTERN, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """One row per row of ``docs``: its id, ``ids`` (array of int) and ``decoded`` (their bytes, joined).
-
-    A null or empty text has no ids. Ids equal those of tiktoken's encode_ordinary over the whole text. Repeated and null ids
-    of documents are fine: rows are told apart by their own number.
-    """
+def _coded(docs: DataFrame, id_col: str, text_col: str, shape: str, finish: Callable[[list, list[bytes]], dict[str, object]], path: str | None, pattern: str, chunk: int, overlap: int) -> DataFrame:
+    """The id of each row of ``docs`` and the columns of ``shape``, which ``finish`` makes of whole lists of ids and their bytes where they come about."""
     spark = docs.sparkSession
+    bound_batches(spark)
     ranks = load(spark, path or public_tokenizers.path(RANKS))
     rows = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).cast("string").alias("__t"))
     size = F.coalesce(F.length("__t"), F.lit(0))  # in characters, as chunks are
-    shape = "__doc long, ids array<int>, decoded binary"
 
     def work(ids, texts):
         enc = encoding(ranks.value, pattern)
         got = [encode_whole(t.decode("utf-8", "replace"), enc) for t in texts]
-        return {"__doc": ids, "ids": got, "decoded": [decode(x, enc) for x in got]}
+        return {"__doc": ids} | finish(got, [decode(x, enc) for x in got])
 
-    short = map_texts(rows.where(size <= chunk).select("__doc", F.coalesce("__t", F.lit("")).cast("binary")), work, shape)
+    short = map_texts(rows.where(size <= chunk).select("__doc", F.coalesce("__t", F.lit("")).cast("binary")), work, f"__doc long, {shape}")
     # long texts only are numbered, cut, and joined again
     long = cut(rows.where(size > chunk).withColumn("__row", F.monotonically_increasing_id()))
 
@@ -162,32 +159,42 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
             got = [encode_whole(t, enc) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.list_(pa.int32())), pa.array([decode(x, enc) for x in got], pa.binary())], names=["__row", "__k", "ids", "decoded"])
 
+    kind = arrow_schema(f"__row long, {shape}")
+
     def glue(batches):
         for whole in groups_of(batches, 1):
             row, ids, raw = (whole.column(c).combine_chunks() for c in ("__row", "ids", "decoded"))
             marks = bounds(whole, 1)
-            for a, b in zip(marks[:-1].tolist(), marks[1:].tolist(), strict=True):  # ids stay arrays, not Python numbers
-                values = ids.slice(a, b - a).flatten()
-                yield pa.RecordBatch.from_arrays([row.slice(a, 1), pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values), pa.array([b"".join(raw.slice(a, b - a).to_pylist())], pa.binary())], names=["__row", "ids", "decoded"])
+            for a, b in zip(marks[:-1].tolist(), marks[1:].tolist(), strict=True):  # ids stay an array, not Python numbers
+                out = {"__row": row.slice(a, 1)} | finish([ids.slice(a, b - a).flatten().to_numpy()], [b"".join(raw.slice(a, b - a).to_pylist())])
+                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in kind], schema=kind)
 
     n = slots(spark)
     coded = pieces(long, chunk, overlap, pattern).repartition(n, "__row", "__k").mapInArrow(code, "__row long, __k int, ids array<int>, decoded binary")
-    whole = coded.repartition(n, "__row").sortWithinPartitions("__row", "__k").mapInArrow(glue, "__row long, ids array<int>, decoded binary")
-    return short.union(long.select("__row", "__doc").join(whole, "__row").select("__doc", "ids", "decoded")).withColumnRenamed("__doc", id_col)
+    whole = coded.repartition(n, "__row").sortWithinPartitions("__row", "__k").mapInArrow(glue, f"__row long, {shape}")
+    return short.union(long.select("__row", "__doc").join(whole, "__row").drop("__row")).withColumnRenamed("__doc", id_col)
+
 
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str = public_tokenizers.PATTERN, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """One row per row of ``docs``: its id, ``ids`` (array of int) and ``decoded`` (their bytes, joined).
+
+    A null or empty text has no ids. Ids equal those of tiktoken's encode_ordinary over the whole text. Repeated and null ids
+    of documents are fine: rows are told apart by their own number.
+    """
+    return _coded(docs, id_col, text_col, "ids array<int>, decoded binary", lambda ids, raw: {"ids": ids, "decoded": raw}, path, pattern, chunk, overlap)
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Per document: the id, ``n_tokens``, ``ids_sha256`` (ids as little-endian unsigned 32-bit integers) and ``decoded_sha256``."""
 
-    def work(batches):
-        for b in batches:
-            every, raw = b.column(1), b.column(2)
-            at = every.offsets.to_numpy()  # ids are hashed where they lie, not made Python numbers
-            values = np.ascontiguousarray(every.values.to_numpy(zero_copy_only=False), dtype="<u4")
-            ids = [hashlib.sha256(values[x:y]).hexdigest() for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(at).astype(np.int64)), pa.array(ids), pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in raw])], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str = public_tokenizers.PATTERN, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """:func:`encode`, but per row the id, ``n_tokens``, ``ids_sha256`` (ids as little-endian unsigned 32-bit integers) and ``decoded_sha256``."""
+
+    def finish(ids, raw):
+        return {
+            "n_tokens": [len(x) for x in ids],
+            "ids_sha256": [hashlib.sha256(np.ascontiguousarray(x, dtype="<u4")).hexdigest() for x in ids],
+            "decoded_sha256": [hashlib.sha256(x).hexdigest() for x in raw],
+        }
 
-    return encode(docs, id_col, text_col, **options).mapInArrow(work, f"`{id_col}` long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _coded(docs, id_col, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", finish, path, pattern, chunk, overlap)
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,19 +83,24 @@ def pieces(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
         begin = end
 
 
-def rows_of(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[tuple[list, list[bytes]]]:
+def rows_of(batch: pa.RecordBatch, most: int = 1 << 19) -> Iterator[tuple[list, list[bytes]]]:
     """Ids and texts of a batch in pieces of about ``most`` bytes, so that work arrays stay small whatever the texts' lengths."""
     ids, texts = batch.column(0), batch.column(1)
     for begin, end in pieces(texts, most):
         yield ids.slice(begin, end - begin).to_pylist(), texts.slice(begin, end - begin).to_pylist()
 
 
-def map_texts(df: DataFrame, work: Callable[[list, list[bytes]], dict[str, object]], schema: str, most: int = 1 << 20) -> DataFrame:
-    """``work(ids, texts)`` over pieces of ``df`` (the columns of :func:`as_bytes`); it returns the columns of ``schema``."""
+def arrow_schema(schema: str) -> pa.Schema:
+    """The Arrow schema of a schema in Spark's notation."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    kind = to_arrow_schema(_parse_datatype_string(schema))
+    return to_arrow_schema(_parse_datatype_string(schema))
+
+
+def map_texts(df: DataFrame, work: Callable[[list, list[bytes]], dict[str, object]], schema: str, most: int = 1 << 19) -> DataFrame:
+    """``work(ids, texts)`` over pieces of ``df`` (the columns of :func:`as_bytes`); it returns the columns of ``schema``."""
+    kind = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
