@@ -204,25 +204,25 @@ class Forest:
         return self.roots(np.arange(len(self.up)))
 
 
+def _stars(e: DataFrame) -> bool:
+    """Whether every node of the pairs (a, b) is either the centre of a star or has one pair alone, with its centre."""
+    ends = e.select(F.col("a").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(e.select("b", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 or out = 1 and into = 1").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): for each node of the long pairs (a, b) the smallest node it reaches.
 
-    Alternating large-star and small-star rounds on DataFrames: minima are pre-aggregated before the shuffle,
-    joins are equi-joins that adaptive execution can split, and each round's edges are checkpointed. The number of
+    Alternating large-star and small-star rounds on DataFrames until all that is left are stars: minima are pre-aggregated before the
+    shuffle, joins are equi-joins that adaptive execution can split, and each round's edges are checkpointed. The number of
     rounds is logarithmic in the size of a component. Loops and nulls are dropped.
     """
     e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    sign = lambda d: d.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-    before = sign(e)
-    while before[0]:
+    while not _stars(e):
         both = e.union(e.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         small = large.groupBy("a").agg(F.min("b").alias("m"))
         linked = large.join(small, "a")
         e = cut(linked.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(linked.select("a", F.col("m").alias("b"))).distinct())
-        now = sign(e)
-        if now == before:
-            break
-        before = now
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select("b", "b").distinct())
