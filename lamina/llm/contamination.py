@@ -3,9 +3,10 @@
 The index stores postings of the training text: a term of up to three running words that some item holds, the text (named by 128 bits of
 hash, so that copies of a text are one) and the position. A near window has at most ``window - near`` words out of place, so cut into one cell more than
 that, one cell is whole (with 13 and 10: four cells of three or four words). Each window is looked up by the rarest term of every
-cell, and the lists, less their offsets in the item, meet as alignments of an item with a text; no near or exact window is
-missed. Only texts with an alignment are read again: each alignment takes from the text the words that it puts beside
-the item's, which gives exact phrases (all words of a window) and near ones (``near`` or more of its words in place).
+cell; a posting less the term's offset in the item is an alignment of the item with a text, and no near or exact window is
+missed. The lists of the item's other terms are then intersected with these alignments: three words out of place leave two of eleven terms
+of three words whole, so most chance meetings go. Only texts with an alignment left are read again: each alignment takes from the text the words
+that it puts beside the item's, which gives exact phrases (all words of a window) and near ones (``near`` or more of its words in place).
 """
 
 from __future__ import annotations
@@ -13,11 +14,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm.common import cut, table
+from lamina.llm.common import cut, sized, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Bytes up to which what comes of the benchmark, or the names of texts, is broadcast (they are summed first); beyond, it is joined by shuffles.
-BROADCAST_BYTES = 32 << 20
 
 
 def words(text: Column) -> Column:
@@ -27,24 +26,18 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(low, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
 
 
-def sized(df: DataFrame, weight: Column | None = None) -> DataFrame:
-    """``df`` with a broadcast hint if its rows' bytes, by ``weight`` or 64 each, are few; it must be cheap to sum."""
-    total = df.agg(F.sum(F.lit(64) if weight is None else weight)).first()[0] or 0
-    return F.broadcast(df) if total <= BROADCAST_BYTES else df
-
-
 def name_of(text: Column) -> list[Column]:
     """``__a`` and ``__b``, two hashes that name a text."""
     return [F.xxhash64(text).alias("__a"), F.xxhash64(F.lit(1), text).alias("__b")]
 
 
 def items_of(benchmark: DataFrame, id_col: str, text_col: str, window: int, near: int) -> DataFrame:
-    """(item, item_words, n, size, cells, length, no): the different items that have words, numbered. ``size`` words are a window, cut into
+    """(item, item_words, n, size, cells, length, no): the different items that have words, named by a hash (items of one name are compared with a text each, so that equal hashes do no harm). ``size`` words are a window, cut into
     ``cells`` of which one is whole wherever ``near`` words are in place; grams of ``length`` words, three at most, fit into any cell."""
     items = benchmark.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("item"), words(F.col(text_col)).alias("item_words")).distinct()
     known = items.withColumn("n", F.size("item_words")).where("n > 0").withColumn("size", F.least("n", F.lit(window)))
     cells = known.withColumn("cells", F.col("size") - F.least("size", F.lit(near)) + 1)
-    return cells.withColumn("length", F.least(F.lit(3), F.floor(F.col("size") / F.col("cells"))).cast("int")).withColumn("no", F.monotonically_increasing_id())
+    return cells.withColumn("length", F.least(F.lit(3), F.floor(F.col("size") / F.col("cells"))).cast("int")).withColumn("no", F.xxhash64("item", "item_words"))
 
 
 def gram(first: Column, second: Column, third: Column, length: Column) -> Column:
@@ -88,7 +81,7 @@ def postings(texts: DataFrame, terms: DataFrame, lengths: list[int]) -> DataFram
 def compared(texts: DataFrame, aligned: DataFrame, items: DataFrame, window: int, near: int) -> DataFrame:
     """(__a, __b, n_words, item, near, hit): of the alignments (__a, __b, no, at), those with enough words in place for a near window; ``near`` is whether
     one is, ``hit`` the positions that whole windows cover."""
-    by_text = aligned.join(sized(items.select("no", "n")), "no").groupBy("__a", "__b").agg(F.collect_list(F.struct("no", "at", "n")).alias("found"))
+    by_text = cut(aligned.join(sized(items.select("no", "n")), "no").groupBy("__a", "__b").agg(F.collect_list(F.struct("no", "at", "n")).alias("found")))
     named = sized(by_text.select("__a", "__b"))
     read = texts.join(named, ["__a", "__b"], "left_semi").dropDuplicates(["__a", "__b"]).select("__a", "__b", words(F.col("__text")).alias("w"))
     beside = lambda c: F.slice("w", F.greatest(c["at"], F.lit(0)) + 1, F.least(c["n"], c["n"] + c["at"]))
@@ -108,31 +101,67 @@ def compared(texts: DataFrame, aligned: DataFrame, items: DataFrame, window: int
     return out.select("__a", "__b", "n_words", "item", hit.alias("hit"))
 
 
-def contamination_of(texts: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, window: int, near: int) -> DataFrame:
+def gapped(texts: DataFrame, spots: DataFrame, items: DataFrame, near: int, gap: int) -> DataFrame:
+    """(__a, __b, n_words, item, hit) of near windows in two parts, up to ``gap`` words further apart, or closer, in the text than in the item.
+
+    ``spots``: (__a, __b, no, at, p), an alignment and where in the item a whole term stands along it. Each part holds such a term.
+    """
+    each = spots.groupBy("__a", "__b", "no", "at").agg(F.collect_set("p").alias("ps"))
+    moved = each.select("__a", "__b", "no", F.col("at").alias("at1"), F.col("ps").alias("ps1"), F.explode(F.array(*[F.lit(g) for g in range(-gap, gap + 1) if g])).alias("g")).withColumn("at", F.col("at1") + F.col("g"))
+    pairs = moved.join(each, ["__a", "__b", "no", "at"]).where(F.array_min("ps1") < F.array_max("ps"))
+    pairs = cut(pairs.join(sized(items.select("no", "item", "item_words", "n", "size", "length"), 64 + F.aggregate("item_words", F.lit(0), lambda t, x: t + 16 + F.octet_length(x))), "no"))
+    read = texts.join(sized(pairs.select("__a", "__b").distinct()), ["__a", "__b"], "left_semi").dropDuplicates(["__a", "__b"]).select("__a", "__b", words(F.col("__text")).alias("w"))
+    same = lambda at: F.transform("item_words", lambda y, k: F.when(F.col(at) + k >= 0, F.coalesce(F.get("w", F.col(at) + k) == y, F.lit(False))).otherwise(F.lit(False)).cast("int"))
+    both = read.join(pairs, ["__a", "__b"]).withColumn("same1", same("at1")).withColumn("same2", same("at"))
+    size, length = F.col("size"), F.col("length")
+    total = lambda c, a, b: F.aggregate(F.slice(c, a + 1, b - a), F.lit(0), lambda t, x: t + x)
+    found = F.exists(
+        F.sequence(F.lit(0), F.col("n") - size),
+        lambda s: F.exists(
+            F.sequence(s + length, F.greatest(s + length, s + size - length)),
+            lambda m: F.exists("ps1", lambda p: (p >= s) & (p + length <= m)) & F.exists("ps", lambda p: (p >= m) & (p + length <= s + size)) & (total("same1", s, m) + total("same2", m, s + size) >= F.least(size, F.lit(near))),
+        ),
+    )
+    return both.where(found).select("__a", "__b", F.size("w").cast("long").alias("n_words"), "item", F.array().cast("array<int>").alias("hit")).distinct()
+
+
+def contamination_of(texts: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, window: int, near: int, gap: int = 0) -> DataFrame:
     """(__a, __b, n_words, n_hit, items, n_near) of the texts (__a, __b, __text) that hold a near window; written, and few as they are."""
-    items = cut(items_of(benchmark, item_col, item_text_col, window, near))
-    rows = cut(grams(items))
+    items = items_of(benchmark, item_col, item_text_col, window, near)  # few, as the benchmark is, and made anew for each use
+    rows = grams(items)
     lengths = sorted(r.length for r in items.select("length").distinct().collect()) or [3]
-    index = cut(postings(texts, rows.select("key").distinct(), lengths))
+    index = cut(postings(texts, rows.select("key").distinct(), lengths).distinct())  # copies of a text are one
     counts = index.groupBy("key").agg(F.count(F.lit(1)).alias("count"))
-    rare = cut(pivots(items, rows, counts))
-    aligned = cut(index.join(sized(rare), "key").select("__a", "__b", "no", (F.col("pos") - F.col("p")).alias("at")).distinct())
-    scored = cut(compared(texts, aligned, items, window, near))
-    hits = scored.select("__a", "__b", F.explode("hit").alias("pos")).distinct().groupBy("__a", "__b").agg(F.count(F.lit(1)).alias("n_hit"))
-    by_item = scored.groupBy("__a", "__b", "n_words", "item").agg(F.max(F.size("hit") > 0).alias("whole"))
-    by_text = by_item.groupBy("__a", "__b", "n_words").agg(F.array_sort(F.collect_list(F.when(F.col("whole"), F.col("item")))).alias("items"), F.count(F.lit(1)).alias("n_near"))
-    return cut(by_text.join(hits, ["__a", "__b"], "left").withColumn("n_hit", F.coalesce("n_hit", F.lit(0))))
+    rare = pivots(items, rows, counts)
+    spot = ["__a", "__b", "no", "at"]
+    less = lambda terms: index.join(sized(terms), "key").select("__a", "__b", "no", (F.col("pos") - F.col("p")).alias("at"))
+    found = less(rare).distinct()
+    # terms of a near window that are whole at least, as each word out of place breaks as many as a term has words
+    least = F.greatest(F.lit(1), F.col("size") - F.col("length") + 1 - (F.col("size") - F.least("size", F.lit(near))) * F.col("length")).alias("least")
+    whole = less(rows).join(found, spot, "left_semi").groupBy(*spot).agg(F.count(F.lit(1)).alias("whole"))
+    aligned = whole.join(sized(items.select("no", least)), "no").where("whole >= least").select(*spot)
+    scored = compared(texts, aligned, items, window, near)
+    if gap:
+        spots = index.join(sized(rows), "key").select("__a", "__b", "no", (F.col("pos") - F.col("p")).alias("at"), "p")
+        scored = scored.union(gapped(texts, spots, items, near, gap))
+    by_text = scored.groupBy("__a", "__b", "n_words").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_list("hit")))).cast("long").alias("n_hit"),
+        F.array_sort(F.collect_set(F.when(F.size("hit") > 0, F.col("item")))).alias("items"),
+        F.size(F.collect_set("item")).cast("long").alias("n_near"),
+    )
+    return cut(by_text)
 
 
 def contaminated(share: int) -> Column:
     return (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))
 
 
-def mark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, near: int = 10, share: int = 20) -> DataFrame:
+def mark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, near: int = 10, share: int = 20, gap: int = 0) -> DataFrame:
     """Per row of ``docs``: the id, ``n_words``, ``n_hit`` (words within an occurrence of a window), ``n_items`` (items with one),
     ``items_sha256`` (of their ids, sorted as strings, comma-joined), ``contaminated`` (n_hit > 0 and share * n_hit >= n_words) and
-    ``n_near`` (items with at least ``near`` words of a window in place along any one alignment, exact ones included; words beside an
-    inserted or removed one are in place along different alignments, which are not added up).
+    ``n_near`` (items with at least ``near`` words of a window in place along one alignment, exact ones included). With a ``gap``, a
+    window may also be in two parts, with up to as many words put in between them in the text or left out: words before along one alignment,
+    words after along the other, each part with a whole term (three running words, fewer where short items have shorter ones).
 
     A null text has no words, and neither it nor an empty table of either kind gives hits. An item of fewer words than a window is one
     window; an item with no words or a null id is none. Rows of one item id with different texts count as one item. Null and
@@ -140,7 +169,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     """
     text = F.col(text_col).cast("string")
     named = docs.select(F.col(id_col).alias("__id"), *name_of(text), text.alias("__text"))
-    found = contamination_of(named.select("__a", "__b", "__text"), benchmark, item_col, item_text_col, window, near).drop("n_words")
+    found = contamination_of(named.select("__a", "__b", "__text"), benchmark, item_col, item_text_col, window, near, gap).drop("n_words")
     out = named.select("__id", "__a", "__b", F.size(words(F.col("__text"))).cast("long").alias("n_words")).join(found, ["__a", "__b"], "left")
     out = out.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0)), "n_near": F.coalesce("n_near", F.lit(0)), "items": F.coalesce("items", F.array().cast("array<string>"))})
     return out.select(F.col("__id").alias(id_col), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), contaminated(share).alias("contaminated"), "n_near")
