@@ -13,7 +13,9 @@ before any weight is known: the share of the target among the labels, times the
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,8 @@ BEGINNINGS = (4, 5)
 FAR, SURE = 2.5, 12.0
 #: Share of raw text that is taken to be of no labelled kind.
 OTHER = 0.01
+#: Bytes of text that are worked on at once.
+PIECE = 1 << 18
 LOWEST = -1e9
 TARGET, JUNK, TOXIC = 0, 1, 2
 
@@ -130,6 +134,16 @@ class Model:
     share: float
     kinds: list[tuple[float, np.ndarray, np.ndarray]] = field(default_factory=list)
 
+    @cached_property
+    def _dense(self) -> list[tuple[float, np.ndarray]]:
+        """Share and evidence by bucket, spread out where weights are taken, as what is sent is sparse."""
+        out = []
+        for share, known, value in self.kinds:
+            if share and len(known):
+                out.append((share, np.zeros(KINDS, dtype=np.float32)))
+                out[-1][1][known] = value
+        return out
+
     def weights(self, texts: list[bytes]) -> np.ndarray:
         """Log importance weights; LOWEST for a text without words."""
         g, n = grams(texts), len(texts)
@@ -137,14 +151,17 @@ class Model:
         each = self.raw[_bucket(g.word, WORDS)] + np.where(g.pair > 0, self.raw[WORDS + _bucket(g.pair, PAIRS)], 0)
         total = np.logaddexp(total, np.log(OTHER) + np.bincount(g.of, weights=each, minlength=n))
         bucket = _bucket(g.every, KINDS)
-        for share, known, value in self.kinds:
-            if share and len(known):
-                at = np.minimum(np.searchsorted(known, bucket), len(known) - 1)
-                told = np.bincount(g.every_of, weights=np.where(known[at] == bucket, value[at], 0), minlength=n)
-                total = np.logaddexp(total, np.log(share * (1 - OTHER)) + told)
+        for share, value in self._dense:
+            total = np.logaddexp(total, np.log(share * (1 - OTHER)) + np.bincount(g.every_of, weights=value[bucket], minlength=n))
         return np.where(np.bincount(g.of, minlength=n) > 0, -total, LOWEST)
 
 
+def _slices(rows: pa.RecordBatch, most: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """The rows in batches that the JVM need not hold at once."""
+    for k in range(0, max(1, rows.num_rows), most):
+        yield rows.slice(k, most)
+
+
 def _sums(counts: DataFrame, *columns: str) -> DataFrame:
     """Sums by ``k``; partial sums of each task meet in a shuffle. In pieces so small that the driver gets each directly."""
     return counts.groupBy("k").agg(*[F.sum(c).alias(c) for c in columns]).repartition(32, "k")
@@ -164,11 +181,11 @@ def raw_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def run(batches):
         total = np.zeros(WORDS + PAIRS, dtype=np.int64)
         for batch in batches:
-            for _, texts in rows_of(batch):
+            for _, texts in rows_of(batch, PIECE):
                 g = grams(texts)
                 total += _counts(g.word, g.pair)
         k = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(total[k], pa.int64())], names=["k", "n"])
+        yield from _slices(pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(total[k], pa.int64())], names=["k", "n"]))
 
     return _dense(_sums(as_bytes(docs, id_col, text_col).mapInArrow(run, "k int, n long"), "n"), "n", WORDS + PAIRS)
 
@@ -204,12 +221,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def sign(batches):
         for batch in batches:
             kinds, at = batch.column(2).to_numpy(), 0
-            for ids, texts in rows_of(batch):
+            for ids, texts in rows_of(batch, PIECE):
                 s = signature(grams(texts), len(ids))
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kinds[at : at + len(ids)], pa.int32()), pa.array(s.view(np.int64))], names=["i", "kind", "s"])
                 at += len(ids)
 
-    firsts = cut(rows.select("__id", "__text", "kind").mapInArrow(sign, "i long, kind int, s long").groupBy("kind", "s").agg(F.min("i").alias("__f")).select("__f").distinct())
+    firsts = rows.select("__id", "__text", "kind").mapInArrow(sign, "i long, kind int, s long").groupBy("kind", "s").agg(F.min("i").alias("__f")).select("__f").distinct()
     every = rows.join(F.broadcast(firsts), F.col("__id") == F.col("__f"), "left").select((F.col("kind") * 2 + F.col("__f").isNotNull().cast("int")).alias("kind"), "__text")
     size = WORDS + PAIRS
 
@@ -217,7 +234,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         """By bucket: the target's words and pairs; then the grams of each kind's different texts."""
         target, kinds = np.zeros(size, dtype=np.int64), np.zeros((3, KINDS), dtype=np.int32)
         for batch in batches:
-            for code, texts in rows_of(batch):
+            for code, texts in rows_of(batch, PIECE):
                 g, code = grams(texts), np.array(code)
                 good = code[g.of] // 2 == TARGET
                 target += _counts(g.word[good], g.pair[good])
@@ -226,7 +243,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                     kinds[k] += np.bincount(_bucket(g.every[of == 2 * k + 1], KINDS), minlength=KINDS).astype(np.int32)
         a, b = np.flatnonzero(target), np.flatnonzero(kinds.any(axis=0))
         none = np.zeros(len(a), dtype=np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((a, b + size)), pa.int32()), pa.array(np.concatenate((target[a], kinds[TARGET][b]))), *(pa.array(np.concatenate((none, kinds[k][b]))) for k in (JUNK, TOXIC))], names=["k", "good", "junk", "toxic"])
+        yield from _slices(pa.RecordBatch.from_arrays([pa.array(np.concatenate((a, b + size)), pa.int32()), pa.array(np.concatenate((target[a], kinds[TARGET][b]))), *(pa.array(np.concatenate((none, kinds[k][b]))) for k in (JUNK, TOXIC))], names=["k", "good", "junk", "toxic"]))
 
     counts = cut(_sums(every.mapInArrow(count, "k int, good long, junk long, toxic long"), "good", "junk", "toxic"))
     target = _dense(counts.where(F.col("k") < size), "good", size)
@@ -243,7 +260,7 @@ def weigh(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
 
     def run(batches):
         for batch in batches:
-            for ids, texts in rows_of(batch):
+            for ids, texts in rows_of(batch, PIECE):
                 w = np.zeros(len(ids)) if model is None else model.weights(texts)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(w, pa.float64())], names=["__id", "log_weight"])
 
@@ -304,7 +321,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     def weight(texts: pa.Array) -> pa.Array:
         out = np.zeros(len(texts))
         if model is not None:
-            for begin, end in pieces(texts, 1 << 18):
+            for begin, end in pieces(texts, PIECE):
                 out[begin:end] = model.weights(texts.slice(begin, end - begin).to_pylist())
         return pa.array(out)
 
