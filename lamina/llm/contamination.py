@@ -78,9 +78,8 @@ def postings(texts: DataFrame, terms: DataFrame, lengths: list[int]) -> DataFram
     return every.join(sized(terms), "key", "left_semi")
 
 
-def compared(texts: DataFrame, aligned: DataFrame, items: DataFrame, window: int, near: int) -> DataFrame:
-    """(__a, __b, n_words, item, near, hit): of the alignments (__a, __b, no, at), those with enough words in place for a near window; ``near`` is whether
-    one is, ``hit`` the positions that whole windows cover."""
+def compared(texts: DataFrame, aligned: DataFrame, items: DataFrame, near: int) -> DataFrame:
+    """(__a, __b, n_words, item, hit) of those alignments (__a, __b, no, at) that put a near window in place; ``hit`` are the positions that whole windows cover."""
     by_text = cut(aligned.join(sized(items.select("no", "n")), "no").groupBy("__a", "__b").agg(F.collect_list(F.struct("no", "at", "n")).alias("found")))
     named = sized(by_text.select("__a", "__b"))
     read = texts.join(named, ["__a", "__b"], "left_semi").dropDuplicates(["__a", "__b"]).select("__a", "__b", words(F.col("__text")).alias("w"))
@@ -140,7 +139,7 @@ def contamination_of(texts: DataFrame, benchmark: DataFrame, item_col: str, item
     least = F.greatest(F.lit(1), F.col("size") - F.col("length") + 1 - (F.col("size") - F.least("size", F.lit(near))) * F.col("length")).alias("least")
     whole = less(rows).join(found, spot, "left_semi").groupBy(*spot).agg(F.count(F.lit(1)).alias("whole"))
     aligned = whole.join(sized(items.select("no", least)), "no").where("whole >= least").select(*spot)
-    scored = compared(texts, aligned, items, window, near)
+    scored = compared(texts, aligned, items, near)
     if gap:
         spots = index.join(sized(rows), "key").select("__a", "__b", "no", (F.col("pos") - F.col("p")).alias("at"), "p")
         scored = scored.union(gapped(texts, spots, items, near, gap))

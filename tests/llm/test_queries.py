@@ -296,6 +296,16 @@ def test_simhash_query(spark):
     assert rows_by_id(QUERIES["op4_simhash_near_dedup"](spark, SF), "fingerprint", "component_id") == {i: (f"{fps[k]:016x}", ids[lab[k]]) for k, i in enumerate(ids)}
 
 
+def test_simhash_of_a_repeated_id(spark):
+    """An id with two texts belongs to the groups of both, which it joins."""
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(30))
+    rows = [(1, text(1)), (1, text(2)), (2, text(1)), (3, text(2).upper()), (4, text(4)), (5, text(1).title())]
+    got = simhash.near_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (5, 1)]
+    fps = spark.createDataFrame([(7, 0b0), (7, (1 << 62) - 1), (8, 0b101), (9, (1 << 62) - 2)], "id long, fp long")
+    assert {(r.fp, r.component) for r in simhash.near_components(fps).collect()} == {(0, 7), ((1 << 62) - 1, 7), (0b101, 7), ((1 << 62) - 2, 7)}
+
+
 def plain_contamination(texts, bench):
     windows = defaultdict(set)
     for item, text in bench.items():
