@@ -143,12 +143,15 @@ def near_edges(keyed: DataFrame, radius: int, block: int) -> DataFrame:
                 end = max(begin + 1, int(np.searchsorted(marks, marks[begin] + 1024, "right")) - 1)
                 part = whole.slice(marks[begin], marks[end] - marks[begin])
                 begin = end
-                ids, at = np.unique(part.column("id").to_numpy(), return_index=True)  # one id may be in several of these buckets
-                if len(ids) < 2:
+                ids, column = part.column("id").to_numpy(), part.column("fp")
+                wide = pa.types.is_binary(column.type)  # each with an id of its own; of 64 bits, several may share one
+                fp = np.zeros(len(ids), dtype=np.int64) if wide else column.to_numpy()
+                at = np.lexsort((fp, ids))  # what is in several of these buckets counts once
+                at = at[np.concatenate(([True], (np.diff(ids[at]) != 0) | (np.diff(fp[at]) != 0)))]
+                if len(at) < 2:
                     continue
-                column = part.column("fp").take(pa.array(at))
-                wide = pa.types.is_binary(column.type)
-                values = np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(len(ids), -1) if wide else column.to_numpy().view(np.uint64)
+                ids = ids[at]
+                values = np.frombuffer(b"".join(column.take(pa.array(at)).to_pylist()), dtype=np.uint8).reshape(len(ids), -1) if wide else fp[at].view(np.uint64)
                 forest = Forest(len(ids))
                 for i, j in near_pairs(values, radius):
                     forest.join(i, j)
@@ -264,7 +267,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     words) do, and share a band. Rows are told apart by id and text: of an id that repeats, only the rows in a group with another row
     go. Where several rows of a group have its smallest id, one text of theirs (that of the least hash) stays, in one row.
     """
-    stays = near_groups(cut(signatures(docs.where(F.col(id_col).isNotNull()), id_col, text_col, width)), similarity)
+    stays = near_groups(signatures(docs.where(F.col(id_col).isNotNull()), id_col, text_col, width), similarity)
     row = (F.col(id_col).cast("long"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
 
     def those(n: Column) -> DataFrame:
