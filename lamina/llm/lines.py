@@ -21,8 +21,8 @@ from lamina.llm.common import as_bytes, cut, groups_of, rows_of, slots, table
 BLANK = b" \t\n\x0b\x0c\r"
 #: Shards of the key space at least and at most, keys that a shard is meant for, and the parts that the lines of one shard are dealt to.
 SHARDS, MOST_SHARDS, SHARD_KEYS, SALTS = 64, 1 << 16, 1 << 18, 16
-#: Bytes of all filters together up to which they are broadcast; beyond, lines are dealt to the filters.
-FILTER_BYTES = 32 << 20
+#: Bytes of a filter for each of its keys (16 bits at a load of 0.4 to 0.8), and of all filters up to which they are broadcast; beyond, lines are dealt to the filters.
+KEY_BYTES, FILTER_BYTES = 5, 32 << 20
 
 
 def key_of(line: bytes, least: int) -> bytes | None:
@@ -257,10 +257,11 @@ def drops(docs: DataFrame, id_col: str, text_col: str, least: int, documents: in
     if stored is not None and stored.keys is None:
         stored = stored.stored()
     index = stored.keys.select("key", "last") if stored is not None else cut(LineIndex.of(docs, id_col, text_col, least, documents).repeated().select("key", "last"))
-    parts = stored.parts if stored is not None else shards_for(index.count())
-    shards = stored.shards if stored is not None else cut(filters(index, parts))
+    n = index.count()
+    parts = stored.parts if stored is not None else shards_for(n)
+    shards = stored.shards if stored is not None else filters(index, parts)
     rows = docs.where(F.col(id_col).isNotNull())
-    if (shards.agg(F.sum(F.length("filter"))).first()[0] or 0) <= FILTER_BYTES:
+    if n * KEY_BYTES <= FILTER_BYTES:
         sent = spark.sparkContext.broadcast({r.shard: bytes(r.filter) for r in shards.collect()})
 
         def probe(batches):
