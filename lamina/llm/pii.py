@@ -185,39 +185,41 @@ def train(rounds: int = 50, rate: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
     runs = []
     for words, tags in labelled_table():
         runs += [([f for f, _ in r], [t for _, t in r]) for r in digit_runs(words, [TAGS.index(t) for t in tags])]
-    n, k = max(len(t) for _, t in runs), len(TAGS)
+    runs.sort(key=lambda r: -len(r[1]))  # the longest first, so that those with a token at a place are the first ones
+    size, k = np.array([len(t) for _, t in runs]), len(TAGS)
+    n = int(size[0])
+    live = [int((size > p).sum()) for p in range(n)]
+    at = (np.repeat(np.arange(len(runs)), size), np.concatenate([np.arange(x) for x in size]))  # run and place of each token
+    feats = np.array([f for fs, _ in runs for f in fs], dtype=np.int64)
+    gold = np.array([x for _, ts in runs for x in ts], dtype=np.int64)
+    told = np.zeros((k, k))
+    for _, ts in runs:
+        np.add.at(told, (ts[:-1], ts[1:]), 1)
     ok = allowed()
     start = np.array([-1e4 if t[0] == "I" else 0.0 for t in TAGS])
-    width = len(runs[0][0][0])
-    feats = np.zeros((len(runs), n, width), dtype=np.int64)
-    gold, mask = np.zeros((len(runs), n), dtype=np.int64), np.zeros((len(runs), n), dtype=bool)
-    for r, (fs, ts) in enumerate(runs):
-        feats[r, : len(fs)], gold[r, : len(ts)], mask[r, : len(ts)] = fs, ts, True
     w, t = np.zeros((DIM, k)), np.zeros((k, k))
     gw, gt = np.full_like(w, 1e-6), np.full_like(t, 1e-6)
     lse = lambda x, axis: (m := x.max(axis=axis)) + np.log(np.exp(x - np.expand_dims(m, axis)).sum(axis=axis))
+    e, alpha, beta = (np.zeros((len(runs), n, k)) for _ in range(3))
     for _ in range(rounds):
-        e = w[feats].sum(axis=2)
+        e[at] = w[feats].sum(axis=1)
         tr = t + ok
-        alpha, beta = [e[:, 0] + start], [np.zeros((len(runs), k))]
+        alpha[:, 0] = e[:, 0] + start
         for p in range(1, n):
-            x = lse(alpha[-1][:, :, None] + tr[None], 1) + e[:, p]
-            alpha.append(np.where(mask[:, p, None], x, alpha[-1]))
+            m = live[p]
+            alpha[:m, p] = lse(alpha[:m, p - 1, :, None] + tr, 1) + e[:m, p]
         for p in range(n - 1, 0, -1):
-            x = lse(tr[None] + (e[:, p] + beta[0])[:, None, :], 2)
-            beta.insert(0, np.where(mask[:, p, None], x, beta[0]))
-        z = lse(alpha[-1], 1)
-        prob = np.exp(np.stack(alpha, axis=1) + np.stack(beta, axis=1) - z[:, None, None])
-        prob[np.arange(len(runs))[:, None], np.arange(n), gold] -= 1
-        prob[~mask] = 0
-        dw, dt = np.zeros_like(w), np.zeros_like(t)
+            m = live[p]
+            beta[:m, p - 1] = lse(tr + (e[:m, p] + beta[:m, p])[:, None, :], 2)
+        z = lse(alpha[np.arange(len(runs)), size - 1], 1)
+        prob = np.exp(alpha[at] + beta[at] - z[at[0], None])
+        prob[np.arange(len(gold)), gold] -= 1
+        dw, dt = np.empty_like(w), -told
         for tag in range(k):
-            dw[:, tag] = np.bincount(feats.ravel(), weights=np.repeat(prob[:, :, tag].ravel(), width), minlength=DIM)
+            dw[:, tag] = np.bincount(feats.ravel(), weights=np.repeat(prob[:, tag], feats.shape[1]), minlength=DIM)
         for p in range(1, n):
-            m = mask[:, p]
-            pair = np.exp(alpha[p - 1][:, :, None] + tr[None] + (e[:, p] + beta[p])[:, None, :] - z[:, None, None])[m]
-            dt += pair.sum(axis=0)
-            np.add.at(dt, (gold[m, p - 1], gold[m, p]), -1)
+            m = live[p]
+            dt = dt + np.exp(alpha[:m, p - 1, :, None] + tr + (e[:m, p] + beta[:m, p])[:, None, :] - z[:m, None, None]).sum(axis=0)
         dw, dt = dw / len(runs) + 1e-4 * w, dt / len(runs) + 1e-4 * t
         gw += dw * dw
         gt += dt * dt
