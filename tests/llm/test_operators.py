@@ -111,6 +111,54 @@ def test_pivot_cells_lose_no_pair():
             assert sent[b, home[a]].all()
 
 
+def test_pivots_follow_the_rows_of_a_group(spark, monkeypatch):
+    """Few pivots where vectors hardly cluster, as each more is another copy of half the rows; at least one for each ``part`` rows, however small the sample."""
+    g = np.random.default_rng(3)
+    centre = g.normal(size=(4000, 64))
+    u = vectors._unit(np.concatenate((centre, centre[:80].repeat(8, axis=0) + g.normal(size=(640, 64)) * 0.05)))
+    u, seen, real = u[g.permutation(len(u))], [], vectors._pivots
+    monkeypatch.setattr(vectors, "_pivots", lambda *a: seen.append((a, real(*a))) or seen[-1][1])
+    monkeypatch.setattr(vectors, "SAMPLE", 1600)
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(u.astype(np.float32).tolist())], "vec_id long, embedding array<float>").withColumn("label", F.lit(1))
+    got = by_id(vectors.near_vectors(frame, part=1000), "vec_id")
+    [((_, n, r, least, *_), p)] = seen
+    assert (n, least) == (4640, 5) and vectors._replicas(u, p, r)[1].sum() < 16 * n
+    near = u @ u.T >= 0.93
+    assert [got[i].n_links for i in range(n)] == (near.sum(axis=1) - 1).tolist()
+
+
+@pytest.mark.parametrize(("dim", "kind", "noise"), [(64, "f4", 0.05), (64, "f8", 2.0), (300, "f4", 0.3), (8, "f8", 0.2)])
+def test_blocks_count_each_pair_once(dim, kind, noise):
+    """Few links and many, with and without products in some directions alone; pairs of two guests meet elsewhere."""
+    g = np.random.default_rng(dim)
+    centre = g.normal(size=(1500, dim))
+    x = np.concatenate((centre, centre[g.integers(0, 40, 1500)] + g.normal(size=(1500, dim)) * noise * g.random((1500, 1))))[g.permutation(3000)].astype(kind)
+    x[:300] = centre[0] + g.normal(size=(300, dim)) * 0.05
+    ids, many, h = np.arange(3000), g.integers(1, 4, 3000), 1700
+    block, out = vectors._Block(0.93), []
+    for a, b in ((0, 1000), (1000, h)):
+        block.add(ids[a:b], many[a:b], x[a:b])
+    for a in range(h, 3000, 500):
+        out += block.meet(ids[a : a + 500], many[a : a + 500], x[a : a + 500])
+    out += block.end()
+    links, forest, plain = np.zeros(3000, dtype=np.int64), common.Forest(3000), common.Forest(3000)
+    for rows in out:
+        i, n, root = (rows.column(k).to_numpy() for k in range(3))
+        np.add.at(links, i, n)
+        forest.join(i, root)
+    u = vectors._unit(x.astype(np.float64))
+    near = (u @ u.T >= 0.93) & ~np.eye(3000, dtype=bool)
+    near[h:, h:] = False
+    plain.join(*np.nonzero(near))
+    assert (links == near @ many).all() and (forest.all() == plain.all()).all() and near.any()
+
+
+def test_one_of_two_cells_sends():
+    a, b = np.arange(40)[:, None], np.arange(40)
+    sent = vectors._toward(a, b)
+    assert (sent ^ sent.T ^ np.eye(40, dtype=bool)).all() and set(sent.sum(axis=1)) <= {19, 20}
+
+
 def plain_fingerprint(text):
     w = (text or "").encode().lower().split()
     sh = [b" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
